@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, url_filter
+from . import chat, decontaminate, grid_join, line_dedup, minhash, sharding, toxicity, url_filter
 from .common import table
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id", "text", 8)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = table(spark, sf_dir, "documents"), toxicity.held_out()
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.with_score(documents, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), rule=minhash.Rule(width=2, percent=80))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.with_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = F.col("matches")
+    return out.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.transform(found, lambda m: m["item_id"]).alias("item_ids"), F.transform(found, lambda m: m["edits"]).alias("edits"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -26,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_events(log))
 
 
-QUERIES = {"op3_shard": op3_shard, "op5_url_filter": op5_url_filter, "op10_chat": op10_chat}
+QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_shard, op4_toxicity, op5_url_filter, op7_minhash, op8_line_dedup, op9_decontaminate, op10_chat)}
 
 
 def _jump_sql(n: int, name: str) -> str:
@@ -101,4 +128,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLE = {"op3_shard": _OP3, "op5_url_filter": _OP5, "op10_chat": _OP10}
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d WHERE text IS NOT NULL),
+k AS (SELECT r, doc_id, i, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x, row_number() OVER (PARTITION BY r ORDER BY i) AS n FROM l
+  WHERE trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+w AS (SELECT r, doc_id, n, i AS i0, lead(i, 1) OVER s AS i1, lead(i, 2) OVER s AS i2, x || chr(10) || lead(x, 1) OVER s || chr(10) || lead(x, 2) OVER s AS h FROM k WINDOW s AS (PARTITION BY r ORDER BY n)),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, n) AS o, first_value(r) OVER (PARTITION BY h ORDER BY doc_id, n) AS fr,
+  first_value(i0) OVER (PARTITION BY h ORDER BY doc_id, n) AS f0, first_value(i1) OVER (PARTITION BY h ORDER BY doc_id, n) AS f1, first_value(i2) OVER (PARTITION BY h ORDER BY doc_id, n) AS f2
+  FROM w WHERE i2 IS NOT NULL),
+g AS (SELECT DISTINCT r, i FROM (SELECT *, unnest([i0, i1, i2]) AS i FROM f WHERE o > 1) WHERE NOT (r = fr AND i IN (f0, f1, f2))),
+t AS (SELECT d.r, count(g.i) AS n, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text FROM d JOIN l ON d.r = l.r LEFT JOIN g ON l.r = g.r AND l.i = g.i GROUP BY d.r)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(t.n, 0)::BIGINT AS n_removed,
+  length(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END)::BIGINT AS n_chars_left, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END) AS text_md5
+FROM d LEFT JOIN t ON d.r = t.r
+"""
+
+_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT s.doc_id, g, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, g) AS nth, n.n FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) USING (g) JOIN n ON n.doc_id = s.doc_id),
+p AS MATERIALIZED (SELECT * FROM r WHERE nth <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT c.a, c.b, na, nb, count(*) AS i FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND x.g = y.g GROUP BY ALL) WHERE 100 * i >= 80 * (na + nb - i)),
+z AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT t.y, z.m FROM z JOIN (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e) t ON t.x = z.v WHERE z.m < t.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.m AS component_id, d.doc_id = m.m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(m) AS m FROM z GROUP BY v) m ON m.v = d.doc_id
+"""
+
+_OP2 = r"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+z AS (SELECT vec_id AS v, vec_id AS m FROM embeddings UNION SELECT e.b, z.m FROM z JOIN e ON e.a = z.v WHERE z.m < e.b)
+SELECT x.vec_id, (SELECT count(*) FROM e WHERE e.a = x.vec_id) AS n_links, min(m) AS component_id, x.vec_id = min(m) AS kept FROM embeddings x JOIN z ON z.v = x.vec_id GROUP BY x.vec_id
+"""
+
+ORACLE = {"op2_near_vectors": _OP2, "op7_minhash": _OP7, "op8_line_dedup": _OP8, "op3_shard": _OP3, "op5_url_filter": _OP5, "op10_chat": _OP10}
