@@ -1,10 +1,56 @@
-"""A corpus pipeline made of the operators of ``tidewright.llm``."""
+"""A corpus pipeline made of the operators of ``tidewright.llm``.
+
+Each stage works on all that the one before it kept. Toxic documents, all but
+one of each group of near copies, and documents that hold a benchmark item go;
+mixing repeats documents to meet the target weights and removes none; sharding
+gives each row its shard and place.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewright.llm import decontaminate, minhash, mixing, sharding, toxicity
+from tidewright.llm.common import Scratch, table
+from tidewright.llm.queries import WEIGHTS, domain_model
+
+#: SQL can't express the toxicity scores, so the pipeline is tested against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, domain_model(docs, table(spark, sf_dir, "labels")), WEIGHTS, least=1.0)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign(docs, "doc_id", "text", 8, keep=("lang", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing to target weights", mix_languages),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole ``documents`` table."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

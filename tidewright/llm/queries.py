@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, grid_join, line_dedup, minhash, sharding, toxicity, url_filter
+from . import chat, decontaminate, grid_join, hmm, line_dedup, minhash, mixing, sharding, toxicity, url_filter
 from .common import table
 
 
+#: The share of tokens that each language gets in the mix.
+WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_model(documents: DataFrame, labels: DataFrame):
+    """Language posteriors, learned from the documents that the labels table names."""
+    chosen = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.MAX_LABELLED)
+    # chosen has MAX_LABELLED rows at most
+    labelled = documents.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(chosen), "doc_id")
+    return mixing.fit(labelled, order="doc_id")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = domain_model(documents, table(spark, sf_dir, "labels"))
+    out = mixing.mix(documents.select("doc_id", "text"), model, WEIGHTS)
+    return out.select("doc_id", "tokens", "domain", F.round("posterior", 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -28,6 +47,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), rule=minhash.Rule(width=2, percent=80))
     return found.withColumnRenamed("id", "doc_id")
@@ -53,7 +76,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_events(log))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_shard, op4_toxicity, op5_url_filter, op7_minhash, op8_line_dedup, op9_decontaminate, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_shard, op4_toxicity, op5_url_filter, op6_hmm, op7_minhash, op8_line_dedup, op9_decontaminate, op10_chat)}
 
 
 def _jump_sql(n: int, name: str) -> str:

@@ -31,6 +31,9 @@ LEET = {
 #: Log costs of writing a letter as itself, as a sign, of a repeated letter, and of a sign that stands for nothing.
 SUBSTITUTE, REPEAT, NOISE = -1.0, -0.7, -2.5
 EDGE = "\"'()[]{}<>.,;:!?%&*#$|-_=+/\\~`^«»“”‘’…"
+#: Marks at a token's ends that never stand for a letter; longer tokens are taken as they are (keys, hashes).
+PUNCTUATION, LONGEST = ".,;:?\"'", 40
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(€£#*.\-_]+[^\W\d_]|[\d@$|€£][^\W\d_]|[^\W\d_][\d@$€£]|([^\W\d_])\1\1")
 _APART = re.compile(r"(?<!\S)(?:[^\s]\s){3,}[^\s](?!\S)")
 _JOINED = re.compile(r"^(?:[^\W_][.\-_*])+[^\W_]$")
@@ -128,26 +131,28 @@ class Restorer:
     """Restores words, remembering up to ``limit`` decoded tokens at a time."""
 
     model: CharModel
-    limit: int = 100_000
+    limit: int = 300_000
     known: dict[str, str] = field(default_factory=dict)
 
-    def word(self, token: str) -> str:
-        core = token.strip(EDGE)
-        letters = sum(c.isalpha() for c in core)
-        if not _ODD.search(core) and not _ODD.search(token.strip(".,;:?\"'")):
+    def __call__(self, token: str) -> str:
+        """The word that a token stands for; empty for one without letters and digits at its ends."""
+        if (w := self.known.get(token)) is None:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            core = token.strip(EDGE)
+            w = self.known[token] = core if core.isalpha() and core == token.strip(PUNCTUATION) and not _TRIPLE.search(core) else self._restore(token, core)
+        return w
+
+    def _restore(self, token: str, core: str) -> str:
+        outer = token.strip(PUNCTUATION)
+        if not _ODD.search(core) and not _ODD.search(outer):
             return core
         if _JOINED.match(core):
-            core = re.sub(r"[.\-_*]", "", core)
-        elif 2 * letters < len(core) or len(core) > 40:
+            return decode(re.sub(r"[.\-_*]", "", core), self.model)
+        if 2 * sum(map(str.isalpha, core)) < len(core) or len(core) > LONGEST:
             return core
-        else:
-            core = token.strip(".,;:?\"'")
-            core = core if core.rstrip("!$|+(#") == core or core.strip(EDGE) != core.rstrip("!|+(#") else core.rstrip("!|+(#")
-        if core not in self.known:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[core] = decode(core, self.model)
-        return self.known[core]
+        # a run of signs at an end is decoration; a single sign there may be a letter
+        return decode(outer if len(outer) <= len(core) + 1 else core, self.model)
 
     def words(self, text: str | None) -> Counter:
         """Restored words of a whole text in lower case, with their counts."""
@@ -155,10 +160,10 @@ class Restorer:
         out: Counter = Counter()
         for m in _APART.finditer(low):
             joined = "".join(m[0].split())
-            if sum(c.isalpha() for c in joined) * 2 >= len(joined):
-                out[self.word(joined)] += 1
+            if 2 * sum(map(str.isalpha, joined)) >= len(joined):
+                out[decode(joined, self.model)] += 1
         for token, n in Counter(low.split()).items():
-            if w := self.word(token):
+            if w := self(token):
                 out[w] += n
         return out
 
@@ -186,14 +191,21 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self):
+        #: The first five characters of the features that are beginnings.
+        self.starts = {f[:5] for f in self.weights if f.endswith("*")}
+
     def score(self, text: str | None, restorer: Restorer) -> float:
         found = restorer.words(text)
         total = max(1, sum(found.values()))
-        get, hits = self.weights.get, {}
+        hits: dict[str, int] = {}
         for w, n in found.items():
-            for f in (w, f"{w[:5]}*", f"{w[:7]}*")[: 1 + (len(w) > 5) + (len(w) > 7)]:
-                if get(f) is not None:
-                    hits[f] = hits.get(f, 0) + n
+            if w in self.weights:
+                hits[w] = hits.get(w, 0) + n
+            if len(w) > 5 and w[:5] in self.starts:
+                for f in (f"{w[:5]}*", f"{w[:7]}*")[: 1 + (len(w) > 7)]:
+                    if f in self.weights:
+                        hits[f] = hits.get(f, 0) + n
         z = self.bias + sum(self.weights[f] * weight(n, total) for f, n in sorted(hits.items()))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
