@@ -95,7 +95,7 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     rows = Scratch(df.sparkSession, "mixing").save(with_posteriors(df, model, text, "tokens", p), "posteriors")
 
     def expected(rate: Column) -> list[float]:
-        got = rows.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(c) for c in p]).first()
+        got = rows.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(f"{c}_sum") for c in p]).first()
         return list(got)
 
     whole = sum(weights.get(d, 0) for d in domains)
