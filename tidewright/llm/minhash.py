@@ -35,6 +35,8 @@ from .common import Scratch, WordHash, words
 from .components import components
 
 COORDS, MATCHES = 64, 32
+#: Document ids (24 bytes each) that are broadcast at most.
+BROADCAST_IDS = 100_000
 #: Hubs that each posting list names in the first round.
 HUBS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,38 +108,54 @@ def _postings(reps: DataFrame) -> DataFrame:
     return left.select("rep", F.explode(F.slice("t", F.lit(1), F.size("t") - F.lit(MATCHES - 1))).alias("t")).select("rep", "t.tok")
 
 
-def _sets(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(rep, sig, found) with the full shingle sets of the wanted documents (rep, d1, d2, sig)."""
+def _colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole signatures have enough collisions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
+
+    one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(rep, text) of the wanted documents (rep, d1, d2). Ids are broadcast when they are few, else joined by a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
-            found = [shingles(t.as_py(), rule.width, hashes).tobytes() for t in b.column(1)]
-            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f) for f in found), np.int64).reshape(-1, 2)
-            keep = pa.array((same[:, 0] == b.column(2).to_numpy()) & (same[:, 1] == b.column(3).to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(found, pa.binary())], ["rep", "sig", "found"]).filter(keep)
+            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(shingles(t.as_py(), rule.width, hashes).tobytes()) for t in b.column(1)), np.int64).reshape(-1, 2)
+            yield b.select([0, 1]).filter(pa.array((d[:, 0] == b.column(2).to_numpy()) & (d[:, 1] == b.column(3).to_numpy())))
 
+    wanted = scratch.save(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    return texts.join(wanted, "rep").select("rep", "text", "d1", "d2", "sig").mapInArrow(run, "rep long, sig binary, found binary")
+    return scratch.save(texts.join(wanted, "rep").select("rep", "text", "d1", "d2").mapInArrow(run, "rep long, text string"), "texts")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) with enough collisions and enough shingles in common."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) with enough shingles in common. Texts travel, which pack better than their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
         for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
-            keep = (one == two).sum(axis=1) >= MATCHES
-            for i in np.flatnonzero(keep):
-                x, y = (np.frombuffer(b.column(c)[int(i)].as_py(), np.uint64) for c in (4, 5))
+            keep, last, x = [], None, None
+            for i, one, two in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if i != last:
+                    last, x = i, shingles(one.as_py(), rule.width, hashes)
+                y = shingles(two.as_py(), rule.width, hashes)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= rule.percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+                keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("found").alias("found_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("found").alias("found_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b", "found_a", "found_b")
-    return joined.mapInArrow(run, "a long, b long")
+    one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -176,11 +194,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     all_rows = scratch.save(signatures(df, key, text, rule), "signatures")
     reps = scratch.save(all_rows.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     posted = scratch.save(_postings(reps), "postings")
-    sets = scratch.save(_sets(df, key, text, reps.join(posted.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2", "sig"), rule), "sets")
     tried = scratch.save(_hub_pairs(posted), "pairs")
-    links = scratch.save(_confirmed(tried, sets, rule), "links")
-    first = scratch.save(components(links, scratch), "components")
-    more = scratch.save(_confirmed(_cross_pairs(posted, first).join(tried, ["a", "b"], "left_anti"), sets, rule), "links")
+    close = scratch.save(_colliding(tried, reps), "close")
+    texts = _texts(df, key, text, reps.join(_ends(close), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
+    first = scratch.save(components(scratch.save(_confirmed(close, texts, rule), "links"), scratch), "components")
+    close = scratch.save(_colliding(_cross_pairs(posted, first).join(tried, ["a", "b"], "left_anti"), reps), "close")
+    new = _ends(close).join(texts.select("rep").distinct(), "rep", "left_anti")
+    texts = texts.union(_texts(df, key, text, reps.join(new, "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch))
+    more = scratch.save(_confirmed(close, texts, rule), "links")
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = all_rows.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
