@@ -19,10 +19,12 @@ MONEY = r"(?i)^\s*(?:usd|inr|rs\.?|eur|gbp|[$€£₹])?\s*(-?[\d,]*\.?\d+)\s*(k
 RATIO = r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$"
 PERCENT = r"^\s*(-?\d+(?:\.\d+)?)\s*%\s*$"
 DATE_HINT = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}"
-DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "M-d-yyyy", "d.M.yyyy")
-TIME_SUFFIXES = ("", " H:mm", " H:mm:ss", "'T'HH:mm:ss")
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CM_PER_FOOT, CM_PER_INCH, KG_PER_POUND = 30.48, 2.54, 0.453592
 
+_CLOCK = r"[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?$"
+_YEAR_FIRST, _MONTH_FIRST, _DOTTED = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
+_NAMED = r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+(\d{4})$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -106,10 +108,25 @@ def parse_weight(c: Column) -> Column:
     return F.when(F.regexp_extract(low, pattern, 2).startswith("lb"), amount * KG_PER_POUND).otherwise(amount)
 
 
-def parse_datetime(c: Column, formats=DATE_FORMATS) -> Column:
-    """The first format that fits, month before day, with or without a time. No zone."""
-    text = trim_whitespace(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f + t)) for f in formats for t in TIME_SUFFIXES]).cast("timestamp_ntz")
+def parse_datetime(c: Column) -> Column:
+    """A date with or without a time, month before day, whatever the separator or the month's name. No zone.
+
+    The parts are put into one form by patterns and parsed once; a date that
+    doesn't exist is null.
+    """
+    trimmed = trim_whitespace(c)
+    clock = F.regexp_extract(trimmed, _CLOCK, 0)
+    day = F.trim(F.regexp_replace(trimmed, _CLOCK, ""))
+
+    def parts(pattern: str, *order: int) -> Column:
+        y, m, d = (F.regexp_extract(day, pattern, i) for i in order)
+        number = F.floor((F.instr(F.lit(MONTHS), F.lower(F.substring(m, 1, 3))) + 2) / 3).cast("string")
+        month = F.when(m.rlike("^[0-9]"), m).otherwise(number)
+        return F.when(day.rlike(pattern), F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")))
+
+    date = F.coalesce(parts(_YEAR_FIRST, 1, 2, 3), parts(_MONTH_FIRST, 3, 1, 2), parts(_DOTTED, 3, 2, 1), parts(_NAMED, 3, 1, 2))
+    hour, minute, second = (F.lpad(F.regexp_extract(clock, _CLOCK, i), 2, "0") for i in (1, 2, 3))
+    return F.try_to_timestamp(F.concat(date, F.lit(" "), F.concat_ws(":", hour, minute, second)), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
 def null_future(c: Column, as_of: datetime) -> Column:

@@ -79,8 +79,8 @@ LOADED, DUPLICATE, MISSING_KEY, REPEATED_KEY = "loaded", "duplicate", "missing_k
 def with_outcome(df: DataFrame, pk: str | None, row: str = "_row", columns: list[str] | None = None, column: str = "_outcome") -> DataFrame:
     """``df`` with what becomes of each row: a copy of an earlier row is a duplicate, then null and repeated keys are set aside.
 
-    ``row`` numbers the rows; ``columns`` are those compared. Copies are told by
-    the first row of each set of equal rows, an aggregate joined back.
+    ``row`` numbers the rows; ``columns`` are those compared. A window's rows
+    spill to disk, so a key of very many rows is slow but not out of memory.
     """
     columns = columns or [c for c in df.columns if c not in (row, "_raw")]
     same = [quoted(c) for c in columns]

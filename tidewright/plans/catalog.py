@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import scalar_queries, table_queries
+
+QUERIES = scalar_queries.QUERIES | table_queries.QUERIES
+ORACLE = scalar_queries.ORACLE | table_queries.ORACLE
