@@ -18,7 +18,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 Q = 12
 #: Edits allowed for each character of an item.
@@ -162,7 +162,7 @@ def _finder(shared: Broadcast, kind: str):
 def with_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", column: str = "matches", rate: float = RATE) -> DataFrame:
     """``df`` with an array of the benchmark items in each text: (item_id, place, edits), by item.
 
-    A place is a byte of the normalized text. All rows and columns stay; a
+    A place is a byte of the normalized text. All rows and columns stay, but a column named ``column``; a
     null or empty text has an empty array. The work is per row, so nothing is
     shuffled and neither skew nor repeated rows matter. The index ships to the executors in
     blocks of at most ``BLOCK_BYTES`` of items; for each block beyond the first,
@@ -182,4 +182,5 @@ def with_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_k
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text holds no benchmark item, unchanged."""
-    return with_matches(df, benchmark, text, item_key, item_text, "__matches").where(F.size("__matches") == 0).drop("__matches")
+    own = fresh(df, "__matches")[0]
+    return with_matches(df, benchmark, text, item_key, item_text, own).where(F.size(own) == 0).drop(own)

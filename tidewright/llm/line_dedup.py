@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 WIDTH = 3
 
@@ -60,16 +60,18 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``df`` with ``text`` rid of repeated windows, and two more columns: n_lines and n_removed.
+    """``df`` with ``text`` rid of repeated windows, and the columns n_lines and n_removed (replaced where they are there).
 
     Every row stays; a text may become shorter or empty. Null texts stay null
     and have no lines; an empty text has one. Lines are compared without white
     space at their ends; blank lines are in no window and stay. Repeated rows (the same id and text) are one document and get
     the same text. Rows with a null id come first in the order.
     """
-    n_lines, n_removed = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))), F.coalesce(F.size("__gone"), F.lit(0))
-    gone = covered(df, key, text, width).select(F.col("id").alias("__id"), F.col("dg").alias("__dg"), F.col("gone").alias("__gone"))
-    joined = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__dg")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long"))
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)).drop("__id", "__dg", "__gone")
+    own_id, own_dg, own_gone = fresh(df, "__id", "__dg", "__gone")
+    gone = covered(df, key, text, width).select(F.col("id").alias(own_id), F.col("dg").alias(own_dg), F.col("gone").alias(own_gone))
+    joined = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_dg)), "left")
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    removed = F.when(F.col(own_gone).isNull(), 0).otherwise(F.size(own_gone)).cast("long")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(own_gone, i)), "\n")
+    out = joined.withColumns({"n_lines": lines, "n_removed": removed, text: F.when(F.col(own_gone).isNull(), F.col(text)).otherwise(left)})
+    return out.drop(own_id, own_dg, own_gone)

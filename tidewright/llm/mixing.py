@@ -73,6 +73,10 @@ def with_posteriors(df: DataFrame, model, text: str, tokens: str, names: list[st
     return out.withColumns(dict(zip(names, [F.col(c) / whole for c in logs], strict=True))).drop(found, *logs)
 
 
+#: Columns that a mix adds.
+NEW = ("tokens", "domain", "posterior", "rate", "copies")
+
+
 def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | None = None, least: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """``df`` with tokens, domain (the likeliest), posterior (its share), rate and copies.
 
@@ -83,12 +87,11 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     no more because of that bound, or after ``rounds``. ``copies`` rounds the rate up or down by a hash of the key, to the rate on average: repeated
     rows have equal copies. Null and empty texts have no tokens and the priors
     as posterior; their rate follows from those. An empty table stays empty. All
-    columns of ``df`` stay; clashing names of the new ones raise an error.
+    columns of ``df`` stay, but for those with the names of the new ones, which are replaced.
     """
     domains = model[0]
-    new = ("tokens", "domain", "posterior", "rate", "copies")
-    if clash := {c.lower() for c in df.columns} & set(new):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    new = NEW
+    df = df.drop(*[c for c in df.columns if c.lower() in new])
     if any(w < 0 for w in weights.values()) or not sum(weights.get(d, 0) for d in domains):
         raise ValueError("weights are not negative, and one of the known domains has more than zero")
     p = fresh(df, *[f"__p{i}" for i in range(len(domains))])
@@ -129,5 +132,8 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
 
 def mixed(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | None = None, least: float = 0.0) -> DataFrame:
     """The mix itself: each row of ``df`` as often as :func:`mix` says, with the columns of ``df``."""
-    out = mix(df, model, weights, text, key, total, least)
-    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*df.columns)
+    aside = {c: n for c, n in zip(df.columns, fresh(df, *[f"__own_{c}" for c in df.columns]), strict=True) if c.lower() in NEW}
+    out = mix(df.withColumnsRenamed(aside), model, weights, aside.get(text, text), aside.get(key, key), total, least)
+    again = fresh(out, "__copy")[0]
+    repeated = out.where("copies > 0").withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of
+from .common import crc_of, fresh
 
 #: Letters that a sign or digit is written for.
 LEET = {
@@ -32,7 +32,7 @@ LEET = {
 SUBSTITUTE, REPEAT, NOISE = -1.0, -0.7, -2.5
 EDGE = "\"'()[]{}<>.,;:!?%&*#$|-_=+/\\~`^«»“”‘’…"
 #: Marks at a token's ends that never stand for a letter; longer tokens are taken as they are (keys, hashes).
-PUNCTUATION, LONGEST = ".,;:?\"'", 40
+PUNCTUATION, LONGEST = ".,;:?\"'", 24
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(€£#*.\-_]+[^\W\d_]|[\d@$|€£][^\W\d_]|[^\W\d_][\d@$€£]|([^\W\d_])\1\1")
 _APART = re.compile(r"(?<!\S)(?:[^\s]\s){3,}[^\s](?!\S)")
@@ -149,7 +149,7 @@ class Restorer:
             return core
         if _JOINED.match(core):
             return decode(re.sub(r"[.\-_*]", "", core), self.model)
-        if 2 * sum(map(str.isalpha, core)) < len(core) or len(core) > LONGEST:
+        if 3 * sum(map(str.isalpha, core)) < len(core) or len(core) > LONGEST:
             return core
         # a run of signs at an end is decoration; a single sign there may be a letter
         return decode(outer if len(outer) <= len(core) + 1 else core, self.model)
@@ -190,6 +190,8 @@ class Model:
     chars: CharModel
     weights: dict[str, float]
     bias: float
+    #: The share of label 1 among the rows learned from: the score of a text without words.
+    share: float = 0.0
 
     def __post_init__(self):
         #: The first five characters of the features that are beginnings.
@@ -197,7 +199,9 @@ class Model:
 
     def score(self, text: str | None, restorer: Restorer) -> float:
         found = restorer.words(text)
-        total = max(1, sum(found.values()))
+        if not found:
+            return self.share
+        total = sum(found.values())
         hits: dict[str, int] = {}
         for w, n in found.items():
             if w in self.weights:
@@ -251,7 +255,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     size = {y: n for y, n in rows.groupBy("__y").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
-        return Model(chars, {}, math.log((pos + 0.5) / (neg + 0.5)))
+        return Model(chars, {}, math.log((pos + 0.5) / (neg + 0.5)), (pos + 0.5) / (pos + neg + 1))
     a, b = F.col("a") / pos, F.col("b") / neg
     top = gathered.where("n >= 3").withColumn("gain", F.abs(a - b) / F.sqrt(a + b + 1e-3)).orderBy(F.desc("gain"), "f").limit(MAX_FEATURES)
     names = {r["f"]: i for i, r in enumerate(top.select("f").collect())}
@@ -271,13 +275,13 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     for i, r in enumerate(sample):
         x[i, r["at"]] = r["v"]
     w, bias = logistic(x, y)
-    return Model(chars, {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-4}, bias)
+    return Model(chars, {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-4}, bias, pos / (pos + neg))
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """``df`` with the score (0 to 1) of each whole text. Null and empty texts are scored as texts without words.
+    """``df`` with the score (0 to 1) of each whole text. Texts without words, null ones too, get the share of label 1.
 
-    Per row: nothing is shuffled, whatever the length, skew or repeats; other columns are kept as they are.
+    Per row: nothing is shuffled, whatever the length, skew or repeats; other columns are kept, one named ``column`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -297,4 +301,5 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> F.Column:
 
 def drop_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` with a score below ``threshold``, unchanged."""
-    return with_score(df, model, text, "__score").where(F.col("__score") < threshold).drop("__score")
+    own = fresh(df, "__score")[0]
+    return with_score(df, model, text, own).where(F.col(own) < threshold).drop(own)
