@@ -10,14 +10,15 @@ is a candidate when at least ``MATCHES`` coordinates collide:
   common passages give to many documents are skipped as well;
 * collisions of the pairs that meet are counted on the whole signatures.
 
-With 64 coordinates, a pair at similarity 0.8 has fewer than 32 collisions with
-a probability below 1e-7. Candidates are confirmed on the full shingle sets.
+With 128 coordinates, a pair at similarity 0.8 has fewer than 77 collisions with
+a probability below 1e-6. Candidates are confirmed on the full shingle sets.
 
 Groups of thousands of near copies would meet in all pairs. So documents are
 first compared with a few hubs of each posting list, what is linked becomes one
 component, and afterwards only documents of different components are compared:
-each against those of its list outside its list's main component. No list is
-gathered in one place, and no pair that could join two components is left out.
+those of a list outside its main component against all of the list, block against
+block, so that only pairs with enough collisions are ever written out. No list
+is gathered in one place, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHash, words
 from .components import components
 
-COORDS, MATCHES = 64, 32
+COORDS, MATCHES = 128, 77
 #: Document ids (24 bytes each) that are broadcast at most.
 BROADCAST_IDS = 100_000
+#: Documents of a posting list that are compared as one block.
+BLOCK = 256
 #: Hubs that each posting list names in the first round.
 HUBS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -169,15 +172,42 @@ def _hub_pairs(posted: DataFrame) -> DataFrame:
     return _ordered(pairs.where("x != y"))
 
 
-def _cross_pairs(posted: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of a posting list in different components, one of them outside the list's main component."""
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each coordinate: equal values have equal bytes, others one time in 256."""
+    for b in batches:
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "low"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = []
+        for x, cx, lx, y, cy, ly in zip(*(b.column(i) for i in range(6)), strict=True):
+            x, cx, y, cy = (v.values.to_numpy() for v in (x, cx, y, cy))
+            one, two = (np.frombuffer(b"".join(v.as_py()), np.uint8).reshape(-1, COORDS).T for v in (lx, ly))
+            same = np.zeros((len(x), len(y)), np.uint8)
+            for i, j in zip(np.ascontiguousarray(one), np.ascontiguousarray(two), strict=True):
+                same += i[:, None] == j[None, :]
+            i, j = np.nonzero((same >= MATCHES) & (cx[:, None] != cy[None, :]))
+            found.append(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])], axis=1))
+        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+
+def _cross_pairs(posted: DataFrame, component: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of a posting list in different components, one of them outside the list's main component, with enough collisions."""
     own = posted.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = own.groupBy("tok", "c").count()
-    main = sizes.groupBy("tok").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("n")).where("n > 1").select("tok", F.col("m.c").alias("main"))
-    mixed = own.join(main, "tok")
-    rare = mixed.where("c != main").select("tok", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    pairs = rare.join(mixed.select("tok", F.col("rep").alias("y"), F.col("c").alias("cy")), "tok").where("cx != cy").select("x", "y")
-    return _ordered(pairs)
+    main = sizes.groupBy("tok").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1").select("tok", F.col("m.c").alias("main"), "n")
+    mixed = own.join(main, "tok").join(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    mixed = scratch.save(mixed.select("tok", "rep", "c", "low", block.alias("k"), (F.col("c") != F.col("main")).alias("rare")), "mixed")
+
+    def blocks(rows: DataFrame, x: str) -> DataFrame:
+        return rows.groupBy("tok", "k").agg(*[F.collect_list(c).alias(f"{c}_{x}") for c in ("rep", "c", "low")]).drop("k")
+
+    met = blocks(mixed.where("rare"), "a").join(blocks(mixed, "b"), "tok")
+    return met.select("rep_a", "c_a", "low_a", "rep_b", "c_b", "low_b").mapInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -198,7 +228,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     close = scratch.save(_colliding(tried, reps), "close")
     texts = _texts(df, key, text, reps.join(_ends(close), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
     first = scratch.save(components(scratch.save(_confirmed(close, texts, rule), "links"), scratch), "components")
-    close = scratch.save(_colliding(_cross_pairs(posted, first).join(tried, ["a", "b"], "left_anti"), reps), "close")
+    close = scratch.save(_colliding(_cross_pairs(posted, first, reps, scratch).join(tried, ["a", "b"], "left_anti"), reps), "close")
     new = _ends(close).join(texts.select("rep").distinct(), "rep", "left_anti")
     texts = texts.union(_texts(df, key, text, reps.join(new, "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch))
     more = scratch.save(_confirmed(close, texts, rule), "links")
