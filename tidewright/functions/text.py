@@ -59,7 +59,12 @@ def remove_non_ascii(c: Column) -> Column:
 
 def null_placeholders(c: Column, placeholders=PLACEHOLDERS) -> Column:
     """Null for a placeholder in any case, white space around it aside."""
-    return F.when(~F.upper(trim_whitespace(c)).isin(list(placeholders)), c)
+    return null_words(c, trim_whitespace(c), placeholders)
+
+
+def null_words(c: Column, trimmed: Column, placeholders=PLACEHOLDERS) -> Column:
+    """The same, given the trimmed value."""
+    return F.when(~F.upper(trimmed).isin(list(placeholders)), c)
 
 
 def parse_currency(c: Column, keep_sign: bool = False) -> Column:
@@ -73,9 +78,11 @@ def parse_currency(c: Column, keep_sign: bool = False) -> Column:
 def parse_number(c: Column) -> Column:
     """Money with symbols, commas, codes and k; ``x/y`` is scaled to five."""
     up, down = F.regexp_extract(c, RATIO, 1).try_cast("double"), F.regexp_extract(c, RATIO, 2).try_cast("double")
-    money = F.regexp_replace(F.regexp_extract(c, MONEY, 1), ",", "").try_cast("double")
     ratio = F.when(down == 5, up).when(down != 0, up / down * 5)
-    return F.when(c.rlike(RATIO), ratio).when(c.rlike(MONEY), F.when(F.regexp_extract(c, MONEY, 2) != "", money * 1000).otherwise(money))
+    # what doesn't match gives an empty text, and so null; the rarer patterns are tried only where their sign is there
+    money = F.replace(F.regexp_extract(c, MONEY, 1), F.lit(","), F.lit("")).try_cast("double")
+    thousands = F.lower(c).contains("k") & (F.regexp_extract(c, MONEY, 2) != "")
+    return F.when(c.contains("/"), ratio).otherwise(money * F.when(thousands, 1000.0).otherwise(1.0))
 
 
 def parse_percentage(c: Column) -> Column:
@@ -85,8 +92,13 @@ def parse_percentage(c: Column) -> Column:
 
 def parse_fraction(c: Column) -> Column:
     """``15%``, ``0.15`` and ``15`` all give 0.15."""
-    number = parse_number(c)
-    return F.when(c.rlike(PERCENT), F.regexp_extract(c, PERCENT, 1).try_cast("double") / 100).when(number > 1, number / 100).otherwise(number)
+    return fraction_of(c, parse_number(c))
+
+
+def fraction_of(c: Column, number: Column) -> Column:
+    """The same, given the number parsed from ``c``; it is named in no branch, so that Spark computes it once."""
+    scaled = number / (F.lit(1.0) + F.lit(99.0) * (number > 1).cast("double"))
+    return F.when(c.contains("%"), F.regexp_extract(c, PERCENT, 1).try_cast("double") / 100).otherwise(scaled)
 
 
 def parse_rating(c: Column) -> Column:
