@@ -151,6 +151,24 @@ def test_scores(spark):
     assert hmm.score(df.limit(0)).count() == 0
 
 
+def test_rare_words_have_emissions_of_their_own(spark):
+    """80,000 words of one class, each in four texts of one topic: held-out texts of such words alone follow the topic."""
+    rng = random.Random(12)
+    rows, k = [], 0
+    for topic in "ab":
+        rare = [f"qq{topic}{i}zz" for i in range(40_000)] * 4
+        rng.shuffle(rare)
+        for lo in range(0, len(rare), 200):
+            rows.append((k, " ".join(w for x in rare[lo : lo + 200] for w in (x, *([f"{topic}{rng.randrange(20)}"] if rng.random() < 0.4 else []))), True))
+            k += 1
+        rows += [(k + i, " ".join(rng.choice(rare) for _ in range(200)), False) for i in range(5)]
+        k += 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = [r for r in hmm.score(df, states=2, train_on=F.col("train")).collect() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert len(got) == 10 and gain > 0.25, gain
+
+
 def test_probabilities_of_all_next_words_sum_to_one():
     """Head words, and the words of each class with one place for unseen ones."""
     symbols = hmm.Symbols(np.array([5, 9]), np.array([3.0, 2.0]), np.full(hmm.CLASSES, hmm.ADD))

@@ -1,20 +1,21 @@
 """Language-model scoring with a hidden Markov model.
 
-The model's symbols are the ``HEAD`` commonest words, one each, and ``CLASSES``
-classes of all other words by their first and last bytes. States emit symbols;
-a class emits each of its words by the word's smoothed share of the class in the
-training texts (an unseen word has the share of a count of zero). So the
-probability of a text is exact: the forward recursion over its symbols, times
-the shares of its rarer words.
-
-Baum-Welch runs over all training texts. Its expected counts are taken per task
-on pieces of ``PIECE`` tokens, added up by Spark, and only the sums (symbols by
-states) reach the driver. Word counts, which grow with the corpus, stay in
-tables and are joined to the words of each text.
+The model's symbols are all words of the training texts, however many, each with
+emissions of its own in every state; each of ``CLASSES`` classes of words by
+their first and last bytes has one more place for words that training hasn't
+seen. So the probability of a text is exact: the forward recursion over its words.
+
+Texts are kept in chunks of some ``CHUNK`` tokens with a dictionary of their own,
+sorted by hash. In a round of Baum-Welch each chunk is given the emissions of its
+own words and gives back its expected counts of them, bucket by bucket of the
+hashes; Spark adds up the counts of a bucket's words over all chunks. No table of
+all words is ever in one place: the driver sees sums by state alone. Forward and
+backward messages run over whole texts.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,25 +28,25 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_of, words
 
-STATES, HEAD, CLASSES = 8, 30_000, 2048
-PIECE, ROUNDS = 128, 6
-#: Added to each word's count, in the model's shares as in the base score.
-ADD = 0.1
+STATES, CLASSES = 8, 2048
+ROUNDS = 6
+#: Added to each word's count, in the model's shares as in the base score; tokens of the corpus's shares that each state's counts get.
+ADD, SHARED = 0.1, 100
 _LOW = (1 << 52) - 1
-END = xxhash.xxh64_intdigest(b"\n") & _LOW
-#: Tokens that a task works on at a time.
-GROUP = 1_500_000
+END = (xxhash.xxh64_intdigest(b"\n") & _LOW) << 11
+#: Tokens of a chunk, and places of texts and padding that one recursion works on at a time.
+CHUNK, CELLS = 2_500_000, 600_000
 
 
 class WordCode(dict):
-    """word -> 63-bit code: the class in the upper 11 bits, a hash below."""
+    """word -> 63-bit code: a hash in the upper 52 bits, the class below."""
 
     limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = c = (zlib.crc32(word[:2] + b" " + word[-2:]) % CLASSES) << 52 | xxhash.xxh64_intdigest(word) & _LOW
+        self[word] = c = (xxhash.xxh64_intdigest(word) & _LOW) << 11 | zlib.crc32(word[:2] + b" " + word[-2:]) % CLASSES
         return c
 
     def of(self, text: str | None) -> np.ndarray:
@@ -57,88 +58,29 @@ class WordCode(dict):
         return out
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(w, c): the code and count of every token of the texts, one end per row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, n = WordCode(), [], 0
-
-        def flush():
-            w, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], ["w", "c"])
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(codes.of(t.as_py()))
-                n += len(held[-1])
-                if n >= GROUP:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    return texts.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Symbols:
-    """The head's codes in order with their counts, and each class's mass of words outside the head."""
+    """Some words' codes in order with their training counts, and the mass of each class's place for unseen words."""
 
     codes: np.ndarray
     counts: np.ndarray
     mass: np.ndarray
 
-    def of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of codes, and which of them are in the head."""
-        if not len(self.codes):
-            return (w >> 52).astype(np.int64), np.zeros(len(w), bool)
-        at = np.minimum(np.searchsorted(self.codes, w), len(self.codes) - 1)
-        known = self.codes[at] == w
-        return np.where(known, at, len(self.codes) + (w >> 52)), known
+    def weights(self) -> np.ndarray:
+        """Smoothed counts; a word that training hasn't seen has its class's place."""
+        return np.where(self.counts > 0, self.counts + ADD, self.mass[self.codes & (CLASSES - 1)])
 
-    @property
-    def size(self) -> int:
-        return len(self.codes) + CLASSES
 
+def _noise(codes: np.ndarray, states: int) -> np.ndarray:
+    """Standard normal numbers by code and state, the same wherever they are made."""
 
-def symbols_of(counts: DataFrame, head: int = HEAD) -> Symbols:
-    top = sorted(counts.orderBy(F.desc("c"), "w").limit(head).collect())
-    codes, n = np.array([r["w"] for r in top], np.int64), np.array([r["c"] for r in top], np.float64)
-    mass = np.full(CLASSES, ADD)
-    for k, m in counts.groupBy(F.shiftright("w", 52).cast("int").alias("k")).agg(F.sum(F.col("c") + ADD).alias("m")).collect():
-        mass[k] += m
-    np.subtract.at(mass, codes >> 52, n + ADD)
-    return Symbols(codes, n, np.maximum(mass, ADD))
+    def uniform(salt: int) -> np.ndarray:
+        x = codes.astype(np.uint64)[:, None] + np.arange(salt, salt + states, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17
 
-
-def encode(df: DataFrame, symbols: Symbols, key: str, text: str, train: F.Column) -> DataFrame:
-    """(row key, train, n, syms, head_log, class_log, tail): tail holds the codes and counts of the words outside the head."""
-    shared = df.sparkSession.sparkContext.broadcast(symbols)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, codes = shared.value, WordCode()
-        log_head, log_mass = np.log10(s.counts + ADD), np.log10(s.mass)
-        for b in batches:
-            n, syms, head, mass, tails, times = [], [], [], [], [], []
-            for t in b.column(2):
-                w = codes.of(t.as_py())
-                at, known = s.of(w)
-                rest = w[~known]
-                tail, count = np.unique(rest, return_counts=True)
-                n.append(len(w))
-                syms.append(at.astype(np.uint16).tobytes())
-                head.append(float(log_head[at[known]].sum()))
-                mass.append(float(log_mass[rest >> 52].sum()))
-                tails.append(tail)
-                times.append(count.astype(np.int32))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(syms, pa.binary()), pa.array(head, pa.float64()), pa.array(mass, pa.float64()),
-                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tails))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times)))],
-                ["key", "train", "n", "syms", "head_log", "class_log", "tail", "times"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), train.alias("train"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, train boolean, n long, syms binary, head_log double, class_log double, tail array<long>, times array<int>")
+    return np.sqrt(-2 * np.log(uniform(1))) * np.cos(2 * np.pi * uniform(1001))
 
 
 @dataclass
@@ -151,9 +93,8 @@ class Hmm:
     emit: np.ndarray
 
     @staticmethod
-    def first(share: np.ndarray, states: int, seed: int = 7) -> Hmm:
-        rng = np.random.default_rng(seed)
-        emit = share[:, None] * np.exp(rng.normal(0, 0.7, (len(share), states)))
+    def first(share: np.ndarray, states: int) -> Hmm:
+        emit = share[:, None] * np.exp(0.7 * _noise(np.arange(len(share)), states))
         move = np.full((states, states), 0.05 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
         if states > 1:
             np.fill_diagonal(move, 0.95)
@@ -183,12 +124,6 @@ class Hmm:
         emitted = np.stack([np.bincount(pieces.ravel(), weights=alpha[:, :, i].ravel(), minlength=len(self.emit)) for i in range(k)], axis=1)
         return emitted, moves * self.move, alpha[0, opens].sum(0), alpha[0, ~opens].sum(0)
 
-    def refit(self, emitted, moves, start, inner, share: np.ndarray) -> Hmm:
-        """The next model: expected counts with a little of the corpus's shares and of an even spread."""
-        emit = emitted + 100 * share[:, None]
-        move, start, inner = moves + 1, start + 1, inner + 1
-        return Hmm(start / start.sum(), inner / inner.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
     def forward(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each whole symbol sequence, by the scaled forward recursion."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
@@ -210,83 +145,181 @@ class Hmm:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches with their symbol arrays, some ``GROUP`` tokens at a time."""
-    held, texts, n = [], [], 0
-    for b in batches:
-        for lo in range(0, b.num_rows, 512):
-            part = b.slice(lo, 512)
-            new = [np.frombuffer(x.as_py(), np.uint16) for x in part.column(column)]
-            held.append(part)
-            texts += new
-            n += sum(map(len, new))
-            if n >= GROUP:
-                yield held, texts
-                held, texts, n = [], [], 0
-    if held:
-        yield held, texts
-
-
-def _pieces(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(symbols by time and piece, lengths, begins a text) of pieces, longest first, some thousand at a time."""
-    cut = sorted(((t[i : i + PIECE], i == 0) for t in texts for i in range(0, len(t), PIECE)), key=lambda p: -len(p[0]))
-    for lo in range(0, len(cut), 2048):
-        part = cut[lo : lo + 2048]
-        lengths = np.array([len(p) for p, _ in part])
-        out = np.zeros((lengths[0], len(part)), np.int64)
-        for j, (p, _) in enumerate(part):
-            out[: len(p), j] = p
-        yield out, lengths, np.array([o for _, o in part])
-
-
-def train(encoded: DataFrame, size: int, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over all training rows of ``encoded``; counts are added up across partitions."""
-    texts = encoded.where("train").select("syms")
-    names = [f"s{i}" for i in range(states)]
-    schema = "at int, " + ", ".join(f"{n} double" for n in names)
-
-    def rows(total: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(total.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(np.ascontiguousarray(total[at, i])) for i in range(states))], ["at", *names])
-
-    def gathered(df: DataFrame) -> np.ndarray:
-        out = np.zeros((size + states + 2, states))
-        for r in df.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect():
-            out[r[0]] = r[1:]
-        return out
+def _whole(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols by time and text, lengths) of whole texts, longest first, some ``CELLS`` places at a time."""
+    texts = sorted(texts, key=len, reverse=True)
+    lo = 0
+    while lo < len(texts):
+        part = texts[lo : lo + max(1, CELLS // len(texts[lo]))]
+        out = np.zeros((len(part[0]), len(part)), np.int64)
+        for j, t in enumerate(part):
+            out[: len(t), j] = t
+        yield out, np.array([len(t) for t in part])
+        lo += len(part)
+
+
+def encode(df: DataFrame, key: str, text: str, train: F.Column) -> DataFrame:
+    """(keys, train, lens, syms, codes): chunks of whole texts; syms are places in the chunk's sorted codes."""
+    field = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, keys, trained, n = WordCode(), [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            found, syms = np.unique(np.concatenate(held), return_inverse=True)
+            lens = np.array([len(w) for w in held], np.int64)
+            key = pa.concat_arrays(keys)
+            ends = pa.array([0, len(key)], pa.int32())
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lens, syms.astype(np.int32), found)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, key), pa.ListArray.from_arrays(ends, pa.concat_arrays(trained)), *blobs], ["keys", "train", "lens", "syms", "codes"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, states))
         for b in batches:
-            total[:, 0] += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16), minlength=size)
-        yield rows(total)
+            lo = 0
+            for i, t in enumerate(b.column(2)):
+                held.append(codes.of(t.as_py()))
+                n += len(held[-1])
+                if n >= CHUNK or i == b.num_rows - 1:
+                    keys.append(b.column(0).slice(lo, i + 1 - lo))
+                    trained.append(b.column(1).slice(lo, i + 1 - lo))
+                    lo = i + 1
+                if n >= CHUNK:
+                    yield flush()
+                    held, keys, trained, n = [], [], [], 0
+        if held:
+            yield flush()
+
+    return df.select(F.col(key).alias("key"), train.alias("train"), F.col(text).alias("text")).mapInArrow(run, f"keys array<{field}>, train array<boolean>, lens binary, syms binary, codes binary")
+
+
+def _texts(lens: pa.Scalar, syms: pa.Scalar) -> list[np.ndarray]:
+    return np.split(np.frombuffer(syms.as_py(), np.int32), np.cumsum(np.frombuffer(lens.as_py(), np.int64))[:-1])
 
-    share = gathered(texts.mapInArrow(counted, schema))[:size, 0] + ADD
-    share /= share.sum()
-    model = Hmm.first(share, states)
-    for _ in range(rounds):
-        shared = encoded.sparkSession.sparkContext.broadcast(model)
-        sums = gathered(texts.mapInArrow(_expect(shared, size, states, rows), schema))
-        model = model.refit(sums[:size], sums[size : size + states], sums[-2], sums[-1], share)
-        shared.destroy()
-    return model
 
+def _sent(chunk: int, codes: np.ndarray, sums: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's numbers by word, one row for each bucket of the codes."""
+    edges = np.searchsorted(codes, np.arange(1 << bits, dtype=np.int64) << (63 - bits)).tolist() + [len(codes)]
+    rows = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([codes[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()), pa.array([sums[lo:hi].tobytes() for _, lo, hi in rows], pa.binary())],
+        ["bucket", "chunk", "codes", "sums"])
+
+
+SENT = "bucket int, chunk long, codes binary, sums binary"
+#: ``stats`` rows have no chunk: training tokens, training words and sums by state of a bucket, or with bucket -1 the sums of moves and starts.
+SERVED = "chunk long, bucket int, x binary, stats binary"
+
+
+def _first(s: Symbols, states: int) -> np.ndarray:
+    return s.weights()[:, None] * np.exp(0.7 * _noise(s.codes, states))
+
+
+def _serve(states: int, mass: float | None):
+    """Adds up a bucket's numbers by word and answers each chunk with its words' emissions, not yet divided by their sums by state.
+
+    Without ``mass``, the whole smoothed count, the numbers are training counts, and so are the answers.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, chunks = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
+        sums = [np.frombuffer(x.as_py(), np.float64 if mass is None or bucket < 0 else np.float32) for x in rows.column("sums")]
+        if bucket < 0:
+            out = [(-1, bucket, b"", np.sum(sums, axis=0).tobytes())]
+        else:
+            parts = [np.frombuffer(x.as_py(), np.int64) for x in rows.column("codes")]
+            codes, at = np.unique(np.concatenate(parts), return_inverse=True)
+            sums = np.concatenate(sums).reshape(len(at), -1)
+            total = np.stack([np.bincount(at, x, len(codes)) for x in sums.T], axis=1)
+            s = Symbols(codes, np.rint(total.sum(axis=1)), np.full(CLASSES, ADD))
+            emit = _first(s, states) if mass is None else total + SHARED / mass * s.weights()[:, None]
+            known = s.counts > 0
+            out = [(-1, bucket, b"", np.concatenate([[s.counts.sum(), known.sum()], emit[known].sum(axis=0)]).tobytes())]
+            answer, ends = s.counts.astype(np.int64) if mass is None else emit.astype(np.float32), np.cumsum([0, *map(len, parts)])
+            for c, lo, hi in zip(chunks, ends, ends[1:]):
+                out.append((c, bucket, answer[at[lo:hi]].tobytes(), b""))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["chunk", "bucket", "x", "stats"])
+
+    return run
+
+
+def _given(chunks: DataFrame, served: DataFrame, name: str) -> DataFrame:
+    """``chunks`` with the parts (bucket, bytes) of the answers to each."""
+    parts = served.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "x")).alias(name))
+    return chunks.join(parts, "chunk")
+
+
+def _whole_array(parts: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(p["x"] for p in sorted(parts.as_py(), key=lambda p: p["bucket"])), kind)
+
+
+def _emissions(codes: np.ndarray, parts: pa.Scalar, first: bool, sums: np.ndarray) -> np.ndarray:
+    """A chunk's emissions by word and state; the first ones are made of the words' counts."""
+    found = _first(Symbols(codes, _whole_array(parts, np.int64), np.full(CLASSES, ADD)), len(sums)) if first else _whole_array(parts, np.float32).reshape(-1, len(sums))
+    return found / sums
+
+
+def _stats(served: DataFrame, states: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Training tokens, training words, sums of emissions by state, and the moves and starts one after the other."""
+    got = {r["bucket"]: np.frombuffer(r["stats"], np.float64) for r in served.where("chunk = -1").select("bucket", "stats").collect()}
+    other = got.pop(-1, np.zeros(states * (states + 1)))
+    whole = np.sum([got[k] for k in sorted(got)], axis=0) if got else np.zeros(2 + states)
+    return int(whole[0]), int(whole[1]), whole[2:], other
+
+
+def _counted(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, train, lens, syms, codes in zip(*(b.column(i) for i in range(5)), strict=True):
+                codes = np.frombuffer(codes.as_py(), np.int64)
+                of = np.repeat(np.array(train.as_py(), bool), np.frombuffer(lens.as_py(), np.int64))
+                n = np.bincount(np.frombuffer(syms.as_py(), np.int32)[of], minlength=len(codes)).astype(np.float64)
+                yield from _sent(chunk.as_py(), codes, n, bits)
+
+    return run
+
+
+def _expect(model: Hmm, sums: np.ndarray, bits: int, first: bool):
+    """Expected counts of each chunk's training texts under ``model``, whose emissions are divided by ``sums``."""
+    states = len(sums)
 
-def _expect(shared, size: int, states: int, rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = shared.value, np.zeros((size + states + 2, states))
-        for _, texts in _groups(batches, 0):
-            for pieces, lengths, opens in _pieces(texts):
-                emitted, moves, start, inner = model.expected(pieces, lengths, opens)
-                total[:size] += emitted
-                total[size : size + states] += moves
-                total[-2] += start
-                total[-1] += inner
-        yield rows(total)
+        for b in batches:
+            for chunk, train, lens, syms, codes, parts in zip(*(b.column(i) for i in range(6)), strict=True):
+                codes = np.frombuffer(codes.as_py(), np.int64)
+                m = Hmm(model.start, model.inner, model.move, _emissions(codes, parts, first, sums))
+                emitted, other = np.zeros(m.emit.shape), np.zeros(states * (states + 1))
+                for texts, lengths in _whole([t for t, y in zip(_texts(lens, syms), train.as_py(), strict=True) if y]):
+                    e, moves, start, _ = m.expected(texts, lengths, np.ones(len(lengths), bool))
+                    emitted += e
+                    other += np.concatenate([moves.ravel(), start])
+                yield from _sent(chunk.as_py(), codes, emitted.astype(np.float32), bits)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([other.tobytes()], pa.binary())], ["bucket", "chunk", "codes", "sums"])
 
     return run
 
 
+def train(chunks: DataFrame, states: int, rounds: int, scratch: Scratch) -> tuple[Hmm, np.ndarray, DataFrame, DataFrame, int, int]:
+    """Baum-Welch over all training texts: the model without emissions, their sums by state, the tables of counts and emissions, and the numbers of training tokens and words."""
+    bits = max(6, (chunks.count() // 4).bit_length())
+    read = ["chunk", "train", "lens", "syms", "codes"]
+    counts = served = scratch.save(chunks.select(*read).mapInArrow(_counted(bits), SENT).groupBy("bucket").applyInArrow(_serve(states, None), SERVED), "served")
+    total, kinds, sums, _ = _stats(served, states)
+    mass, sums = total + ADD * (kinds + CLASSES), sums + ADD * CLASSES
+    model = Hmm.first(np.ones(1), states)
+    for _ in range(rounds):
+        sent = _given(chunks.select(*read), served, "parts").select(*read, "parts").mapInArrow(_expect(model, sums, bits, served is counts), SENT)
+        last, served = served, scratch.save(sent.groupBy("bucket").applyInArrow(_serve(states, mass), SERVED), "served")
+        if last is not counts:
+            scratch.forget(last)
+        _, _, sums, other = _stats(served, states)
+        sums = sums + SHARED / mass * ADD * CLASSES
+        move, start = other[: states * states].reshape(states, states) + 1, other[states * states :] + 1
+        model = Hmm(start / start.sum(), model.inner, move / move.sum(axis=1, keepdims=True), model.emit)
+        del sent, last
+        chunks.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the round's shuffle files
+    return model, sums, counts, served, total, kinds
+
+
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, train_on: F.Column | None = None) -> DataFrame:
     """One row per row of ``df``: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -300,28 +333,28 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", states: int =
     spark = df.sparkSession
     train_on = crc_of(F.col(key)) % 10 != 0 if train_on is None else train_on
     scratch = Scratch(spark, "hmm")
-    counts = scratch.save(word_counts(df.where(train_on).select(text)), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    symbols = symbols_of(counts)
-    encoded = scratch.save(encode(df, symbols, key, text, train_on).withColumn("row", F.monotonically_increasing_id()), "texts")
-    model = spark.sparkContext.broadcast(train(encoded, symbols.size, states, rounds))
+    # bucketed by chunk, so that rounds don't shuffle the texts
+    name = f"hmm_{uuid.uuid4().hex}"
+    chunks = encode(df, key, text, train_on).withColumn("chunk", F.monotonically_increasing_id())
+    chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{scratch.root}/chunks").format("parquet").saveAsTable(name)
+    chunks = spark.table(name)
+    model, sums, counts, served, total, kinds = train(chunks, states, rounds, scratch)
+    first = served is counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, texts in _groups(batches, 1):
-            logs = model.value.forward(texts)
-            at = 0
-            for b in held:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logs[at : at + b.num_rows])], ["row", "forward"])
-                at += b.num_rows
-
-    tail = encoded.select("row", F.inline(F.arrays_zip("tail", "times"))).withColumnRenamed("tail", "w")
-    c = F.coalesce("c", F.lit(0))
-    rare = tail.join(counts, "w", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + ADD)).alias("rare_log"), F.sum("times").alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    forward = encoded.select("row", "syms").mapInArrow(run, "row long, forward double")
-    out = encoded.select("row", "key", "train", "n", "head_log", "class_log").join(forward, "row").join(rare, "row", "left")
-    none = lambda name: F.coalesce(name, F.lit(0))
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return out.select(
-        F.col("key").alias(key), (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("n") - none("rare") + none("rare_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_log") + rare_log - F.col("n") * float(np.log10(total + ADD * (kinds + 1)))).alias("base_score"), (F.col("forward") + rare_log - F.col("class_log")).alias("score"),
-    )
+        for b in batches:
+            for keys, train, lens, syms, codes, seen, emit in zip(*(b.column(i) for i in range(7)), strict=True):
+                m = Hmm(model.start, model.inner, model.move, _emissions(np.frombuffer(codes.as_py(), np.int64), emit, first, sums))
+                c, texts = _whole_array(seen, np.int64), _texts(lens, syms)
+                logs, n = np.log10(c + ADD), np.array([len(t) for t in texts], np.int64)
+                base = np.array([float(logs[t].sum()) for t in texts]) - n * np.log10(total + ADD * (kinds + 1))
+                known = np.array([int((c[t] > 0).sum()) for t in texts], np.int64)
+                forward = m.forward(texts)
+                held = pa.array(~np.array(train.as_py(), bool))
+                out = pa.RecordBatch.from_arrays([keys.values, held, pa.array(n), pa.array(known), pa.array(base), pa.array(forward)], ["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                yield from (out.slice(lo, 10_000) for lo in range(0, out.num_rows, 10_000))
+
+    kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+    given = _given(_given(chunks, counts, "seen"), served, "emit").select("keys", "train", "lens", "syms", "codes", "seen", "emit")
+    out = given.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
