@@ -192,6 +192,22 @@ def test_decoding_of_disguised_words():
     assert r("9233a8ecf7c5b09fe5949719b6b82bc439e9329b9233") and r("***") == ""
 
 
+def test_stretched_and_sign_heavy_tokens_are_decoded():
+    rng = random.Random(1)
+    counts = np.zeros((toxicity.SYMBOLS,) * 3)
+    for _ in range(2000):
+        t = [0, *[toxicity.symbol(c) for c in rng.choice(["idiot", "moron", "asshole", "hello", "bad"])], 0]
+        for x in zip([0, *t], t, t[1:]):
+            counts[x] += 1
+    model = toxicity.CharModel.of(counts.ravel())
+    r = toxicity.Restorer(model)
+    assert [r(w) for w in ("idi" + "o" * 40 + "t", "@$$h0l3", "m" * 30 + "0r0n")] == ["idiot", "asshole", "moron"]
+    assert r.words("so b a d here")["bad"] == r.words("you i  d  i  o  t now")["idiot"] == 1
+    assert r.words("b a d  i d i o t")["idiot"] == r.words("b a d  i d i o t")["bad"] == 1
+    assert r("9233a8ecf7c5b09fe5949719b6b82bc439e9329b9233") == "9233a8ecf7c5b09fe5949719b6b82bc439e9329b9233" and r("1234567q") == "1234567q"
+    assert toxicity.decode("m0r0n" * 20_000, model) == "moron" * 20_000
+
+
 def plain_viterbi(token, model):
     """The best reading by trying all of them."""
     import itertools

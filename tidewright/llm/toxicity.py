@@ -10,6 +10,7 @@ have one reading and pass as they are.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,11 +32,14 @@ LEET = {
 #: Log costs of writing a letter as itself, as a sign, of a repeated letter, and of a sign that stands for nothing.
 SUBSTITUTE, REPEAT, NOISE = -1.0, -0.7, -2.5
 EDGE = "\"'()[]{}<>.,;:!?%&*#$|-_=+/\\~`^«»“”‘’…"
-#: Marks at a token's ends that never stand for a letter; longer tokens are taken as they are (keys, hashes).
+#: Marks at a token's ends that never stand for a letter; the language model decides on tokens of more places than that.
 PUNCTUATION, LONGEST = ".,;:?\"'", 24
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(€£#*.\-_]+[^\W\d_]|[\d@$|€£][^\W\d_]|[^\W\d_][\d@$€£]|([^\W\d_])\1\1")
-_APART = re.compile(r"(?<!\S)(?:[^\s]\s){3,}[^\s](?!\S)")
+_APART = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
+_REPEATS = re.compile(r"(.)\1+", re.DOTALL)
+#: Long tokens that their form tells from words: addresses, mail addresses, hexadecimal keys and hashes.
+_FORM = re.compile(r"\w://|^www\.|^[\w.+\-]+@[\w\-]+\.[\w.\-]+$|^(?:0x)?[0-9a-f\-:]+$")
 _JOINED = re.compile(r"^(?:[^\W_][.\-_*])+[^\W_]$")
 #: Symbols of the language model: 0 a boundary, 1 to 26 the letters, 27 any other letter.
 SYMBOLS = 28
@@ -111,7 +115,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def decode(token: str, model: CharModel) -> str:
     """The likeliest reading of a token: Viterbi over its lattice; a state is the last two symbols."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
+    done: list[str] = []
+    for i, options in enumerate(lattice(token), 1):
         then: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in best.items():
             for text, cost in options:
@@ -123,7 +128,17 @@ def decode(token: str, model: CharModel) -> str:
                 if (x, y) not in then or (s, word + text) > then[x, y]:
                     then[x, y] = (s, word + text)
         best = then
-    return max(((s + model.logp[x, y, 0], w) for (x, y), (s, w) in best.items()), default=(0.0, ""))[1]
+        if i % 64 == 0:  # what all readings begin with is settled, so that long tokens take time in proportion
+            n = len(same := os.path.commonprefix([w for _, w in best.values()]))
+            done.append(same)
+            best = {k: (s, w[n:]) for k, (s, w) in best.items()}
+    return "".join(done) + max(((s + model.logp[x, y, 0], w) for (x, y), (s, w) in best.items()), default=(0.0, ""))[1]
+
+
+def likely(word: str, model: CharModel) -> bool:
+    """Whether a reading is likelier under the language model than letters drawn evenly."""
+    z = [0, 0, *map(symbol, word), 0]
+    return bool(word) and sum(model.logp[x] for x in zip(z, z[1:], z[2:])) > -(len(z) - 2) * math.log(SYMBOLS)
 
 
 @dataclass
@@ -149,19 +164,28 @@ class Restorer:
             return core
         if _JOINED.match(core):
             return decode(re.sub(r"[.\-_*]", "", core), self.model)
-        if 3 * sum(map(str.isalpha, core)) < len(core) or len(core) > LONGEST:
+        places = len(_REPEATS.sub(r"\1", core))
+        if places > LONGEST and _FORM.search(core):
             return core
         # a run of signs at an end is decoration; a single sign there may be a letter
-        return decode(outer if len(outer) <= len(core) + 1 else core, self.model)
+        w = decode(outer if len(outer) <= len(core) + 1 else core, self.model)
+        doubtful = places > LONGEST or 3 * sum(map(str.isalpha, core)) < len(core)
+        return w if not doubtful or likely(w, self.model) else core
+
+    def _apart(self, run: str) -> Iterator[str]:
+        """Letters set apart as one word; with wider gaps among narrow ones, also the words between those."""
+        least = min(map(len, re.findall(r"\s+", run)))
+        parts = ["".join(x.split()) for x in re.split(r"\s{%d,}" % (least + 1), run)]
+        for x in dict.fromkeys(["".join(parts), *(x for x in parts if len(x) > 2)]):
+            if 2 * sum(map(str.isalpha, x)) >= len(x):
+                yield decode(x, self.model)
 
     def words(self, text: str | None) -> Counter:
         """Restored words of a whole text in lower case, with their counts."""
         low = (text or "").lower()
         out: Counter = Counter()
         for m in _APART.finditer(low):
-            joined = "".join(m[0].split())
-            if 2 * sum(map(str.isalpha, joined)) >= len(joined):
-                out[decode(joined, self.model)] += 1
+            out.update(self._apart(m[0]))
         for token, n in Counter(low.split()).items():
             if w := self(token):
                 out[w] += n
