@@ -147,3 +147,10 @@ def test_entry_without_the_optional_parts(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_registered_union_reads_all_rows(spark, sf_dir):
+    from tidewright.plans import catalog
+
+    got = {r["part"]: r["count"] for r in catalog.QUERIES["u2_union_whole"](spark, sf_dir).groupBy("part").count().collect()}
+    assert got == {"o": spark.read.parquet(f"{sf_dir}/orders.parquet").count(), "c": spark.read.parquet(f"{sf_dir}/customer.parquet").count()}

@@ -560,6 +560,12 @@ def u1_union_parts(spark, sf_dir):
     return one.unionByName(table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.lit("c").alias("part"), F.col("c_custkey").alias("k")))
 
 
+@query("SELECT o_orderkey AS k, 'o' AS part FROM orders UNION ALL SELECT c_custkey, 'c' FROM customer")
+def u2_union_whole(spark, sf_dir):
+    one = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("o").alias("part"))
+    return one.unionByName(table(spark, sf_dir, "customer").select(F.lit("c").alias("part"), F.col("c_custkey").alias("k")))
+
+
 # --- design ---
 
 
