@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (partly aggregated before the shuffle) joined
-back to the edges, so a vertex with very many edges is never gathered anywhere.
+back to the edges. The minima of vertices with very many edges, which are few
+however many edges there are, are broadcast, so such a vertex's edges stay spread.
 """
 
 from __future__ import annotations
@@ -12,16 +13,37 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large(e: DataFrame) -> DataFrame:
+#: Keys that are broadcast at most, and rows up to which a key stays with the others.
+HOT_KEYS, HOT_ROWS = 20_000, 256
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined to ``per_key``, which has a row for each ``key``; a key with very many rows is not one task's.
+
+    Keys with more than ``max(HOT_ROWS, total / HOT_KEYS)`` of the ``total`` rows are at
+    most ``HOT_KEYS``: their side is broadcast. All others are joined by a shuffle.
+    """
+    total = rows.count() if total is None else total
+    if total <= HOT_ROWS:
+        return rows.join(per_key, key)
+    hot = rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, total // HOT_KEYS)).select(key, F.lit(True).alias("__hot"))
+    if not hot.limit(1).count():
+        return rows.join(per_key, key)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = per_key.join(F.broadcast(hot), key, "left_semi")
+    return marked.where("__hot").drop("__hot").join(F.broadcast(few), key).unionByName(marked.where("__hot is null").drop("__hot").join(per_key, key))
+
+
+def _large(e: DataFrame, total: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return spread_join(both, least, "u", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = spread_join(down, least, "u", total)
     pairs = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
     return pairs.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct()
 
@@ -40,7 +62,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        then = scratch.save(_small(_large(now)), "edges")
-        scratch.forget(now)
+        large = scratch.save(_large(now, mark[0]), "edges")
+        then = scratch.save(_small(large, mark[0]), "edges")
+        for done in (now, large):
+            scratch.forget(done)
         now = then
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -13,18 +13,25 @@ is a candidate when at least ``MATCHES`` coordinates collide:
 With 128 coordinates, a pair at similarity 0.8 has fewer than 77 collisions with
 a probability below 1e-6. Candidates are confirmed on the full shingle sets.
 
-Groups of thousands of near copies would meet in all pairs. So documents are
-first compared with a few hubs of each posting list, what is linked becomes one
-component, and afterwards only documents of different components are compared:
-those of a list outside its main component against all of the list, block against
-block, so that only pairs with enough collisions are ever written out. No list
-is gathered in one place, and no pair that could join two components is left out.
+Groups of thousands of near copies would meet in all pairs, so pairs are never
+written out. Documents that are connected by enough collisions are a neighbourhood:
+each is compared with a few hubs of its posting lists, and then, block against
+block, the documents of a list that are still in different neighbourhoods; a pair
+of blocks gives a forest of its candidates, at most a row for each document. All links
+lie within neighbourhoods. There the candidates among the hubs' pairs are confirmed
+on the full sets, what they link becomes one component, and the documents outside a
+neighbourhood's main component are compared with all of it, block against block:
+collisions pick the candidates, the full sets confirm them on the spot, and
+a forest of the links is what comes out. Blocks hold documents of like sizes, and sets whose
+sizes alone keep them apart don't meet. No list or neighbourhood is gathered in
+one place, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, words
-from .components import components
+from .common import Scratch, WordHash, fresh, words
+from .components import components, spread_join
 
 COORDS, MATCHES = 128, 77
 #: Document ids (24 bytes each) that are broadcast at most.
 BROADCAST_IDS = 100_000
 #: Documents of a posting list that are compared as one block.
 BLOCK = 256
+#: Documents and shingles of a neighbourhood that are about one block.
+ROWS, SHINGLES = 768, 300_000
 #: Hubs that each posting list names in the first round.
 HUBS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,21 +88,22 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
-    """(id, n_shingles, d1, d2, sig) of each row; d1 and d2 are a 128-bit digest of the shingle set."""
+    """(id, th, n_shingles, d1, d2, sig) of each row: th is a hash of the text, d1 and d2 a 128-bit digest of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
             n, d, sigs = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 found = shingles(t.as_py(), rule.width, hashes)
                 n.append(len(found))
                 d.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sigs.append(signature(found).tobytes() if len(found) else b"")
             pair = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(sigs, pa.binary())], ["id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(sigs, pa.binary())], ["id", "th", "n_shingles", "d1", "d2", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig binary")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, th long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +122,15 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def _colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole signatures have enough collisions."""
+    """Those of the pairs (hub, rep) whose whole signatures have enough collisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
             yield b.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
 
-    one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("rep", "hub"))
+    return spread_join(pairs, two, "hub").join(one, "rep").select("hub", "rep", "sig_rep", "sig_hub").mapInArrow(run, "hub long, rep long")
 
 
 def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -139,37 +145,41 @@ def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule, sc
     wanted = scratch.save(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    return scratch.save(texts.join(wanted, "rep").select("rep", "text", "d1", "d2").mapInArrow(run, "rep long, text string"), "texts")
+    found = texts.join(wanted, "rep").select("rep", "text", "d1", "d2").mapInArrow(run, "rep long, text string")
+    # repeated rows, and texts with one set of shingles under one id, are one document
+    return scratch.save(found.groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) with enough shingles in common. Texts travel, which pack better than their hashes."""
+    """Those of the pairs (hub, rep) with enough shingles in common: a hub's text meets its partners' in blocks. Texts travel, which pack better than their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
-            keep, last, x = [], None, None
-            for i, one, two in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
-                if i != last:
-                    last, x = i, shingles(one.as_py(), rule.width, hashes)
-                y = shingles(two.as_py(), rule.width, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            found = []
+            for hub, one, reps, others in zip(*(b.column(i) for i in range(4)), strict=True):
+                x, ends = shingles(one.as_py(), rule.width, hashes), reps.values.to_numpy()
+                for rep, other in zip(ends.tolist(), others.values, strict=True):
+                    y = shingles(other.as_py(), rule.width, hashes)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= rule.percent * (len(x) + len(y) - both):
+                        found.append((hub.as_py(), rep))
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], ["a", "b"])
+
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = spread_join(pairs, sizes, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep")
+    blocks = placed.join(texts, "rep").groupBy("hub", "part").agg(F.collect_list("rep").alias("reps"), F.collect_list("text").alias("texts"))
+    own = texts.select(F.col("rep").alias("hub"), F.col("text").alias("own"))
+    return blocks.join(own, "hub").select("hub", "own", "reps", "texts").mapInArrow(run, "a long, b long")
 
 
 def _hub_pairs(posted: DataFrame) -> DataFrame:
+    """(hub, rep): each document with the hubs of its posting lists."""
     hubs = posted.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep")).alias(f"h{i}") for i in range(HUBS)])
     named = hubs.select("tok", F.array_distinct(F.array(*[F.col(f"h{i}.rep") for i in range(HUBS)])).alias("hubs"))
-    pairs = posted.join(named, "tok").select(F.col("rep").alias("x"), F.explode("hubs").alias("y"))
-    return _ordered(pairs.where("x != y"))
+    pairs = posted.join(named, "tok").select("rep", F.explode("hubs").alias("hub"))
+    return pairs.where("rep != hub").select("hub", "rep").distinct()
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,37 +189,164 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "low"])
 
 
+def _collisions(low_x: list[bytes], low_y: list[bytes]) -> np.ndarray:
+    """Colliding coordinates of each x with each y, by their bytes: never fewer than there are."""
+    one, two = (np.ascontiguousarray(np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDS).T) for v in (low_x, low_y))
+    same = np.zeros((len(low_x), len(low_y)), np.uint8)
+    for i, j in zip(one, two, strict=True):
+        same += i[:, None] == j[None, :]
+    return same
+
+
+def _forest(cx: np.ndarray, cy: np.ndarray, candidates: np.ndarray, confirm: Callable | None = None) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of links that join the components cx and cy as all candidates do: a forest, so fewer than there are documents.
+
+    ``confirm(i, js)`` tells which of the candidates are links; those that would join nothing are not asked for.
+    """
+    names, at = np.unique(np.concatenate([cx, cy]), return_inverse=True)
+    root, of_x, of_y = np.arange(len(names)), at[: len(cx)], at[len(cx) :]
+    for i in range(len(cx)):
+        js = np.flatnonzero(candidates[i])
+        js = js[root[of_y[js]] != root[of_x[i]]]
+        if confirm is not None and len(js):
+            js = js[confirm(i, js)]
+        while len(js):
+            yield i, int(js[0])
+            root[root == root[of_y[js[0]]]] = root[of_x[i]]
+            js = js[root[of_y[js]] != root[of_x[i]]]
+
+
+def _ends(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], ["a", "b"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the colliding pairs of each pair of blocks."""
     for b in batches:
         found = []
         for x, cx, lx, y, cy, ly in zip(*(b.column(i) for i in range(6)), strict=True):
             x, cx, y, cy = (v.values.to_numpy() for v in (x, cx, y, cy))
-            one, two = (np.frombuffer(b"".join(v.as_py()), np.uint8).reshape(-1, COORDS).T for v in (lx, ly))
-            same = np.zeros((len(x), len(y)), np.uint8)
-            for i, j in zip(np.ascontiguousarray(one), np.ascontiguousarray(two), strict=True):
-                same += i[:, None] == j[None, :]
-            i, j = np.nonzero((same >= MATCHES) & (cx[:, None] != cy[None, :]))
-            found.append(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])], axis=1))
-        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-
-
-def _cross_pairs(posted: DataFrame, component: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of a posting list in different components, one of them outside the list's main component, with enough collisions."""
-    own = posted.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = own.groupBy("tok", "c").count()
-    main = sizes.groupBy("tok").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1").select("tok", F.col("m.c").alias("main"), "n")
-    mixed = own.join(main, "tok").join(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "rep")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-    mixed = scratch.save(mixed.select("tok", "rep", "c", "low", block.alias("k"), (F.col("c") != F.col("main")).alias("rare")), "mixed")
+            found += [(int(x[i]), int(y[j])) for i, j in _forest(cx, cy, _collisions(lx.as_py(), ly.as_py()) >= MATCHES)]
+        yield _ends(found)
+
+
+def _apart(rows: DataFrame, by: str) -> DataFrame:
+    """(by, main, n): the largest component and the rows of each group of ``rows`` (by, c) with several."""
+    sizes = rows.groupBy(by, "c").count()
+    return sizes.groupBy(by).agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1").select(by, F.col("m.c").alias("main"), "n")
+
+
+def _near_lists(posted: DataFrame, known: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Forests (a, b) of the colliding pairs of documents of one posting list that ``known`` has in different components."""
+    own = posted.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = own.join(_apart(own, "tok"), "tok").join(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "rep")
+    parts = F.ceil(F.col("n") / BLOCK)
+    mixed = scratch.save(mixed.select("tok", "rep", "c", "low", F.pmod(F.xxhash64("rep"), parts).alias("k"), parts.alias("parts"), (F.col("c") != F.col("main")).alias("rare")), "mixed")
 
     def blocks(rows: DataFrame, x: str) -> DataFrame:
-        return rows.groupBy("tok", "k").agg(*[F.collect_list(c).alias(f"{c}_{x}") for c in ("rep", "c", "low")]).drop("k")
+        return rows.groupBy("tok", "k").agg(*[F.collect_list(c).alias(f"{c}_{x}") for c in ("rep", "c", "low")], F.first("parts").alias(f"parts_{x}"))
 
-    met = blocks(mixed.where("rare"), "a").join(blocks(mixed, "b"), "tok")
+    # each block of documents outside the main component goes to every block of its list, one row each
+    rare = blocks(mixed.where("rare"), "a").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_a") - 1)))
+    met = rare.join(blocks(mixed, "b"), ["tok", "k"])
     return met.select("rep_a", "c_a", "low_a", "rep_b", "c_b", "low_b").mapInArrow(_compare, "a long, b long").distinct()
 
 
+class _Sets:
+    """The shingle sets of a block, made when they are asked for, and the documents of each shingle."""
+
+    def __init__(self, texts: pa.Array, width: int, hashes: WordHash):
+        self.texts, self.width, self.hashes = texts, width, hashes
+        self.sets: dict[int, np.ndarray] = {}
+        self.posted: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingles(self.texts[i].as_py(), self.width, self.hashes)
+        return self.sets[i]
+
+    def common(self, x: np.ndarray, js: np.ndarray) -> np.ndarray:
+        """How many shingles ``x`` has in common with each of the documents ``js``."""
+        if len(js) < 8 and self.posted is None:
+            return np.array([len(np.intersect1d(x, self[j], assume_unique=True)) for j in js.tolist()])
+        if self.posted is None:
+            all_sets = [self[j] for j in range(len(self.texts))]
+            h, of = np.concatenate(all_sets), np.repeat(np.arange(len(all_sets)), [len(s) for s in all_sets])
+            order = np.argsort(h, kind="stable")
+            self.posted = h[order], of[order]
+        h, of = self.posted
+        lo = np.searchsorted(h, x, "left")
+        n = np.searchsorted(h, x, "right") - lo
+        each = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(of[each], minlength=len(self.texts))[js]
+
+
+def _within(near: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Forests (a, b) of the links between documents of one neighbourhood that ``first`` has in different components.
+
+    A block holds documents of one neighbourhood whose sizes differ by less than
+    the threshold allows, so that only blocks of the same and of the next size meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for b in batches:
+            found = []
+            for x, cx, nx, lx, tx, y, cy, ny, ly, ty in zip(*(b.column(i) for i in range(10)), strict=True):
+                x, cx, nx, y, cy, ny = (v.values.to_numpy() for v in (x, cx, nx, y, cy, ny))
+                one, two = _Sets(tx.values, rule.width, hashes), _Sets(ty.values, rule.width, hashes)
+                likely = (_collisions(lx.as_py(), ly.as_py()) >= MATCHES) & (100 * np.minimum.outer(nx, ny) >= rule.percent * np.maximum.outer(nx, ny))
+
+                def linked(i: int, js: np.ndarray) -> np.ndarray:
+                    both = two.common(one[i], js)
+                    return 100 * both >= rule.percent * (nx[i] + ny[js] - both)
+
+                found += [(int(x[i]), int(y[j])) for i, j in _forest(cx, cy, likely, linked)]
+            yield _ends(found)
+
+    own = near.select(F.col("node").alias("rep"), F.col("component").alias("g")).join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "g", F.coalesce("component", "rep").alias("c"))
+    size = F.floor(F.log("n_shingles") / F.lit(log(100 / rule.percent * (1 + 1e-9)))).cast("long")
+    told = reps.select("rep", "n_shingles", "sig").withColumn("size", size)
+    rows = spread_join(own, _apart(own, "g").select("g", "main"), "g").join(told, "rep").select("rep", "g", "c", "n_shingles", "size", (F.col("c") != F.col("main")).alias("rare"), "sig")
+    rows = scratch.save(rows, "apart")
+    kind = ["g", "size", "rare"]
+    parts = F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n_shingles") / SHINGLES))
+    counts = rows.groupBy(*kind).agg(parts.cast("long").alias("parts"))
+    low = rows.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary")
+    # (g, size, rare) has no bound on its rows, but a row of counts each
+    placed = rows.drop("sig").join(counts, kind).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(low, "rep").join(texts, "rep")
+    columns = ("rep", "c", "n_shingles", "low", "text")
+    blocks = scratch.save(placed.groupBy(*kind, "k").agg(*[F.collect_list(c).alias(c) for c in columns]), "blocks")
+    names = blocks.select(*kind, "k")
+    a, b = (names.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rare", "k")]) for x in "ab")
+    both, order = F.col("rare_a") & F.col("rare_b"), [F.struct(f"size_{x}", f"k_{x}") for x in "ab"]
+    meet = a.where("rare_a").join(b, "g").where((F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (~F.col("rare_b") | (both & (order[0] <= order[1]))))
+    for x in "ab":
+        own = blocks.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rare", "k", *columns)])
+        meet = meet.join(own, ["g", *(f"{c}_{x}" for c in ("size", "rare", "k"))])
+    return meet.select(*[f"{c}_{x}" for x in "ab" for c in columns]).mapInArrow(run, "a long, b long")
+
+
+def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, th, n_shingles, d1, d2), and the component of each set of shingles that a row with an id has."""
+    scratch = Scratch(df.sparkSession, "minhash")
+    all_rows = scratch.save(signatures(df, key, text, rule), "signatures")
+    reps = all_rows.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    reps = scratch.save(reps, "classes")
+    posted = scratch.save(_postings(reps), "postings")
+    close = scratch.save(_colliding(scratch.save(_hub_pairs(posted), "pairs"), reps), "close")
+    hubs = scratch.save(components(close.select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch), "near")
+    edges = hubs.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    near = scratch.save(components(edges.union(_near_lists(posted, hubs, reps, scratch)), scratch), "near")
+    texts = _texts(df, key, text, reps.join(near.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
+    first = scratch.save(components(_confirmed(close, texts, rule), scratch), "components")
+    more = _within(near, first, reps, texts, rule, scratch)
+    last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
+    classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    return all_rows.drop("sig"), classes
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept.
 
@@ -220,26 +357,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     with a null id are linked to exact copies only, and kept when they have
     none. Shingles are compared by 64-bit hashes. Other columns are not read.
     """
-    scratch = Scratch(df.sparkSession, "minhash")
-    all_rows = scratch.save(signatures(df, key, text, rule), "signatures")
-    reps = scratch.save(all_rows.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    posted = scratch.save(_postings(reps), "postings")
-    tried = scratch.save(_hub_pairs(posted), "pairs")
-    close = scratch.save(_colliding(tried, reps), "close")
-    texts = _texts(df, key, text, reps.join(_ends(close), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
-    first = scratch.save(components(scratch.save(_confirmed(close, texts, rule), "links"), scratch), "components")
-    close = scratch.save(_colliding(_cross_pairs(posted, first, reps, scratch).join(tried, ["a", "b"], "left_anti"), reps), "close")
-    new = _ends(close).join(texts.select("rep").distinct(), "rep", "left_anti")
-    texts = texts.union(_texts(df, key, text, reps.join(new, "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch))
-    more = scratch.save(_confirmed(close, texts, rule), "links")
-    last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = all_rows.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    rows, classes = _classes(df, key, text, rule)
+    out = rows.join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``df`` that :func:`near_duplicates` keeps, unchanged. Rows with a null id stay."""
-    gone = near_duplicates(df, key, text, rule).where("not kept and id is not null").select("id").distinct()
-    return df.join(gone, df[key].cast("long") == gone["id"], "left_anti")
+    """``df`` with one row of each group of near duplicates, unchanged: the one with the smallest id, then text hash.
+
+    Rows are told apart by id and text. Of repeated rows, which agree in both,
+    one stays. A row with a null id goes when another row has the same shingles,
+    and of several such rows without an id one stays. Texts without words are in no group; all their rows stay.
+    """
+    rows, classes = _classes(df, key, text, rule)
+    rows = Scratch(df.sparkSession, "minhash").save(rows.where("n_shingles > 0").join(classes, ["d1", "d2"], "left"), "groups")
+    # rows without an id whose set no other row has are a group by that set
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.struct("d1", "d2"))]
+    order = F.struct(F.col("id").isNull(), "id", "th")
+    best = rows.groupBy(*[c.alias(n) for c, n in zip(group, ("g", "set"))]).agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    own_id, own_th, stays = fresh(df, "__id", "__th", "__stays")
+    keyed = rows.select(group[0].alias("g"), group[1].alias("set"), order.alias("o"))
+    told = keyed.join(best, keyed["g"].eqNullSafe(best["g"]) & keyed["set"].eqNullSafe(best["set"]))
+    told = told.groupBy(F.col("o.id").alias(own_id), F.col("o.th").alias(own_th)).agg(F.max(F.col("o") == F.col("best")).alias(stays), F.count("*").alias("n"))
+    told = Scratch(df.sparkSession, "minhash").save(told.where(~F.col(stays) | (F.col("n") > 1)).drop("n"), "told")
+    joined = df.join(told, F.col(key).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_th)), "left")
+    out = joined.where(F.col(stays).isNull()).drop(own_id, own_th, stays)
+    if told.where(F.col(stays)).limit(1).count():  # repeated rows
+        out = out.union(joined.where(F.col(stays)).dropDuplicates([own_id, own_th]).drop(own_id, own_th, stays))
+    return out
