@@ -79,12 +79,46 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "q r s"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()]
-    assert sorted(got, key=str) == sorted([(None, 4, True), (4, 4, True), (4, 4, True), (None, None, True), (9, 9, True)], key=str) or (None, 4, False) in got
+    assert sorted(got, key=str) == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, True), (9, 9, True)], key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     kept = minhash.drop_near_duplicates(spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, "", 7)], "doc_id long, text string, id int"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "id"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, rows without an id and repeated rows: one row of a group stays, whatever its id says elsewhere."""
+    rows = [
+        (1, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, "g h i j k l", "y"), (3, "g h i j k l", "y"), (5, "m n o p q r", "z"), (5, "m n o p q r", "z"), (None, "m n o p q r", "z"),
+        (None, "s t u v w x", "n"), (None, "s t u v w x", "n"), (7, "", "e"), (7, "", "e"), (8, None, "e"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[7], rows[9], rows[10], rows[11]], key=str)
+
+
+def test_two_thousand_near_copies_below_the_threshold_of_each_other(spark):
+    """Pairs at 0.6 to 0.8 collide often and link seldom: all links are found and little is written out."""
+    rng = random.Random(21)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(2, 10)):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**7)}"
+        texts.append(" ".join(w))
+    sets = plain_sets(texts, 2)
+    number = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[g] for g in s]] = 1
+    both, n = has @ has.T, np.array([len(s) for s in sets])
+    linked_pairs = np.argwhere(np.tril(100 * both >= 80 * (n[:, None] + n[None, :] - both), -1))
+    want = linked(len(sets), linked_pairs.tolist())
+    assert len(set(want)) > 50 and len(linked_pairs) > 500
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule=minhash.Rule(2, 80)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (7, 7), (3, 5), (10, 9), (None, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
@@ -92,6 +126,8 @@ def test_components(spark):
     chain = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
     assert {r["component"] for r in components(chain, Scratch(spark, "t")).collect()} == {0}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+    star = spark.range(1, 3000).selectExpr("id * 2 AS a", "1 AS b").union(spark.range(1, 10).selectExpr("id * 2 AS a", "id * 2 + 1 AS b"))
+    assert {r["component"] for r in components(star, Scratch(spark, "t")).collect()} == {1}
 
 
 def test_vectors_against_all_pairs(spark):

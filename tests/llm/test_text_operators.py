@@ -87,6 +87,34 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert all(i in got[i] for i in range(6))
 
 
+def test_repetitive_texts_take_time_in_proportion():
+    import time
+
+    cases = [
+        ("ha " * 600, "ha " * 8000, 0), ("ha " * 600, ("ha " * 300 + "hx ") * 27, 1), ("ha " * 600, "ho ha " * 170_000, None),
+        ("abc def ghi jkl mno " * 30, "abc def ghi jkl mnp " * 5000, None), ("to be or not to be " * 4, "to be or not to be" + " x" * 30 + " to be or not to bee" * 4, 3),
+    ]
+    for item, text, edits in cases:
+        index = decontaminate.Index.of([(1, decontaminate.normal(item))])
+        start = time.perf_counter()
+        got = index.matches(decontaminate.normal(text))
+        assert time.perf_counter() - start < 10
+        assert [e for _, _, e in got] == ([] if edits is None else [edits]), (item[:20], got)
+
+
+def test_counts_by_correlation_are_those_of_all_hits(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice(["ab", "ba", "abab"]) for _ in range(30)).encode()) for i in range(3)]
+    index = decontaminate.Index.of(items)
+    for _ in range(20):
+        text = " ".join(rng.choice(["ab", "ba", "abab", "c"]) for _ in range(200)).encode()
+        monkeypatch.setattr(decontaminate, "MANY", 10**9)
+        monkeypatch.setattr(decontaminate, "HITS", 500)
+        want = index.regions(text)
+        monkeypatch.setattr(decontaminate, "MANY", 3)
+        assert index.regions(text) == want
+
+
 def plain_forward(model, syms):
     a, total = None, 0.0
     for s in syms:
@@ -279,10 +307,39 @@ def test_posteriors_are_those_of_a_plain_naive_bayes(spark):
 
     labelled = spark.createDataFrame([("red red blue", "p"), ("green blue", "q"), ("green green sky", "q")], "text string, domain string")
     domains, weights, priors = model = mixing.fit(labelled)
-    text = "red sky unknown"
+    text = "\t red\n sky \x0b unknown  "
     got = mixing.mix(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, {"p": 1.0, "q": 1.0}).first()
     bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
-    logs = [p + sum(w[bucket[x]] for x in text.split()) for w, p in zip(weights, priors)]
+    n = len(text.split())
+    logs = [p + sum(w[bucket[x]] for x in text.split()) * mixing.CERTAINTY / (n + mixing.CERTAINTY) for w, p in zip(weights, priors)]
     whole = [math.exp(x - max(logs)) for x in logs]
     assert math.isclose(got["posterior"], max(whole) / sum(whole), rel_tol=1e-9)
     assert got["domain"] == domains[logs.index(max(logs))]
+
+
+def plain_rates(n, p, target, least):
+    """The same problem's rates after very many plain projected gradient steps."""
+    rate, have = np.ones(len(n)), p.T @ n
+    for _ in range(5000):
+        rate = np.maximum(least, rate - 0.5 * p @ ((p.T @ (n * rate) - target) / have))
+    return rate
+
+
+def test_rates_are_those_of_a_plain_solver_with_the_bound_active(spark):
+    rng = random.Random(31)
+    docs = [(i, " ".join(f"{rng.choice('xyz' if i % 4 == 0 else 'xyz'[i % 3])}{rng.randrange(40)}" for _ in range(rng.randrange(3, 60)))) for i in range(160)]
+    labelled = spark.createDataFrame([(i, t, "xyz"[i % 3]) for i, t in docs if i % 4], "doc_id long, text string, domain string")
+    model, df = mixing.fit(labelled, order="doc_id"), spark.createDataFrame(docs, "doc_id long, text string")
+    names = ["px", "py", "pz"]
+    known = {r["doc_id"]: r for r in mixing.with_posteriors(df, model, "text", "tokens", names).collect()}
+    n, p = np.array([known[i]["tokens"] for i, _ in docs], float), np.array([[known[i][c] for c in names] for i, _ in docs])
+    assert n.tolist() == [len(t.split()) for _, t in docs] and np.allclose(p.sum(1), 1)
+    for weights, least in (({"x": 0.97, "y": 0.03}, 0.0), ({"x": 0.5, "y": 0.3, "z": 0.2}, 0.8)):
+        share = np.array([weights.get(d, 0.0) for d in "xyz"])
+        target = share * n.sum()
+        got = {r["doc_id"]: r["rate"] for r in mixing.mix(df, model, weights, total="same", least=least).collect()}
+        rates = np.array([got[i] for i, _ in docs])
+        want = plain_rates(n, p, target, least)
+        assert (rates >= least).all()
+        assert np.allclose(p.T @ (n * rates), p.T @ (n * want), atol=5e-3 * n.sum())
+    assert (plain_rates(n, p, np.array([0.97, 0.03, 0.0]) * n.sum(), 0.0) == 0).any()

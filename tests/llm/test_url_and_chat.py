@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tidewright.llm import chat, url_filter
 
 
@@ -51,6 +53,14 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert chat.format_events(events(spark, [])).count() == 0
 
 
+def test_a_streamed_session_ends_in_its_messages(spark):
+    rows = [(1, 0, "user", "hi there"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, None, None), (1, 2, "assistant", ""), (2, 5, "assistant", "</s>[INST]"), (None, 0, "user", "n")]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["op"] for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = {r["conv_id"]: chat.read_back(r["formatted"]) for r in chat.format_events(log.orderBy(F.xxhash64("seq", "op"))).collect()}
+    assert got == {1: [("user", "hi there"), ("", ""), ("assistant", "x"), ("assistant", "x"), ("assistant", "")], 2: [("assistant", "</s>[INST]")], None: [("user", "n")]}
+
+
 def test_round_trip_of_hostile_texts(spark):
     rng = random.Random(3)
     parts = [*chat.CONTROL, "\\", "\n", "<", "|", "s>", "é", "im_end", "n", " "]

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -48,27 +48,31 @@ def _unrole(role: str) -> str:
     return re.sub(r"\\(\\|n)?", lambda m: {"n": "\n", "\\": "\\"}.get(m[1], ""), role)
 
 
+def _last(messages: list, role: str | None = None) -> int | None:
+    """The place of the last message there is, of a role if one is given."""
+    return next((i for i in range(len(messages) - 1, -1, -1) if messages[i] is not None and role in (None, messages[i][0])), None)
+
+
 def fold(events) -> list[tuple[str, str]]:
     """Final (role, text) messages of events (op, target, role, text) in order. Unknown ops and targets change nothing."""
     out: list[list | None] = []
     for op, target, role, text in events:
         role, text = role or "", text or ""
-        live = [i for i, m in enumerate(out) if m is not None]
-        at = live[-1] if target is None and live else target
-        known = at is not None and 0 <= at < len(out) and out[at] is not None
         if op == "message":
             out.append([role, [text]])
+            continue
+        at = target if target is not None else _last(out, role if op == "regenerate" else None)
+        known = at is not None and 0 <= at < len(out) and out[at] is not None
+        if op == "regenerate":
+            if known:
+                del out[at:]
+            out.append([role, [text]])
         elif op == "delta" and known:
             out[at][1].append(text)
         elif op == "edit" and known:
             out[at][1] = [text]
         elif op == "delete" and known:
             out[at] = None
-        elif op == "regenerate":
-            same = [i for i in live if out[i][0] == role] if target is None else [at] if known else []
-            if same:
-                del out[same[-1] :]
-            out.append([role, [text]])
     return [(m[0], "".join(m[1])) for m in out if m is not None]
 
 
@@ -115,6 +119,31 @@ def format_events(events: DataFrame, conv: str = "conv_id", learn: str = "assist
     return log.mapInPandas(run, f"`{conv}` {kind}, formatted string, loss_starts array<int>, loss_ends array<int>, n_turns long")
 
 
+#: What is streamed first where a message is then edited or regenerated.
+DRAFT = "one moment ..."
+
+
+def as_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", learn: str = "assistant") -> DataFrame:
+    """The log (conv, seq, op, target, role, text) of a streamed session that ends in the messages of ``rows`` (conv, turn, role, text).
+
+    A message of the role ``learn`` opens with a draft, is regenerated, and comes
+    in two deltas; others open with a draft, are edited to the first half of
+    their text, and get the other half as a delta. Rows of one turn are ordered
+    by role and text. Null texts are empty.
+    """
+    text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
+    half = F.floor(F.length("__x") / 2).cast("int")
+    first, rest = F.col("__x").substr(F.lit(1), half), F.col("__x").substr(half + 1, F.length("__x"))
+    event = lambda step, op, role, text: F.struct(F.lit(step).alias("step"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+    none, draft, own = F.lit(None).cast("string"), F.lit(DRAFT), F.col("__r")
+    streamed = F.array(event(0, "message", own, draft), event(1, "regenerate", own, F.lit("")), event(2, "delta", none, first), event(3, "delta", none, rest))
+    edited = F.array(event(0, "message", own, draft), event(1, "edit", none, first), event(2, "delta", none, rest))
+    place = F.row_number().over(Window.partitionBy(conv).orderBy(turn, "__r", "__x"))
+    placed = rows.select(conv, turn, role.alias("__r"), text.alias("__x")).withColumn("__n", place.cast("long"))
+    logs = placed.select(conv, "__n", F.explode(F.when(own == learn, streamed).otherwise(edited)).alias("e"))
+    return logs.select(conv, (F.col("__n") * 4 + F.col("e.step")).alias("seq"), "e.op", F.lit(None).cast("int").alias("target"), "e.role", "e.text")
+
+
 def digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Read the formatted texts back: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 

@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder that all executors share, to cut lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is
-    unset (tests, a single machine) a temporary folder of the driver is set and
-    used. Tables are Parquet files, so a lost executor costs nothing that was
+    The folder is ``spark.checkpoint.dir`` of the session. Only on a single
+    machine (a local master) it may be unset, and a temporary folder is used.
+    Tables are Parquet files, so a lost executor costs nothing that was
     written before.
     """
 
@@ -32,8 +32,9 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 

@@ -25,6 +25,8 @@ Q = 12
 RATE = 0.05
 #: Bytes of items that one index holds; more items are looked up in several passes.
 BLOCK_BYTES = 2_000_000
+#: Hits that are written out at a time, hits of one q-gram above which they are counted as a correlation, and diagonals aligned at a time.
+HITS, MANY, WIDE = 1_000_000, 100_000, 65_536
 #: Lower-cases A-Z, keeps a-z, 0-9 and bytes beyond ASCII, and turns all else into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -77,8 +79,8 @@ class Index:
         maybe[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
         return Index(ids, texts, edits, m - Q + 1 - edits * Q, keys, np.append(first, len(h)), item[order], place[order], maybe, [i for i, t in enumerate(texts) if 0 < len(t) < Q])
 
-    def regions(self, text: bytes) -> dict[int, list[int]]:
-        """Item -> first diagonals of the bands that hold enough shared q-grams."""
+    def regions(self, text: bytes) -> dict[int, list[tuple[int, int]]]:
+        """Item -> (first diagonal, width) of the runs of bands that hold enough shared q-grams."""
         h = grams(text)
         bits = len(self.maybe).bit_length() - 1
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - bits)).astype(np.int64)])
@@ -87,21 +89,63 @@ class Index:
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         sure = self.keys[k] == h[at]
         at, k = at[sure], k[sure]
-        n = self.starts[k + 1] - self.starts[k]
-        if not len(n):
+        if not len(k):
             return {}
-        each = np.repeat(self.starts[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.items[each]
-        diagonal = np.repeat(at, n) - self.places[each]
-        step = self.edits[item] + 1
-        band = diagonal // step
-        pairs, count = np.unique(np.concatenate([np.stack([item, band]), np.stack([item, band - 1])], axis=1), axis=1, return_counts=True)
-        out: dict[int, list[int]] = {}
-        for (i, b), c in zip(pairs.T.tolist(), count.tolist(), strict=True):
-            if c >= self.needed[i]:
-                out.setdefault(i, []).append(b * int(self.edits[i] + 1))
+        order = np.argsort(k, kind="stable")
+        at, k = at[order], k[order]
+        found, first, times = np.unique(k, return_index=True, return_counts=True)
+        many = times * (self.starts[found + 1] - self.starts[found]) > MANY
+        parts = [self._few(at, k, np.repeat(~many, times))]
+        parts += self._many([(int(x), at[i : i + n]) for x, i, n in zip(found[many], first[many], times[many], strict=True)], len(text))
+        keys, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        count = np.bincount(of, np.concatenate([n for _, n in parts]), len(keys))
+        item, band = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
+        enough = count >= self.needed[item]
+        out: dict[int, list[tuple[int, int]]] = {}
+        for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
+            edits, runs = int(self.edits[i]), out.setdefault(i, [])
+            lo, hi = b * (edits + 1) - edits, b * (edits + 1) + 2 * edits + 2
+            if runs and lo <= runs[-1][0] + runs[-1][1]:
+                runs[-1] = (runs[-1][0], hi - runs[-1][0])
+            else:
+                runs.append((lo, hi - lo))
         return out
 
+    def _bands(self, item: np.ndarray, diagonal: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of item and band with their hits; a band overlaps the next, so a hit counts in two."""
+        band = diagonal // (self.edits[item] + 1) + (1 << 31)
+        keys, of = np.unique(np.concatenate([item << 32 | band, item << 32 | (band - 1)]), return_inverse=True)
+        return keys, np.bincount(of, np.concatenate([hits, hits]), len(keys))
+
+    def _few(self, at: np.ndarray, k: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, k = at[wanted], k[wanted]
+        n = self.starts[k + 1] - self.starts[k]
+        parts, lo, ends = [(np.zeros(0, np.int64), np.zeros(0))], 0, np.cumsum(n)
+        while lo < len(k):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
+            m = n[lo:hi]
+            each = np.repeat(self.starts[k[lo:hi]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            parts.append(self._bands(self.items[each], np.repeat(at[lo:hi], m) - self.places[each], np.ones(len(each))))
+            lo = hi
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def _many(self, grams_at: list[tuple[int, np.ndarray]], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hits by band of q-grams (number, places in the text) that are often in both: by diagonal, they are a correlation of the places."""
+        whole: dict[int, np.ndarray] = {}
+        for x, at in grams_at:
+            items, places = (v[self.starts[x] : self.starts[x + 1]] for v in (self.items, self.places))
+            for i in np.unique(items).tolist():
+                own, m = places[items == i], len(self.texts[i])
+                size = 1 << (length + m).bit_length()
+                one, two = np.zeros(size), np.zeros(size)
+                one[at], two[m - own] = 1, 1
+                whole[i] = whole.get(i, 0) + np.rint(np.fft.irfft(np.fft.rfft(one) * np.fft.rfft(two), size))
+        parts = []
+        for i, hits in whole.items():
+            some = np.flatnonzero(hits)
+            parts.append(self._bands(np.full(len(some), i), some - len(self.texts[i]), hits[some]))
+        return parts
+
     def matches(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item id, place, edits) of the items in a normalized text, each at its best place."""
         out = []
@@ -110,7 +154,8 @@ class Index:
                 out.append((self.ids[i], at, 0))
                 continue
             k = int(self.edits[i])
-            found = min(((e, p) for d in diagonals if (got := align(self.texts[i], text, d - k, 3 * k + 2, k)) for e, p in [got]), default=None)
+            pieces = ((lo, min(hi, lo + WIDE + 2 * k)) for start, width in diagonals for hi in [start + width] for lo in range(start, hi - 2 * k if width > 2 * k else start + 1, WIDE))
+            found = min((got for lo, hi in pieces if (got := align(self.texts[i], text, lo, hi - lo, k))), default=None)
             if found:
                 out.append((self.ids[i], found[1], found[0]))
         if self.short:
@@ -162,9 +207,12 @@ def _finder(shared: Broadcast, kind: str):
 def with_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", column: str = "matches", rate: float = RATE) -> DataFrame:
     """``df`` with an array of the benchmark items in each text: (item_id, place, edits), by item.
 
-    A place is a byte of the normalized text. All rows and columns stay, but a column named ``column``; a
+    A place is a byte of the normalized text. Items of under ``Q`` characters
+    have to be there as whole words; longer ones may begin or end within a word.
+    All rows and columns stay, but a column named ``column``; a
     null or empty text has an empty array. The work is per row, so nothing is
-    shuffled and neither skew nor repeated rows matter. The index ships to the executors in
+    shuffled and neither skew nor repeated rows matter; a repetitive text or item
+    takes a correlation for each q-gram that is often in both. The index ships to the executors in
     blocks of at most ``BLOCK_BYTES`` of items; for each block beyond the first,
     the table is written and passed over once more. Null or empty items are skipped.
     """

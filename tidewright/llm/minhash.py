@@ -49,8 +49,8 @@ BROADCAST_IDS = 100_000
 BLOCK = 256
 #: Documents and shingles of a neighbourhood that are about one block.
 ROWS, SHINGLES = 768, 300_000
-#: Hubs that each posting list names in the first round.
-HUBS = 3
+#: Hubs that each posting list names, and those that a document is compared with first: the ones it shares most lists with.
+HUBS, TRIED = 3, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -175,11 +175,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _hub_pairs(posted: DataFrame) -> DataFrame:
-    """(hub, rep): each document with the hubs of its posting lists."""
+    """(hub, rep): each document with the hubs that it shares most posting lists with. What hubs miss is found later."""
     hubs = posted.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep")).alias(f"h{i}") for i in range(HUBS)])
     named = hubs.select("tok", F.array_distinct(F.array(*[F.col(f"h{i}.rep") for i in range(HUBS)])).alias("hubs"))
-    pairs = posted.join(named, "tok").select("rep", F.explode("hubs").alias("hub"))
-    return pairs.where("rep != hub").select("hub", "rep").distinct()
+    met = posted.join(named, "tok").select("rep", F.explode("hubs").alias("hub")).where("rep != hub").groupBy("rep", "hub").agg((-F.count("*")).alias("n"))
+    # a document has at most HUBS * COORDS of them
+    best = met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "hub"))), 1, TRIED).alias("best"))
+    return best.select(F.explode("best.hub").alias("hub"), "rep")
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

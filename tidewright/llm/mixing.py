@@ -20,13 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
 
-#: Hash buckets of words, labelled rows fitted on at most, domains at most, words that a posterior counts as at most.
+#: Hash buckets of words, labelled rows fitted on at most, domains at most, words that the evidence of a text comes near to as it gets longer.
 BUCKETS, MAX_LABELLED, MAX_DOMAINS, CERTAINTY = 1024, 5000, 64, 24
 ROUNDS, CLOSE = 40, 1e-4
 
 
+#: ASCII white space.
+_SPACE = " \t\n\x0b\x0c\r"
+
+
 def _words(text: str) -> Column:
-    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), " ")
+    """Lower-cased words between runs of white space; one empty word if there is none."""
+    return F.split(F.trim(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), _SPACE[1:], " " * 5)), " +")
 
 
 def _bucket(word: Column) -> Column:
@@ -47,7 +52,7 @@ def fit(labelled: DataFrame, text: str = "text", domain: str = "domain", order:
         raise ValueError(f"between 1 and {MAX_DOMAINS} domains are needed")
     counts = {d: [1.0] * BUCKETS for d in priors}
     # one row per domain and bucket
-    for d, b, n in rows.select("d", F.explode(_words("__t")).alias("w")).groupBy("d", _bucket(F.col("w")).alias("b")).count().collect():
+    for d, b, n in rows.select("d", F.explode(_words("__t")).alias("w")).where("w <> ''").groupBy("d", _bucket(F.col("w")).alias("b")).count().collect():
         counts[d][b] += n
     domains = sorted(priors)
     return domains, [[log(x / sum(counts[d])) for x in counts[d]] for d in domains], [log(priors[d] / sum(priors.values())) for d in domains]
@@ -59,14 +64,17 @@ def _log_likelihood(buckets: str, weights: list[float]) -> Column:
 
 
 def with_posteriors(df: DataFrame, model, text: str, tokens: str, names: list[str]) -> DataFrame:
-    """``df`` with the number of words and a posterior column per domain; texts without words get the priors."""
+    """``df`` with the number of words and a posterior column per domain; texts without words get the priors.
+
+    ``n`` words are the evidence of ``n * CERTAINTY / (n + CERTAINTY)`` ones, which keeps memberships soft.
+    """
     domains, weights, priors = model
-    found, n = fresh(df, "__buckets")[0], F.size(_words(text))
-    out = df.withColumn(tokens, F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", 0).otherwise(n).cast("long"))
-    out = out.withColumn(found, F.transform(_words(text), _bucket))
+    found = fresh(df, "__buckets")[0]
+    out = df.withColumn(found, F.filter(F.transform(_words(text), lambda w: F.when(w != "", _bucket(w))), lambda b: b.isNotNull()))
+    out = out.withColumn(tokens, F.size(found).cast("long"))
     sums = [_log_likelihood(found, w) for w in weights]
     logs = fresh(df, *[f"__log{i}" for i in range(len(domains))])
-    out = out.withColumns({c: F.when(F.col(tokens) > 0, s * F.least(F.lit(1.0), F.lit(float(CERTAINTY)) / F.col(tokens))).otherwise(0.0) + F.lit(p) for c, s, p in zip(logs, sums, priors, strict=True)})
+    out = out.withColumns({c: s * (F.lit(float(CERTAINTY)) / (F.col(tokens) + CERTAINTY)) + F.lit(p) for c, s, p in zip(logs, sums, priors, strict=True)})
     top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
     out = out.withColumns({c: F.exp(F.col(c) - top) for c in logs})
     whole = sum((F.col(c) for c in logs), F.lit(0.0))
@@ -77,12 +85,12 @@ def with_posteriors(df: DataFrame, model, text: str, tokens: str, names: list[st
 NEW = ("tokens", "domain", "posterior", "rate", "copies")
 
 
-def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | None = None, least: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
+def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | str | None = None, least: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """``df`` with tokens, domain (the likeliest), posterior (its share), rate and copies.
 
     ``weights`` gives each domain's share of the mix; one it doesn't name gets
-    none. ``total`` is the expected tokens of the mix, by default the least at
-    which no domain shrinks. Rates are ``least`` or more: 0, or 1 where no
+    none. ``total`` is the expected tokens of the mix: a number, ``"same"`` for
+    as many as ``df`` has, or by default the least at which no domain shrinks. Rates are ``least`` or more: 0, or 1 where no
     document may go. Rounds end when the totals are met to ``CLOSE``, or change
     no more because of that bound, or after ``rounds``. ``copies`` rounds the rate up or down by a hash of the key, to the rate on average: repeated
     rows have equal copies. Null and empty texts have no tokens and the priors
@@ -104,7 +112,7 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     whole = sum(weights.get(d, 0) for d in domains)
     share = [weights.get(d, 0) / whole for d in domains]
     have = expected(F.lit(1.0))
-    want = total if total is not None else max((h / s for h, s in zip(have, share, strict=True) if s), default=0.0)
+    want = sum(have) if total == "same" else total if total is not None else max((h / s for h, s in zip(have, share, strict=True) if s), default=0.0)
     target = [want * s for s in share]
     steps: list[list[float]] = []
 
@@ -130,7 +138,7 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     return out.withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).drop(*p)
 
 
-def mixed(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | None = None, least: float = 0.0) -> DataFrame:
+def mixed(df: DataFrame, model, weights: dict[str, float], text: str = "text", key: str = "doc_id", total: float | str | None = None, least: float = 0.0) -> DataFrame:
     """The mix itself: each row of ``df`` as often as :func:`mix` says, with the columns of ``df``."""
     aside = {c: n for c, n in zip(df.columns, fresh(df, *[f"__own_{c}" for c in df.columns]), strict=True) if c.lower() in NEW}
     out = mix(df.withColumnsRenamed(aside), model, weights, aside.get(text, text), aside.get(key, key), total, least)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, fresh
+from .common import Scratch, crc_of, fresh
 
 #: Letters that a sign or digit is written for.
 LEET = {
@@ -255,15 +255,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """A model of ``label`` (0 or 1) in ``labels``. Character counts come from all texts of ``documents``.
 
     The classifier is fitted on at most ``max_labelled`` labelled rows, those
-    with the smallest hashes of their key; rows with a null key or label, or
+    with the smallest hashes of their key, and has the ``MAX_FEATURES`` features
+    of at least three rows that tell the labels apart best; rows with a null key or label, or
     whose key has no document, are left out. With labels of one kind only, or
     none, every text gets the same score.
     """
     chars = CharModel.of(char_counts(documents, text))
     chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
     chosen = chosen.where(F.col("__k").isNotNull()).orderBy(F.xxhash64("__k"), "__k", "__y").limit(max_labelled)
-    # chosen has max_labelled rows at most
+    # chosen has max_labelled rows at most; their texts are written once, and read three times
     rows = documents.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__k").select("__k", "__t", "__y")
+    rows = Scratch(documents.sparkSession, "toxicity").save(rows, "labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(chars)
