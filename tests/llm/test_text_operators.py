@@ -337,7 +337,7 @@ def test_rates_are_those_of_a_plain_solver_with_the_bound_active(spark):
     for weights, least in (({"x": 0.97, "y": 0.03}, 0.0), ({"x": 0.5, "y": 0.3, "z": 0.2}, 0.8)):
         share = np.array([weights.get(d, 0.0) for d in "xyz"])
         target = share * n.sum()
-        got = {r["doc_id"]: r["rate"] for r in mixing.mix(df, model, weights, total="same", least=least).collect()}
+        got = {r["doc_id"]: r["rate"] for r in mixing.mix(df, model, weights, total="same", least=least, rounds=150).collect()}
         rates = np.array([got[i] for i, _ in docs])
         want = plain_rates(n, p, target, least)
         assert (rates >= least).all()
