@@ -44,11 +44,25 @@ def test_text(spark, change, given, want):
 def test_dates(spark):
     given = ["2020-05-10", "5/10/2020", "2020/05/10", "May 10 2020", "May 10, 2020", "september 1 2020", "10.05.2020", "00/00/0000", "2031-02-30", "not recorded", None, "2020-05-10 14:05", "2020-05-10T14:05:06"]
     day = datetime(2020, 5, 10)
-    want = [day, day, day, day, day, datetime(2020, 9, 1), day, None, None, None, None, datetime(2020, 5, 10, 14, 5), datetime(2020, 5, 10, 14, 5, 6)]
+    want = [day, day, day, day, day, datetime(2020, 9, 1), datetime(2020, 10, 5), None, None, None, None, datetime(2020, 5, 10, 14, 5), datetime(2020, 5, 10, 14, 5, 6)]
     assert values(spark, text.parse_datetime, given) == want
     assert values(spark, lambda c: text.null_future(text.parse_datetime(c), datetime(2020, 5, 10)), ["2020-05-10", "2020-05-11", None]) == [day, None, None]
 
 
+def test_forms_of_dates(spark):
+    at = datetime(2020, 1, 2, 3, 4, 5)
+    cases = {
+        "13/02/2020": datetime(2020, 2, 13), "13.02.2020": datetime(2020, 2, 13), "01.02.2020": datetime(2020, 1, 2), "1-2-2020": datetime(2020, 1, 2), "2020.1.2": datetime(2020, 1, 2),
+        "2 Jan 2020": datetime(2020, 1, 2), "2-Jan-2020": datetime(2020, 1, 2), "2nd January, 2020": datetime(2020, 1, 2), "Thu, 2 Jan 2020": datetime(2020, 1, 2), "JAN. 2, 2020": datetime(2020, 1, 2),
+        "1/2/99": datetime(1999, 1, 2), "1/2/20": datetime(2020, 1, 2), "1/2/69": datetime(1969, 1, 2), "20200102": datetime(2020, 1, 2), "2020-01-02T03:04:05Z": at, "2020-01-02T03:04:05.5": at.replace(microsecond=500_000),
+        "2020-01-02 03:04:05.123456789": at.replace(microsecond=123_456), "2020-01-02T03:04:05+05:30": datetime(2020, 1, 1, 21, 34, 5), "2020-01-02T03:04:05-0030": datetime(2020, 1, 2, 3, 34, 5),
+        "1/2/2020 3:04 PM": datetime(2020, 1, 2, 15, 4), "Jan 2 2020 12:04:05 am": datetime(2020, 1, 2, 0, 4, 5), "2 Jan 2020 03:04:05": at, "20200102T03:04": datetime(2020, 1, 2, 3, 4),
+        "13/13/2020": None, "2020-13-01": None, "2020-02-30T01:02:03Z": None, "1/2": None, "12345": None, "2020": None, "may be": None, "": None, "2020-01-02 25:00": None, "202001021": None, "2020-01-02 x": None,
+    }
+    got = dict(zip(cases, values(spark, text.parse_datetime, list(cases))))
+    assert got == cases
+
+
 def test_casts(spark):
     assert values(spark, lambda c: casts.cast_type(c, T.StringType(), "int64"), ["1.5", "2.5", "x", "1d", None]) == [2, 2, None, None, None]
     assert values(spark, lambda c: casts.cast_type(c, T.StringType(), "float64"), ["1e3", "NaN", "1d"]) == [1000.0, None, None]

@@ -106,9 +106,16 @@ def test_auto_clean(spark):
     assert {r["action"] for r in out.log.collect()} >= {"standardize_column_name", "trim_whitespace", "sentinel_to_null", "drop_empty_column", "canonicalize_category", "remove_exact_duplicates"}
 
 
-def test_categories():
-    got = semantics.category_mapping({"Engineering": 9, "engineering": 2, "Enginering": 1, "HR": 3, "Human Resources": 12, "sales": 4})
-    assert got["engineering"] == got["Enginering"] == "Engineering" and got["HR"] == "Human Resources" and got["sales"] == "Sales"
+def test_categories(spark):
+    counts = {"Engineering": 9, "engineering": 2, "Enginering": 1, "HR": 3, "Human Resources": 12, "sales": 4, "--": 2}
+    df = spark.createDataFrame([(v, "東京" if i % 2 else "大阪", str(i)) for i, v in enumerate(v for v, n in counts.items() for _ in range(n))] + [(None, None, "x")], "a string, b string, c string")
+    out, log = semantics.canonicalize(df, ["a", "b", "c"])
+    rows = out.collect()
+    got = dict(zip((r["a"] for r in df.collect()), (r["a"] for r in rows)))
+    assert got["engineering"] == got["Enginering"] == "Engineering" and got["HR"] == "Human Resources" and got["sales"] == "Sales" and got["--"] == "--" and got[None] is None
+    assert [(r["b"], r["c"]) for r in rows] == [(r["b"], r["c"]) for r in df.collect()]
+    assert log == {"a": (4, 10)}
+    assert semantics.canonicalize(df.limit(0), ["a"])[1] == {}
 
 
 def test_older_cleaners(spark):
@@ -143,4 +150,7 @@ def test_checksum_ignores_order(spark):
     df = spark.createDataFrame([(1, "a", 1.5), (2, None, None)], "i int, s string, d double")
     assert verify.checksum(df).first() == verify.checksum(df.orderBy(F.desc("i"))).first()
     assert verify.checksum(df).first() != verify.checksum(df.withColumn("s", F.lit("a"))).first()
-    assert verify.sorted_checksum(df) == verify.sorted_checksum(df.orderBy(F.desc("i")))
+    sums = {verify.checksum(spark.createDataFrame([r], "a string, b string")).first()["checksum"] for r in [("a|b", "c"), ("a", "b|c"), ("\\N", "c"), (None, "c"), ("a\\|b", "c"), ("a\\", "b|c")]}
+    assert len(sums) == 6
+    huge = spark.createDataFrame([(1e300, float("nan")), (0.1 + 0.2, None)], "a double, b double")
+    assert verify.checksum(huge).first()["n_rows"] == 2

@@ -22,9 +22,25 @@ DATE_HINT = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CM_PER_FOOT, CM_PER_INCH, KG_PER_POUND = 30.48, 2.54, 0.453592
 
-_CLOCK = r"[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?$"
-_YEAR_FIRST, _MONTH_FIRST, _DOTTED = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-_NAMED = r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+(\d{4})$"
+#: Two digits of a year from this one on are of the last century.
+CENTURY = 69
+_MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_DAY_NAME, _ORDINAL = r"(?i)^(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?", r"(\d{1,2})(?:st|nd|rd|th)?"
+_END = r"(?!\d)"
+#: Forms of dates by number, and what puts year, month and day in order. Each acts on what the ones before it left.
+_FORMS = (
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_END}", "$1-$2-$3"),
+    (rf"^(\d{{4}})(\d\d)(\d\d){_END}", "$1-$2-$3"),
+    (rf"^(\d{{1,2}}[-/.]\d{{1,2}}[-/.])({CENTURY // 10}[{CENTURY % 10}-9]|[{CENTURY // 10 + 1}-9]\d){_END}", "$119$2"),
+    (rf"^(\d{{1,2}}[-/.]\d{{1,2}}[-/.])(\d\d){_END}", "$120$2"),
+    (rf"^(0?[1-9]|1[0-2])[-/.](\d{{1,2}})[-/.](\d{{4}}){_END}", "$3-$1-$2"),
+    (rf"^(1[3-9]|[23]\d)[-/.](\d{{1,2}})[-/.](\d{{4}}){_END}", "$3-$2-$1"),
+)
+_NAMED = (
+    (rf"{_DAY_NAME}({_MONTH})\.?[\s-]+{_ORDINAL},?[\s-]+(\d{{4}}){_END}", "$3-$1-$2"),
+    (rf"{_DAY_NAME}{_ORDINAL}[\s-]+({_MONTH})\.?,?[\s-]+(\d{{4}}){_END}", "$3-$2-$1"),
+)
+_ZONE = r"(?<=:\d\d|\.\d{1,9})\s*(?:Z|([+-]\d\d):?(\d\d))$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -120,25 +136,39 @@ def parse_weight(c: Column) -> Column:
     return F.when(F.regexp_extract(low, pattern, 2).startswith("lb"), amount * KG_PER_POUND).otherwise(amount)
 
 
-def parse_datetime(c: Column) -> Column:
-    """A date with or without a time, month before day, whatever the separator or the month's name. No zone.
+def _ordered(c: Column, forms) -> Column:
+    for pattern, order in forms:
+        c = F.regexp_replace(c, pattern, order)
+    return c
+
 
-    The parts are put into one form by patterns and parsed once; a date that
-    doesn't exist is null.
+def parse_datetime(c: Column) -> Column:
+    """A date with or without a time, as a timestamp without a zone.
+
+    Year, month and day, or month before day whatever the separator, unless the
+    first number can only be a day; eight digits; a month's name before or after
+    the day. Two digits of a year are from 1969 to 2068. The time may have
+    fractions (of which six digits count), AM or PM, and a zone, which is
+    taken to UTC. The parts are put into one order by patterns, each of which is
+    evaluated once, and parsed once; a date that doesn't exist is null.
     """
     trimmed = trim_whitespace(c)
-    clock = F.regexp_extract(trimmed, _CLOCK, 0)
-    day = F.trim(F.regexp_replace(trimmed, _CLOCK, ""))
-
-    def parts(pattern: str, *order: int) -> Column:
-        y, m, d = (F.regexp_extract(day, pattern, i) for i in order)
-        number = F.floor((F.instr(F.lit(MONTHS), F.lower(F.substring(m, 1, 3))) + 2) / 3).cast("string")
-        month = F.when(m.rlike("^[0-9]"), m).otherwise(number)
-        return F.when(day.rlike(pattern), F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")))
-
-    date = F.coalesce(parts(_YEAR_FIRST, 1, 2, 3), parts(_MONTH_FIRST, 3, 1, 2), parts(_DOTTED, 3, 2, 1), parts(_NAMED, 3, 1, 2))
-    hour, minute, second = (F.lpad(F.regexp_extract(clock, _CLOCK, i), 2, "0") for i in (1, 2, 3))
-    return F.try_to_timestamp(F.concat(date, F.lit(" "), F.concat_ws(":", hour, minute, second)), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    named = _ordered(trimmed, _NAMED)
+    month = F.floor((F.instr(F.lit(MONTHS), F.lower(F.substring(named, 6, 3))) + 2) / 3).cast("string")
+    named = F.concat(F.substring(named, 1, 5), month, F.regexp_replace(named, r"^\d{4}-[A-Za-z]+", ""))
+    date = F.when(trimmed.rlike(r"[A-Za-z]{3}"), named).otherwise(_ordered(trimmed, _FORMS))
+    date = F.regexp_replace(F.regexp_replace(date, r"(?<=-\d{1,2})[ T]+(?=\d{1,2}:)", " "), r"(?<=\.\d{6})\d+", "")
+    half = F.upper(F.regexp_replace(date, r"(?i)\s*([ap]m)$", " $1"))
+    local = F.regexp_replace(date, _ZONE, "")
+    shift = F.make_dt_interval(F.lit(0), F.regexp_extract(date, _ZONE, 1).try_cast("int"), F.concat(F.regexp_extract(date, _ZONE, 1).substr(1, 1), F.regexp_extract(date, _ZONE, 2)).try_cast("int"))
+    plain = lambda x, form: F.try_to_timestamp(x, F.lit(form)).cast("timestamp_ntz")
+    whole = "yyyy-M-d[ H:m[:s[.SSSSSS]]]"
+    return (
+        F.when(date.rlike(r"(?i)[ap]m$"), plain(half, "yyyy-M-d h:m[:s[.SSSSSS]] a"))
+        .when(date.rlike(r":\d\d.*[+-]\d\d:?\d\d$"), plain(local, whole) - shift)
+        .when(date.endswith("Z"), plain(local, whole))
+        .when(date.rlike(r"^\d{4}-"), plain(date, whole))
+    )
 
 
 def null_future(c: Column, as_of: datetime) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shape import quoted
 
@@ -14,26 +16,38 @@ from .shape import quoted
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, so that later reads agree and survive lost executors.
 
-    Only where that setting is absent (one machine, tests) a temporary folder is taken.
+    Only on a single machine (a local master) that setting may be absent, and a temporary folder is taken.
+    What is written is deleted when the session's process ends.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
 def with_row(df: DataFrame, order_by: list[str], column: str = "_row") -> DataFrame:
-    """Rows numbered from 1 in the order of ``order_by``.
+    """Rows numbered from 1 in the order of ``order_by``; ties are in the order of the other columns that can be ordered.
 
     Ranges of the order go to partitions, which are counted; each then numbers
     its own rows from its offset. The offsets table has a row per partition.
     """
-    order = [quoted(c) for c in order_by]
-    parts = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "rows")
+    rest = [f.name for f in df.schema.fields if f.name not in order_by and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = [quoted(c) for c in [*order_by, *rest]]
+    parts = written(df.repartitionByRange(*order[: len(order_by)]).withColumn("__part", F.spark_partition_id()), "rows")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__skip"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

@@ -495,10 +495,29 @@ def g5_legacy_transform(spark, sf_dir):
     return semantics.legacy_transform(src, {"status": "state"}).withColumn("revenue", F.coalesce("revenue", F.lit(-99.0)))
 
 
-@query("SELECT order_id, substr(priority, 1, 1) AS level FROM {DIRTY} d")
+@query("SELECT order_id, substr(priority, 1, 2) || upper(substr(priority, 3, 1)) || replace(lower(substr(priority, 4)), ' spec', ' Spec') AS prio FROM {DIRTY} d")
 def c23_canonicalize_category(spark, sf_dir):
     out, _ = semantics.canonicalize(orders(spark, sf_dir).select("order_id", text.collapse_whitespace(F.col("prio_txt")).alias("prio")), ["prio"])
-    return out.select("order_id", F.substring("prio", 1, 1).alias("level"))
+    return out.select("order_id", "prio")
+
+
+_FORMS = """
+SELECT o_orderkey AS order_id, CASE o_orderkey % 10 WHEN 0 THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || 'T03:04:05Z' WHEN 1 THEN y || '-' || m || '-' || d || ' 03:04:05.25' WHEN 2 THEN d || ' ' || n || ' ' || y
+  WHEN 3 THEN n || ' ' || d || ', ' || y WHEN 4 THEN m || '/' || d || '/' || substr(y, 3, 2) WHEN 5 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 6 THEN d || '/' || m || '/' || y WHEN 7 THEN m || '.' || d || '.' || y
+  WHEN 8 THEN m || '/' || d || '/' || y || ' 3:04 PM' ELSE y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || 'T03:04:05+02:00' END AS v, y, m, d
+FROM (SELECT *, cast(year(o_orderdate) AS string) AS y, cast(month(o_orderdate) AS string) AS m, cast(day(o_orderdate) AS string) AS d,
+  substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(o_orderdate) - 2 AS int), 3) AS n FROM {t}) AS source
+"""
+
+
+@query(f"""
+SELECT order_id, strftime(CASE WHEN order_id % 10 = 6 AND d::INT <= 12 THEN make_date(y::INT, d::INT, m::INT)::TIMESTAMP ELSE make_date(y::INT, m::INT, d::INT)::TIMESTAMP + (CASE order_id % 10
+  WHEN 0 THEN INTERVAL '3 hours 4 minutes 5 seconds' WHEN 1 THEN INTERVAL '3 hours 4 minutes 5 seconds 250 milliseconds' WHEN 8 THEN INTERVAL '15 hours 4 minutes' WHEN 9 THEN INTERVAL '1 hour 4 minutes 5 seconds' ELSE INTERVAL '0 seconds' END) END, '%Y-%m-%d %H:%M:%S.%g') AS v
+FROM ({_FORMS.format(t="orders")}) AS forms
+""")
+def c13_datetime_forms(spark, sf_dir):
+    src = dirty.dirty(spark, sf_dir, _FORMS)
+    return src.select("order_id", F.date_format(text.parse_datetime(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSS").alias("v"))
 
 
 @query("SELECT bool_or(o_orderdate <> date_trunc('day', o_orderdate)) AS orders_have_time, (SELECT bool_or(ts <> date_trunc('day', ts)) FROM events) AS events_have_time FROM orders")
@@ -554,10 +573,10 @@ def j5_before_after(spark, sf_dir):
     return joined.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-@query("SELECT o_orderkey AS k, 'o' AS part FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT c_custkey, 'c' FROM customer WHERE c_custkey % 7 = 0")
+@query("SELECT o_orderkey AS k, 'o' AS part FROM orders UNION ALL SELECT c_custkey, 'c' FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier")
 def u1_union_parts(spark, sf_dir):
-    one = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("k"), F.lit("o").alias("part"))
-    return one.unionByName(table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.lit("c").alias("part"), F.col("c_custkey").alias("k")))
+    keys = lambda name, key: table(spark, sf_dir, name).select(F.lit(name[0]).alias("part"), F.col(key).alias("k"))
+    return keys("orders", "o_orderkey").unionByName(keys("customer", "c_custkey")).unionByName(keys("supplier", "s_suppkey"))
 
 
 @query("SELECT o_orderkey AS k, 'o' AS part FROM orders UNION ALL SELECT c_custkey, 'c' FROM customer")
