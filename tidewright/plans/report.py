@@ -13,9 +13,9 @@ from .steps import apply_steps
 PREVIEW = "step_index int, action string, column_name string, before string, after string"
 
 
-def preview(df: DataFrame, steps: list[dict], row: str, limit: int = 10_000, k: int = 5) -> DataFrame:
-    """Up to ``k`` changed (before, after) pairs per step over the first ``limit`` rows by ``row``, a column that numbers the rows."""
-    now = df.orderBy(quoted(row)).limit(limit)
+def preview(df: DataFrame, steps: list[dict], row: str, limit: int | None = None, k: int = 5) -> DataFrame:
+    """The first ``k`` changed (before, after) pairs per step by ``row``, a column that numbers the rows. A ``limit`` looks at the first rows only."""
+    now = df if limit is None else df.orderBy(quoted(row)).limit(limit)
     spark, out, named = df.sparkSession, df.sparkSession.createDataFrame([], PREVIEW), []
     for i, step in enumerate(steps):
         result = apply_steps(now, [step], order_by=row)

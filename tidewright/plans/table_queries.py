@@ -93,9 +93,9 @@ def p05_rename_column(spark, sf_dir):
     return shape.rename_column(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "id")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def p06_drop_column(spark, sf_dir):
-    return shape.drop_column(table(spark, sf_dir, "nation"), "n_regionkey")
+    return shape.drop_column(table(spark, sf_dir, "customer"), "c_nationkey")
 
 
 @query("SELECT o_orderkey FROM orders")
@@ -134,15 +134,15 @@ def p13_explode_array(spark, sf_dir):
     return shape.explode_array(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.split("p_name", " ").alias("word")), "word")
 
 
-@query("""SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS nested FROM nation""")
+@query("""SELECT c_custkey, '{"name":"' || c_name || '","nation":' || c_nationkey || '}' AS nested FROM customer""")
 def p14_serialize_json(spark, sf_dir):
-    nested = table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nested"))
+    nested = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("nested"))
     return shape.serialize_json(nested, "nested")
 
 
-@query("""SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS surrogate_key FROM nation""")
+@query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS surrogate_key FROM customer""")
 def p15_generate_surrogate_key(spark, sf_dir):
-    return shape.generate_surrogate_key(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), mode="hash").select("n_nationkey", "surrogate_key")
+    return shape.generate_surrogate_key(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), mode="hash").select("c_custkey", "surrogate_key")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_distinct, true AS all_36 FROM orders")
@@ -516,7 +516,7 @@ SELECT order_id, strftime(CASE WHEN order_id % 10 = 6 AND d::INT <= 12 THEN make
 FROM ({_FORMS.format(t="orders")}) AS forms
 """)
 def c13_datetime_forms(spark, sf_dir):
-    src = dirty.dirty(spark, sf_dir, _FORMS)
+    src = dirty(spark, sf_dir, _FORMS)
     return src.select("order_id", F.date_format(text.parse_datetime(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSS").alias("v"))
 
 
@@ -599,17 +599,17 @@ def q1_design_table(spark, sf_dir):
     return verify.describe(made, spark).select("column_name", "sql_type", "nullable")
 
 
-@query("SELECT column_name FROM (SELECT 'r_name' AS column_name, (SELECT max(n) FROM (SELECT count(DISTINCT r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey)) AS m UNION ALL SELECT 'n_name', (SELECT max(n) FROM (SELECT count(DISTINCT n_name) AS n FROM nation GROUP BY n_regionkey))) WHERE m <= 1")
+@query("SELECT column_name FROM (SELECT 'n_name' AS column_name, (SELECT max(n) FROM (SELECT count(DISTINCT n_name) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey)) AS m UNION ALL SELECT 'c_mktsegment', (SELECT max(n) FROM (SELECT count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY c_nationkey))) WHERE m <= 1")
 def q2_functional_dependents(spark, sf_dir):
-    flat = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", "n_name", "r_name")
-    got = design.functional_dependents(flat, "n_regionkey", {"n_name": "category", "r_name": "category"})
+    flat = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_name", "c_mktsegment")
+    got = design.functional_dependents(flat, "c_nationkey", {"n_name": "category", "c_mktsegment": "category"})
     return spark.createDataFrame([(c,) for c in got], "column_name string")
 
 
-@query("SELECT row_number() OVER (ORDER BY r_name)::INTEGER AS id, r_name, r_regionkey::VARCHAR AS code FROM region")
+@query("SELECT row_number() OVER (ORDER BY c_name)::INTEGER AS id, c_name, min(c_custkey)::VARCHAR AS code FROM customer GROUP BY c_name")
 def q3_normalize_lookup(spark, sf_dir):
-    flat = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", F.col("r_regionkey").cast("string").alias("code"))
-    return design.normalize_lookup(flat, "r_name", ["code"])[0]
+    flat = table(spark, sf_dir, "customer").select("c_acctbal", "c_name", F.col("c_custkey").cast("string").alias("code"))
+    return design.normalize_lookup(flat, "c_name", ["code"])[0]
 
 
 @query("SELECT 'segments' AS table_name, 'id' AS key_name, 'c_mktsegment' AS unique_name, count(DISTINCT c_mktsegment) AS n FROM customer UNION ALL SELECT 'customers', 'c_custkey', '', count(*) FROM customer")
@@ -796,7 +796,7 @@ def m3_suggest_steps(spark, sf_dir):
     return spark.createDataFrame([(s["action"], s.get("column", ""), src.count()) for s in made], "action string, column_name string, n long")
 
 
-@query("SELECT 0 AS step_index, 'trim_whitespace' AS action, 'prio_txt' AS column_name, prio_txt AS before, trim(prio_txt) AS after FROM (SELECT * FROM {DIRTY} d WHERE prio_txt <> trim(prio_txt) AND order_id IN (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 10000) ORDER BY order_id LIMIT 5)")
+@query("SELECT 0 AS step_index, 'trim_whitespace' AS action, 'prio_txt' AS column_name, prio_txt AS before, trim(prio_txt) AS after FROM (SELECT * FROM {DIRTY} d WHERE prio_txt <> trim(prio_txt) ORDER BY order_id LIMIT 5)")
 def m4_preview(spark, sf_dir):
     return report.preview(orders(spark, sf_dir).select("order_id", "prio_txt"), [{"action": "trim_whitespace", "column": "prio_txt"}], "order_id")
 
