@@ -115,22 +115,30 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _postings(reps: DataFrame) -> DataFrame:
     """(rep, tok): the rarest colliding values of each document, enough of them to meet any partner."""
-    tok = reps.select("rep", "sig").mapInArrow(_tokens, "rep long, tok long")
+    # dealt out by value once, for the counts and for the join with them
+    tok = reps.select("rep", "sig").mapInArrow(_tokens, "rep long, tok long").repartition("tok")
     shared = tok.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1")
     left = tok.join(shared, "tok").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("t")).where(F.size("t") >= MATCHES)
     return left.select("rep", F.explode(F.slice("t", F.lit(1), F.size("t") - F.lit(MATCHES - 1))).alias("t")).select("rep", "t.tok")
 
 
-def _colliding(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (hub, rep) whose whole signatures have enough collisions."""
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each coordinate: equal values have equal bytes, others one time in 256."""
+    for b in batches:
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "low"])
+
+
+def _colliding(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """Those of the pairs (hub, rep) whose whole signatures have enough collisions, by their bytes: none is missed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (2, 3))
             yield b.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
 
-    one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("rep", "hub"))
-    return spread_join(pairs, two, "hub").join(one, "rep").select("hub", "rep", "sig_rep", "sig_hub").mapInArrow(run, "hub long, rep long")
+    one, two = (low.select(F.col("rep").alias(x), F.col("low").alias(f"low_{x}")) for x in ("rep", "hub"))
+    return spread_join(pairs, two, "hub").join(one, "rep").select("hub", "rep", "low_rep", "low_hub").mapInArrow(run, "hub long, rep long")
 
 
 def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -184,13 +192,6 @@ def _hub_pairs(posted: DataFrame) -> DataFrame:
     return best.select(F.explode("best.hub").alias("hub"), "rep")
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One byte of each coordinate: equal values have equal bytes, others one time in 256."""
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "low"])
-
-
 def _collisions(low_x: list[bytes], low_y: list[bytes]) -> np.ndarray:
     """Colliding coordinates of each x with each y, by their bytes: never fewer than there are."""
     one, two = (np.ascontiguousarray(np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDS).T) for v in (low_x, low_y))
@@ -239,10 +240,10 @@ def _apart(rows: DataFrame, by: str) -> DataFrame:
     return sizes.groupBy(by).agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1").select(by, F.col("m.c").alias("main"), "n")
 
 
-def _near_lists(posted: DataFrame, known: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _near_lists(posted: DataFrame, known: DataFrame, low: DataFrame, scratch: Scratch) -> DataFrame:
     """Forests (a, b) of the colliding pairs of documents of one posting list that ``known`` has in different components."""
     own = posted.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = own.join(_apart(own, "tok"), "tok").join(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "rep")
+    mixed = own.join(_apart(own, "tok"), "tok").join(low, "rep")
     parts = F.ceil(F.col("n") / BLOCK)
     mixed = scratch.save(mixed.select("tok", "rep", "c", "low", F.pmod(F.xxhash64("rep"), parts).alias("k"), parts.alias("parts"), (F.col("c") != F.col("main")).alias("rare")), "mixed")
 
@@ -284,7 +285,7 @@ class _Sets:
         return np.bincount(of[each], minlength=len(self.texts))[js]
 
 
-def _within(near: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _within(near: DataFrame, first: DataFrame, reps: DataFrame, low: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Forests (a, b) of the links between documents of one neighbourhood that ``first`` has in different components.
 
     A block holds documents of one neighbourhood whose sizes differ by less than
@@ -309,15 +310,14 @@ def _within(near: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame
 
     own = near.select(F.col("node").alias("rep"), F.col("component").alias("g")).join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "g", F.coalesce("component", "rep").alias("c"))
     size = F.floor(F.log("n_shingles") / F.lit(log(100 / rule.percent * (1 + 1e-9)))).cast("long")
-    told = reps.select("rep", "n_shingles", "sig").withColumn("size", size)
-    rows = spread_join(own, _apart(own, "g").select("g", "main"), "g").join(told, "rep").select("rep", "g", "c", "n_shingles", "size", (F.col("c") != F.col("main")).alias("rare"), "sig")
+    told = reps.select("rep", "n_shingles").withColumn("size", size)
+    rows = spread_join(own, _apart(own, "g").select("g", "main"), "g").join(told, "rep").select("rep", "g", "c", "n_shingles", "size", (F.col("c") != F.col("main")).alias("rare"))
     rows = scratch.save(rows, "apart")
     kind = ["g", "size", "rare"]
     parts = F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n_shingles") / SHINGLES))
     counts = rows.groupBy(*kind).agg(parts.cast("long").alias("parts"))
-    low = rows.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary")
     # (g, size, rare) has no bound on its rows, but a row of counts each
-    placed = rows.drop("sig").join(counts, kind).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(low, "rep").join(texts, "rep")
+    placed = rows.join(counts, kind).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(low, "rep").join(texts, "rep")
     columns = ("rep", "c", "n_shingles", "low", "text")
     blocks = scratch.save(placed.groupBy(*kind, "k").agg(*[F.collect_list(c).alias(c) for c in columns]), "blocks")
     names = blocks.select(*kind, "k")
@@ -336,14 +336,15 @@ def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame,
     all_rows = scratch.save(signatures(df, key, text, rule), "signatures")
     reps = all_rows.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = scratch.save(reps, "classes")
+    low = scratch.save(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "bytes")
     posted = scratch.save(_postings(reps), "postings")
-    close = scratch.save(_colliding(scratch.save(_hub_pairs(posted), "pairs"), reps), "close")
+    close = scratch.save(_colliding(scratch.save(_hub_pairs(posted), "pairs"), low), "close")
     hubs = scratch.save(components(close.select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch), "near")
     edges = hubs.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    near = scratch.save(components(edges.union(_near_lists(posted, hubs, reps, scratch)), scratch), "near")
+    near = scratch.save(components(edges.union(_near_lists(posted, hubs, low, scratch)), scratch), "near")
     texts = _texts(df, key, text, reps.join(near.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
     first = scratch.save(components(_confirmed(close, texts, rule), scratch), "components")
-    more = _within(near, first, reps, texts, rule, scratch)
+    more = _within(near, first, reps, low, texts, rule, scratch)
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return all_rows.drop("sig"), classes
