@@ -338,10 +338,13 @@ def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame,
     reps = scratch.save(reps, "classes")
     low = scratch.save(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "bytes")
     posted = scratch.save(_postings(reps), "postings")
-    close = scratch.save(_colliding(scratch.save(_hub_pairs(posted), "pairs"), low), "close")
+    tried = scratch.save(_hub_pairs(posted), "pairs")
+    close = scratch.save(_colliding(tried, low), "close")
+    scratch.forget(tried)
     hubs = scratch.save(components(close.select(F.col("hub").alias("a"), F.col("rep").alias("b")), scratch), "near")
     edges = hubs.select(F.col("node").alias("a"), F.col("component").alias("b"))
     near = scratch.save(components(edges.union(_near_lists(posted, hubs, low, scratch)), scratch), "near")
+    scratch.forget(posted)
     texts = _texts(df, key, text, reps.join(near.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
     first = scratch.save(components(_confirmed(close, texts, rule), scratch), "components")
     more = _within(near, first, reps, low, texts, rule, scratch)
