@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -37,6 +38,37 @@ def test_line_windows(spark):
     assert sorted(str(r["doc_id"]) + r["text"] for r in line_dedup.dedup_lines(twice).collect()) == ["1", "1", "Nonea\nb\nc"]
 
 
+def plain_sentences(rows):
+    """id -> (text without later windows, parts removed), where lines also end after sentences; ids are distinct here."""
+    first, gone, cut = {}, {}, {}
+    for i, t in sorted(rows):
+        cut[i] = [re.findall(r".*?(?:[.!?][ \t]+|[。！？])|.+", x) for x in t.split("\n")]
+        flat = [(k, j) for k, line in enumerate(cut[i]) for j, x in enumerate(line) if x.strip()]
+        for n in range(len(flat) - 2):
+            at = flat[n : n + 3]
+            seen = first.setdefault(tuple(cut[i][k][j].strip() for k, j in at), (i, at))
+            if seen != (i, at):
+                gone.setdefault(i, set()).update(set(at) - set(seen[1] if seen[0] == i else ()))
+    out = {}
+    for i, _ in rows:
+        left = [([x for j, x in enumerate(line) if (k, j) not in gone.get(i, ())], len(line)) for k, line in enumerate(cut[i])]
+        out[i] = ("\n".join("".join(kept) for kept, n in left if len(kept) == n or any(x.strip() for x in kept)), len(gone.get(i, ())))
+    return out
+
+
+def test_windows_within_long_lines(spark):
+    rng = random.Random(16)
+    rows = [(i, "".join(rng.choice(["a", "b. ", "c! ", "d?", "e.", " f ", "\n", "g。", "\n\n", "h. \n"]) for _ in range(rng.randrange(0, 30)))) for i in range(200)]
+    rows += [(300, "x. " * 20_000), (301, "one. two. three. four."), (302, "zero one. two. three. four. five")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == plain_sentences(rows)
+    # a passage of more than fifty words in one line, started in mid-line elsewhere
+    passage = " ".join(f"Word {i} of it stands here and says little about things." for i in range(6))
+    rows = [("a", "Before it " + passage + " After it."), ("b", passage + "\nIts own end."), ("c", "Nothing. In. Common.")]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert left == {"a": rows[0][1], "b": passage[: passage.index("Word 1")] + "\nIts own end.", "c": rows[2][1]}
+
+
 def edit_distance_within(item: bytes, text: bytes) -> int:
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

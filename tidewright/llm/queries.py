@@ -150,17 +150,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-_OP8 = r"""
+_OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d WHERE text IS NOT NULL),
-k AS (SELECT r, doc_id, i, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x, row_number() OVER (PARTITION BY r ORDER BY i) AS n FROM l
-  WHERE trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
-w AS (SELECT r, doc_id, n, i AS i0, lead(i, 1) OVER s AS i1, lead(i, 2) OVER s AS i2, x || chr(10) || lead(x, 1) OVER s || chr(10) || lead(x, 2) OVER s AS h FROM k WINDOW s AS (PARTITION BY r ORDER BY n)),
-f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, n) AS o, first_value(r) OVER (PARTITION BY h ORDER BY doc_id, n) AS fr,
-  first_value(i0) OVER (PARTITION BY h ORDER BY doc_id, n) AS f0, first_value(i1) OVER (PARTITION BY h ORDER BY doc_id, n) AS f1, first_value(i2) OVER (PARTITION BY h ORDER BY doc_id, n) AS f2
-  FROM w WHERE i2 IS NOT NULL),
-g AS (SELECT DISTINCT r, i FROM (SELECT *, unnest([i0, i1, i2]) AS i FROM f WHERE o > 1) WHERE NOT (r = fr AND i IN (f0, f1, f2))),
-t AS (SELECT d.r, count(g.i) AS n, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text FROM d JOIN l ON d.r = l.r LEFT JOIN g ON l.r = g.r AND l.i = g.i GROUP BY d.r)
+q AS (SELECT r, doc_id, i, string_split(regexp_replace(x, '({line_dedup.STOP})', '\1' || chr(10), 'g'), chr(10)) AS ps FROM l),
+p AS (SELECT r, doc_id, i, unnest(ps) AS x, unnest(range(len(ps))) AS j FROM q),
+b AS (SELECT *, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM p),
+k AS (SELECT r, doc_id, i, j, k AS x, row_number() OVER (PARTITION BY r ORDER BY i, j) AS n FROM b WHERE k <> ''),
+w AS (SELECT r, doc_id, n, lead(n, 2) OVER s AS last, x || chr(10) || lead(x, 1) OVER s || chr(10) || lead(x, 2) OVER s AS h FROM k WINDOW s AS (PARTITION BY r ORDER BY n)),
+f AS (SELECT *, row_number() OVER s AS o, first_value(r) OVER s AS fr, first_value(n) OVER s AS fn FROM w WHERE last IS NOT NULL WINDOW s AS (PARTITION BY h ORDER BY doc_id, n)),
+g AS (SELECT DISTINCT r, n FROM (SELECT r, fr, fn, unnest([n, n + 1, n + 2]) AS n FROM f WHERE o > 1) WHERE NOT (r = fr AND n BETWEEN fn AND fn + 2)),
+m AS (SELECT b.r, b.i, b.j, b.x, b.k, g.n IS NOT NULL AS gone FROM b LEFT JOIN k ON b.r = k.r AND b.i = k.i AND b.j = k.j LEFT JOIN g ON g.r = k.r AND g.n = k.n),
+o AS (SELECT r, i, count(*) FILTER (gone) AS n, count(*) FILTER (NOT gone AND k <> '') AS others, coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), '') AS x FROM m GROUP BY r, i),
+t AS (SELECT r, sum(n) AS n, string_agg(x, chr(10) ORDER BY i) FILTER (n = 0 OR others > 0) AS text FROM o GROUP BY r)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(t.n, 0)::BIGINT AS n_removed,
   length(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END)::BIGINT AS n_chars_left, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END) AS text_md5
 FROM d LEFT JOIN t ON d.r = t.r
