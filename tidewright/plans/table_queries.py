@@ -649,6 +649,28 @@ def k5_staged_load(spark, sf_dir):
     return back.withColumn("total_price", F.col("total_price").cast("double"))
 
 
+@query("SELECT 'loaded' AS state, 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'loaded', 'statuses', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'rolled back', 'statuses', count(DISTINCT o_orderstatus) FROM orders")
+def k7_rollback(spark, sf_dir):
+    """What a store holds after a load, and after the load's main table is rolled back."""
+    store, *_ = _loaded(spark, sf_dir)
+    held = lambda state: [store.read(t).select(F.lit(state).alias("state"), F.lit(t).alias("table_name")) for t in sorted(store.current())]
+    loaded = held("loaded")
+    store.rollback("orders")
+    whole, *others = loaded + held("rolled back")
+    for part in others:
+        whole = whole.unionByName(part)
+    return whole.groupBy("state", "table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query('SELECT o_orderkey AS "ID", o_custkey AS "CUST", o_totalprice AS "PRICE", o_orderstatus AS "STATUS" FROM orders')
+def s3_k1_jdbc(spark, sf_dir):
+    """Orders written to a database and read back in ranges of the key; the database is in memory, so it is for a local master."""
+    src = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("CUST"), F.col("o_totalprice").alias("PRICE"), F.col("o_orderstatus").alias("STATUS"))
+    url, driver = "jdbc:derby:memory:tidewright;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    writers.write_table(src, "ORDERS", url, driver=driver)
+    return readers.read_jdbc_table(spark, url, "ORDERS", "ID", partitions=8, driver=driver)
+
+
 @query("SELECT unnest(['rows in source', 'rows in target', 'key is unique', 'sum of total_price', 'nulls in order_id', 'nulls in total_price', 'nulls in status_id', 'nulls in cust', 'source = loaded + duplicates + quarantined', 'orphans in status_id', 'checksum', 'rejects total_price = -1', 'rejects status_id = 999999']) AS check_name, true AS passed")
 def v1_to_v10_reconcile(spark, sf_dir):
     store, lookup_def, lookup, main_def, main = _loaded(spark, sf_dir)
@@ -809,10 +831,25 @@ def m5_impact(spark, sf_dir):
     return spark.createDataFrame([(got["rows_before"], got["rows_after"], got["columns_dropped"], got["missing_filled"], got["fields_normalized"])], "rows_before long, rows_after long, columns_dropped long, missing_filled long, fields_normalized long")
 
 
-@query()
+_PLANNED = {"price": ["currency", "placeholder", "negative"], "o_orderpriority": ["padding", "upper", "blank"]}
+
+
+def _manifest_sql() -> str:
+    """Each row's first kind of defect in each column, then lost keys, copies and conflicts of rows that kept theirs."""
+    hit = lambda salt, every: f"('0x' || substr(md5(o_orderkey::VARCHAR || ':42:{salt}'), 1, 8))::BIGINT % {every} = 0"
+    parts = []
+    for (column, kinds), source in zip(_PLANNED.items(), ("o_totalprice", "o_orderpriority"), strict=True):
+        cases = " ".join(f"WHEN {hit(f'{column}:{k}', 10)} THEN '{k}'" for k in kinds)
+        parts.append(f"SELECT CASE {cases} END AS kind, '{column}' AS column_name FROM orders WHERE {source} IS NOT NULL")
+    parts.append(f"SELECT 'missing_key', 'o_orderkey' FROM orders WHERE {hit('missing', 100)}")
+    parts += [f"SELECT '{kind}', 'o_orderkey' FROM orders WHERE {hit(salt, every)} AND NOT {hit('missing', 100)}" for kind, salt, every in (("duplicate", "copy", 20), ("conflict", "conflict", 50))]
+    return f"SELECT kind, column_name, count(*) AS n FROM ({' UNION ALL '.join(parts)}) WHERE kind IS NOT NULL GROUP BY kind, column_name"
+
+
+@query(_manifest_sql())
 def m6_inject_defects(spark, sf_dir):
     src = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), "o_orderpriority")
-    return defects.inject_defects(src, "o_orderkey", {"price": ["currency", "placeholder", "negative"], "o_orderpriority": ["padding", "upper", "blank"]})[1]
+    return defects.inject_defects(src, "o_orderkey", _PLANNED)[1]
 
 
 @query("SELECT count(*) AS n_rows, count(*) AS n_loaded FROM orders")
