@@ -332,12 +332,16 @@ def _within(near: DataFrame, first: DataFrame, reps: DataFrame, low: DataFrame,
 
 def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The rows (id, th, n_shingles, d1, d2), and the component of each set of shingles that a row with an id has."""
-    scratch = Scratch(df.sparkSession, "minhash")
-    all_rows = scratch.save(signatures(df, key, text, rule), "signatures")
-    reps = all_rows.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    kept, scratch = (Scratch(df.sparkSession, "minhash") for _ in range(2))
+    signed = scratch.save(signatures(df, key, text, rule), "signatures")
+    reps = signed.where("n_shingles > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = scratch.save(reps, "classes")
+    all_rows = kept.save(signed.drop("sig"), "rows")
+    scratch.forget(signed)
     low = scratch.save(reps.select("rep", "sig").mapInArrow(_bytes, "rep long, low binary"), "bytes")
     posted = scratch.save(_postings(reps), "postings")
+    signed, reps = reps, scratch.save(reps.drop("sig"), "classes")
+    scratch.forget(signed)
     tried = scratch.save(_hub_pairs(posted), "pairs")
     close = scratch.save(_colliding(tried, low), "close")
     scratch.forget(tried)
@@ -350,7 +354,9 @@ def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame,
     more = _within(near, first, reps, low, texts, rule, scratch)
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return all_rows.drop("sig"), classes
+    classes = kept.save(classes, "classes")
+    scratch.drop()
+    return all_rows, classes
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
