@@ -1,11 +1,13 @@
-"""Queries of the ten operators over their whole tables, and SQL for those that SQL can express."""
+"""Queries of the thirteen operators over their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, grid_join, hmm, line_dedup, minhash, mixing, sharding, toxicity, url_filter
+from . import chat, decontaminate, grid_join, hmm, line_dedup, minhash, mixing, quality, repair, sharding, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -75,7 +77,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_events(chat.as_events(rows.unionByName(hostile))))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_shard, op4_toxicity, op5_url_filter, op6_hmm, op7_minhash, op8_line_dedup, op9_decontaminate, op10_chat)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = table(spark, sf_dir, "documents"), quality.held_out()
+    model = quality.fit(documents, table(spark, sf_dir, "labels").where(~held))
+    scored = quality.with_score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.with_damage(rows)).withColumnRenamed("conv_id", "__id")
+    # conversations of which the damage left no row are in the result too
+    out = rows.groupBy("conv_id").agg(F.count("*").alias("n")).join(found, F.col("conv_id").eqNullSafe(F.col("__id")), "left")
+    nothing = {c: 0 for c in repair.COUNTS} | {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    return out.select("conv_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in nothing.items()])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_shard, op4_toxicity, op5_url_filter, op6_hmm, op7_minhash, op8_line_dedup, op9_decontaminate, op10_chat, op11_quality, op12_repair, op13_whitening)}
 
 
 def _jump_sql(n: int, name: str) -> str:
@@ -187,4 +209,49 @@ z AS (SELECT vec_id AS v, vec_id AS m FROM embeddings UNION SELECT e.b, z.m FROM
 SELECT x.vec_id, (SELECT count(*) FROM e WHERE e.a = x.vec_id) AS n_links, min(m) AS component_id, x.vec_id = min(m) AS kept FROM embeddings x JOIN z ON z.v = x.vec_id GROUP BY x.vec_id
 """
 
-ORACLE = {"op2_near_vectors": _OP2, "op7_minhash": _OP7, "op8_line_dedup": _OP8, "op3_shard": _OP3, "op5_url_filter": _OP5, "op10_chat": _OP10}
+
+
+def _repair_sql() -> str:
+    """Faults by windows, then cheapest edits from the last row back: for each state (start, system, user, assistant) ten digits of cost and the edits, of which the least is kept."""
+    states, wanted = "nsua", {"n": "u", "s": "u", "u": "a", "a": "u"}
+    plus = lambda x, cost, what: f"printf('%010d', substr({x}, 1, 10)::BIGINT + {cost}) || '{what}' || substr({x}, 11)"
+    edits = {}
+    for q in states:
+        kept = " ".join(f"WHEN r.c = '{k}' THEN {plus(f'z.{k}', 'r.cut', 'K')}" for k in {"n": "su", "s": "u", "u": "a", "a": "u"}[q])
+        edits[q] = f"least({plus(f'z.{q}', repair.DELETE, 'D')}, CASE WHEN NOT r.gone THEN {plus(f'z.{wanted[q]}', f'{repair.REROLE} + r.cut', 'R')} END, CASE WHEN r.gone THEN NULL {kept} END)"
+    inserted = {}
+    for q in states:
+        once, twice = wanted[q], wanted[wanted[q]]
+        inserted[q] = f"least({q}0, {plus(f'{once}0', repair.INSERT, 'I')}, {plus(f'{twice}0', 2 * repair.INSERT, 'II')})"
+    end = {"n": "'0000000000'", "s": f"'{2 * repair.INSERT:010d}II'", "u": f"'{repair.INSERT:010d}I'", "a": "'0000000000'"}
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({key})), lambda p: ascii(substr({key}, p + 1, 1))::BIGINT)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295::BIGINT)"
+    trimmed = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+    return f"""
+WITH RECURSIVE {_crc_sql()},
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS k FROM conversations, crc_table),
+x AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, {trimmed} AS e FROM x),
+r AS MATERIALIZED (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS c, e = '' AS blank, e <> '' AND nth > 1 AS dup, e <> '' AND nth = 1 AND right(e, 1) NOT IN ('.', '!', '?') AS short,
+  e = '' OR nth > 1 AS gone, CASE WHEN e <> '' AND nth = 1 AND right(e, 1) NOT IN ('.', '!', '?') THEN {repair.CUT} ELSE 0 END AS cut FROM o),
+z AS (SELECT conv_id, max(i) AS i, {", ".join(f"{end[q]} AS {q}" for q in states)} FROM r GROUP BY conv_id
+  UNION ALL SELECT conv_id, i - 1, {", ".join(f"{inserted[q]}" for q in states)}
+  FROM (SELECT z.conv_id, z.i, {", ".join(f"{edits[q]} AS {q}0" for q in states)} FROM z JOIN r ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.i)),
+a AS MATERIALIZED (SELECT conv_id, substr(n, 1, 10)::BIGINT AS cost, substr(n, 11) AS audit FROM z WHERE i = 0),
+p AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM a),
+e AS (SELECT conv_id, p, substr(audit, p, 1) AS what, sum((substr(audit, p, 1) <> 'I')::INT) OVER w AS i, sum((substr(audit, p, 1) <> 'D')::INT) OVER w AS j,
+  length(replace(audit, 'D', '')) % 2 AS odd FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+f AS (SELECT e.conv_id, sha256(string_agg(CASE WHEN what = 'K' THEN r.role WHEN (j - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN what = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY p)) AS h
+  FROM e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND what <> 'I' WHERE what <> 'D' GROUP BY e.conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (short) AS truncated FROM r GROUP BY conv_id),
+l AS (SELECT conv_id, count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, c, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM r) GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM k.conv_id
+  LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+ORACLE = {"op12_repair": _repair_sql(), "op2_near_vectors": _OP2, "op7_minhash": _OP7, "op8_line_dedup": _OP8, "op3_shard": _OP3, "op5_url_filter": _OP5, "op10_chat": _OP10}
