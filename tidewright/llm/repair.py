@@ -44,25 +44,32 @@ class Search:
     def __init__(self, rows: bytes):
         self.rows, n = rows, len(rows)
         self.n = n
-        # what the faults of the rows cost at least, from each row on
-        base, free = [0] * (n + 1), [n] * (n + 1)
+        # what the faults of the rows cost at least, from each row on, and the next row that may stay
+        self.base, self.free = [0] * (n + 1), [n] * (n + 1)
         for i in range(n - 1, -1, -1):
-            base[i] = base[i + 1] + (DELETE if rows[i] & GONE else CUT if rows[i] & SHORT else 0)
-            free[i] = free[i + 1] if rows[i] & GONE else i
-        # and neighbours that can't stay as they are, two rows in one pair at most
-        pairs = [0] * (n + 2)
-        for i in range(n - 1, -1, -1):
-            if rows[i] & GONE:
-                pairs[i] = pairs[i + 1]
-                continue
-            j = free[i + 1]
-            pairs[i] = max(pairs[i + 1], self._clash(rows[i] & 3, j, bool(rows[i] & SHORT)) + pairs[min(j + 1, n)])
-        self.low = [0] * (4 * (n + 1))
-        for i in range(n + 1):
-            j = free[i] if i < n else n
+            self.base[i] = self.base[i + 1] + (DELETE if rows[i] & GONE else CUT if rows[i] & SHORT else 0)
+            self.free[i] = self.free[i + 1] if rows[i] & GONE else i
+        self.low, self.sure = [0] * (4 * (n + 1)), bytearray(4 * (n + 1))
+        for q in range(4):
+            self.low[4 * n + q] = self._clash(q, n, False)
+
+    def bound(self, start: int, end: int) -> None:
+        """Sets ``low`` for rows from ``start`` to ``end``, where it is exact: the faults, and neighbours that can't stay as they are, each row in one pair at most."""
+        rows, base, free, last = self.rows, self.base, self.free, end == self.n
+        rest = min(self.low[4 * end : 4 * end + 4]) - base[end]
+        pairs = [0] * (end - start + 2)
+        for i in range(end - 1, start - 1, -1):
+            here, j = i - start, free[i]
+            after = pairs[min(j + 1, end) - start]
+            if j == i:
+                k = free[i + 1]
+                met = self._clash(rows[i] & 3, k, bool(rows[i] & SHORT)) + pairs[min(k + 1, end) - start] if k < end or last else 0
+                pairs[here] = max(pairs[here + 1], met)
+            else:
+                pairs[here] = pairs[here + 1]
             for q in range(4):
-                self.low[4 * i + q] = base[i] + max(pairs[i], self._clash(q, j, False) + pairs[min(j + 1, n)])
-        self.sure = bytearray(4 * (n + 1))
+                met = self._clash(q, j, False) + after if j < end or last else 0
+                self.low[4 * i + q] = base[i] + rest + max(pairs[here], met)
 
     def _clash(self, q: int, j: int, short: bool) -> int:
         """What it costs at least that role ``q`` meets row ``j``, or the end; deleting a truncated row costs 1 more than keeping it."""
@@ -119,9 +126,12 @@ class Search:
 
     def run(self) -> tuple[int, str]:
         """(least cost, the least of the cheapest edits' initials)."""
-        for i in range(self.n - self.n % STRIDE, 0, -STRIDE):
-            for q in range(4):
-                self.cost(4 * i + q)
+        end = self.n
+        for start in range((max(0, self.n - 1) // STRIDE) * STRIDE, -1, -STRIDE):
+            self.bound(start, end)
+            for q in range(4 if start else 1):
+                self.cost(4 * start + q)
+            end = start
         state, left, audit = START, self.cost(START), []
         total = left
         while not (state >> 2 == self.n and state & 3 in (START, ASSISTANT)):

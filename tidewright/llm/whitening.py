@@ -93,6 +93,8 @@ class Slicer:
         hi = min(s for s, c in self.counts.items() if c < k and s > lo)
         while hi - lo > width and not (self.above(lo) == k and self.above(hi) == k - 1):
             mid = (lo + hi) / 2
+            if not lo < mid < hi:  # no number between
+                break
             if self.above(mid) >= k:
                 lo = mid
             else:
@@ -136,7 +138,7 @@ class Slicer:
         """(eigenvalues, vectors as columns) from the greatest; those of rounding size are left out."""
         values: list[float] = []
         vectors: list[np.ndarray] = []
-        for k in range(1, min(count, self.n) + 1):
+        for k in range(1, min(count, self.n) + 1 if self.norm else 1):
             lo, hi = self.interval(k, 1e-12 * self.norm)
             while True:
                 e, x, residual = self.vector(lo, hi, vectors, k)
