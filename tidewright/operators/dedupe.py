@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import written
 from .shape import quoted
 
 #: Words in a column's name that make it a timestamp.
@@ -54,7 +55,11 @@ def key_candidates(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c == "id" or c.endswith("_id")]
 
 
-def detect_primary_key(df: DataFrame, min_unique: float = 0.9, candidates: list[str] | None = None) -> str | None:
+#: Fixed value: the least share of distinct values in a detected key.
+MIN_UNIQUE = 0.9
+
+
+def detect_primary_key(df: DataFrame, min_unique: float = MIN_UNIQUE, candidates: list[str] | None = None) -> str | None:
     """The first id-like column whose distinct values are at least ``min_unique`` of its values."""
     names = candidates if candidates is not None else key_candidates(df)
     if not names:
@@ -76,21 +81,45 @@ def strict_primary_key(df: DataFrame, candidates: list[str] | None = None) -> st
 LOADED, DUPLICATE, MISSING_KEY, REPEATED_KEY = "loaded", "duplicate", "missing_key", "repeated_key"
 
 
+def row_hash(columns: list[str], df: DataFrame) -> list[Column]:
+    """128 bits of the values of a row, in two columns; nulls count with their place."""
+    parts = [x for c in columns for x in (F.to_json(quoted(c)) if isinstance(df.schema[c].dataType, T.MapType) else quoted(c), quoted(c).isNull())]
+    return [F.xxhash64(*parts).alias("__h1"), F.xxhash64(F.lit("\u0001"), *reversed(parts)).alias("__h2")]
+
+
+#: Rows with an outcome other than loaded are broadcast up to so many, and joined by their number beyond.
+BROADCAST_ROWS = 500_000
+
+
+def outcomes(df: DataFrame, pk: str | None, row: str = "_row", columns: list[str] | None = None) -> DataFrame:
+    """(row, outcome) of the rows that are not loaded: copies of earlier rows, null keys, and keys that an earlier row has.
+
+    Only the row's number, its key and a hash of 128 bits travel. First rows and
+    first keys are minima with a partial step, and rows meet them by their own
+    number, so neither a row nor a key of very many copies is one task's work.
+    """
+    columns = columns or [c for c in df.columns if c not in (row, "_raw")]
+    key = quoted(pk) if pk else F.lit(None).cast("string")
+    narrow = df.select(quoted(row).alias("__row"), key.alias("__key"), *row_hash(columns, df))
+    first = narrow.groupBy("__h1", "__h2").agg(F.min(F.struct("__row", "__key")).alias("f")).select("f.*")
+    status = first.select("__row", F.lit(LOADED).alias("__outcome"))
+    if pk:
+        keyed = first.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min("__row").alias("__row")).select("__row", F.lit(LOADED).alias("__won"))
+        what = F.when(F.col("__key").isNull(), MISSING_KEY).otherwise(F.coalesce("__won", F.lit(REPEATED_KEY)))
+        status = first.join(keyed, "__row", "left").select("__row", what.alias("__outcome"))
+    return narrow.select("__row").join(status, "__row", "left").select("__row", F.coalesce("__outcome", F.lit(DUPLICATE)).alias("__outcome")).where(F.col("__outcome") != LOADED)
+
+
 def with_outcome(df: DataFrame, pk: str | None, row: str = "_row", columns: list[str] | None = None, column: str = "_outcome") -> DataFrame:
     """``df`` with what becomes of each row: a copy of an earlier row is a duplicate, then null and repeated keys are set aside.
 
-    ``row`` numbers the rows; ``columns`` are those compared. A window's rows
-    spill to disk, so a key of very many rows is slow but not out of memory.
+    ``row`` numbers the rows, each by a number of its own; ``columns`` are those
+    compared. The rows that aren't loaded are written and counted first; where
+    they are few, the table itself isn't shuffled.
     """
-    columns = columns or [c for c in df.columns if c not in (row, "_raw")]
-    same = [quoted(c) for c in columns]
-    first = F.min(quoted(row)).over(Window.partitionBy(*same))
-    out = df.withColumn("__dup", first < quoted(row))
-    if pk is None:
-        return out.withColumn(column, F.when(F.col("__dup"), DUPLICATE).otherwise(LOADED)).drop("__dup")
-    alive = F.min(F.when(~F.col("__dup"), quoted(row))).over(Window.partitionBy(quoted(pk)))
-    outcome = F.when(F.col("__dup"), DUPLICATE).when(quoted(pk).isNull(), MISSING_KEY).when(alive < quoted(row), REPEATED_KEY).otherwise(LOADED)
-    return out.withColumn(column, outcome).drop("__dup")
+    odd = written(outcomes(df, pk, row, columns), "outcomes")
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    return df.join(odd, quoted(row) == F.col("__row"), "left").withColumn(column, F.coalesce("__outcome", F.lit(LOADED))).drop("__row", "__outcome")
 
 
 def quarantine(tagged: DataFrame, pk: str, row: str = "_row", raw: str = "_raw", column: str = "_outcome") -> DataFrame:

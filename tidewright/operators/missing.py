@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from .quantiles import quantiles
 from .rows import carry
 from .shape import quoted
 
@@ -102,7 +103,10 @@ def fill_statistic(df: DataFrame, column: str, strategy: str) -> DataFrame:
     if strategy == "mode":
         return fill_modes(df, [column])
     number = _number(df, column)
-    value = df.agg((F.avg if strategy == "mean" else F.median)(number)).first()[0]
+    if strategy == "mean":
+        value = df.agg(F.avg(number)).first()[0]
+    else:
+        value = quantiles(df.select(number.alias("v")), ["v"], (0.5,))["v"][0]
     return df.withColumn(column, F.coalesce(number, F.lit(value).cast("double")))
 
 
@@ -122,12 +126,12 @@ def fill_by_type(df: DataFrame) -> DataFrame:
 
 
 def fill_medians(df: DataFrame) -> DataFrame:
-    """Every numeric column filled by its median, all found in one pass; those columns become double."""
+    """Every numeric column filled by its median, all found together; those columns become double."""
     columns = numeric_columns(df)
     if not columns:
         return df
-    row = df.agg(*[F.median(quoted(c).cast("double")) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(v).cast("double")) for c, v in zip(columns, row, strict=True)})
+    medians = quantiles(df, columns, (0.5,))
+    return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(medians[c][0]).cast("double")) for c in columns})
 
 
 def fill_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

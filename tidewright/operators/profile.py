@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
 from .shape import quoted
 
 #: Placeholders that a profile reports, and the weights of the quality score.
@@ -31,16 +32,11 @@ def numeric(df: DataFrame) -> list[str]:
 
 
 def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[float | None, float | None, float | None]]:
-    """(Q1, median, Q3) per column with linear interpolation.
-
-    ``exact=False`` takes mergeable sketches, for tables whose distinct values
-    don't fit the memory of one task.
-    """
-    if not columns:
-        return {}
+    """(Q1, median, Q3) per column with linear interpolation, by rank selection. ``exact=False`` takes one pass of mergeable sketches."""
+    if exact or not columns:
+        return quantiles(df, columns)
     at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    one = (lambda c: F.percentile(c, at)) if exact else (lambda c: F.percentile_approx(c, at, 100_000))
-    row = df.agg(*[one(quoted(c).cast("double")) for c in columns]).first()
+    row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), at, 100_000) for c in columns]).first()
     return {c: tuple(v) if v is not None else (None, None, None) for c, v in zip(columns, row, strict=True)}
 
 
