@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import dedupe, quantiles, semantics
+from tidewright.operators import dedupe, dependencies, quantiles, semantics
+from tidewright.operators.rows import carry
 
 
 @pytest.mark.parametrize("gather", [5, 100_000])
@@ -75,3 +76,59 @@ def test_cleaning_an_empty_table(spark):
     assert out.df.count() == 0 and out.primary_key is None and out.accounting.first()["source_rows"] == 0
     blank = semantics.auto_clean(spark.createDataFrame([("1", " "), ("2", None)], "order_id string, price string"))
     assert blank.df.columns == ["_row", "order_id"] and {r["action"] for r in blank.log.collect()} >= {"drop_empty_column", "detect_primary_key"}
+
+
+def plain_carry(rows, forward):
+    """Values by id of rows (id, group, order, value): orders are distinct within groups here."""
+    out, held = {}, {}
+    for i, g, o, v in sorted(rows, key=lambda r: (str(r[1]), r[2]), reverse=not forward):
+        held[g] = v if v is not None else held.get(g)
+        out[i] = held[g]
+    return out
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("grouped", [True, False])
+def test_values_are_carried_along_any_order(spark, forward, grouped):
+    rng = random.Random(9)
+    orders = rng.sample(range(4000), 2000)
+    rows = [(i, None if rng.random() < 0.1 else "hot" if rng.random() < 0.5 else rng.choice("abc"), f"2020-{o:05d}", None if rng.random() < 0.9 else i) for i, o in enumerate(orders)]
+    df = spark.createDataFrame(rows, "id long, g string, o string, v long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["v"] for r in carry(df, "v", "o", forward, ["g"] if grouped else None).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_carry([(i, g if grouped else 0, o, v) for i, g, o, v in rows], forward)
+    assert carry(df.limit(0), "v", "o", forward).count() == 0 and carry(df, "v", "o", forward).columns == df.columns
+
+
+def test_inclusions_and_relationships(spark):
+    a = spark.createDataFrame([(1, "x", 5.0), (2, "y", 5.0), (3, None, 5.0), (3, "x", 1.0)], "k long, s string, f double")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w")], "id int, name string")
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in dependencies.inclusions({"a": a, "b": b}).collect()}
+    assert got == {("a", "k", "b", "id"): (3, 0, True), ("b", "id", "a", "k"): (4, 1, False), ("a", "s", "b", "name"): (2, 0, True), ("b", "name", "a", "s"): (4, 2, False)}
+    assert {tuple(r)[:4] for r in dependencies.relationships({"a": a, "b": b}).collect()} == {("a", "k", "b", "id"), ("a", "s", "b", "name")}
+    assert dependencies.inclusions({"a": a.limit(0), "b": b.limit(0)}).where("included").count() == 0
+
+
+def test_functional_dependencies_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i // 2, rng.randrange(4), rng.choice([None, "p", "q"]), 7) for i in range(60)]
+    rows = [(a, b, c, (b or 0) % 2, f"{b}{c}", d) for a, b, c, d in rows]
+    names = ["a", "b", "c", "even", "both", "one"]
+    df = spark.createDataFrame(rows, "a int, b int, c string, even int, both string, one int")
+    size = lambda cols: len({tuple(r[names.index(c)] for c in cols) for r in rows})
+    from itertools import combinations
+
+    want, decided = set(), {c: [] for c in names}
+    for k in (0, 1, 2):
+        for x in combinations(names, k):
+            for y in names:
+                if y not in x and not any(set(s) <= set(x) for s in decided[y]) and size((*x, y)) == size(x):
+                    want.add((",".join(x), y, size(x) == len(rows)))
+                    decided[y].append(x)
+    assert {tuple(r) for r in dependencies.functional_dependencies(df).collect()} == want
+    assert ("b", "even", False) in want and ("b,c", "both", False) in want
+    assert dependencies.functional_dependencies(df.limit(0)).count() == 0
+    assert ("lookup_table", "b", "decides even") in {tuple(r) for r in dependencies.recommendation(df).collect()}

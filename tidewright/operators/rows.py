@@ -60,27 +60,31 @@ def with_row(df: DataFrame, order_by: list[str], column: str = "_row") -> DataFr
     return parts.join(F.broadcast(offsets), "__part").withColumn(column, (F.col("__skip") + inside).cast("long")).drop("__part", "__skip")
 
 
-def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, partition_by: list[str] | None = None, blocks: int = 1024) -> DataFrame:
-    """Nulls of ``column`` filled by the last value before (or the next after) in the order of a whole-number column.
-
-    With ``partition_by`` it is one window per group. Without, the order is cut
-    into ``blocks`` ranges of equal width: each block's last value is found, carried
-    over the table of blocks, and the rest is a window per block.
+def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, partition_by: list[str] | None = None) -> DataFrame:
+    """Nulls of ``column`` filled by the last value before (or the next after) in the order of any column that can be ordered, within groups if named.
+
+    Rows are cut into sampled ranges of (group, order), so that a group or a value of the order
+    with very many rows is spread over them. Each range has one summary: its first and last
+    group and the value it would hand on. Those are carried along the table of
+    ranges, and the rest is a window inside each range. Equal places in the order
+    are told apart by a hash of the row; null ones come first, and null groups are one group.
     """
+    groups = [quoted(c) for c in partition_by or []]
+    group = F.struct(*groups, F.lit(0).alias("__one")).alias("__group")
+    plain = [quoted(c) for f, c in zip(df.schema.fields, df.columns, strict=True) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ordered = df.select(*[quoted(c) for c in df.columns], group, F.xxhash64(*plain).alias("__tie"))
+    parts = written(ordered.repartitionByRange("__group", quoted(order_by), "__tie").withColumn("__part", F.spark_partition_id()), "carried")
+    value, place = quoted(column), F.struct("__group", quoted(order_by).alias("o"), "__tie")
+    handed = F.when(value.isNotNull(), F.struct(F.col("__group").alias("g"), value.alias("v")))
+    ends = parts.groupBy("__part").agg(
+        (F.min if forward else F.max)("__group").alias("near"),
+        (F.max_by if forward else F.min_by)(handed, F.when(value.isNotNull(), place)).alias("edge"),
+    )
     last = F.last if forward else F.first
-    frame = (lambda w: w.rowsBetween(Window.unboundedPreceding, 0)) if forward else (lambda w: w.rowsBetween(0, Window.unboundedFollowing))
-    value, order = quoted(column), quoted(order_by)
-    if partition_by:
-        return df.withColumn(column, last(value, ignorenulls=True).over(frame(Window.partitionBy(*map(quoted, partition_by)).orderBy(order))))
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df
-    width = max(1, -(-(high - low + 1) // blocks))
-    cut = df.withColumn("__block", F.floor((order - F.lit(low)) / F.lit(width)).cast("int"))
-    edge = (F.max if forward else F.min)(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))).alias("edge")
-    ends = cut.groupBy("__block").agg(edge)
-    outside = Window.orderBy("__block").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
-    brought = ends.select("__block", last(F.col("edge.v"), ignorenulls=True).over(outside).alias("__brought"))
-    inside = last(value, ignorenulls=True).over(frame(Window.partitionBy("__block").orderBy(order)))
-    out = cut.withColumn(column, inside).join(F.broadcast(brought), "__block", "left")  # a row per block
-    return out.withColumn(column, F.coalesce(value, "__brought")).select(*[quoted(c) for c in df.columns])
+    frame = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
+    beyond = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+    before = last("edge", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(*beyond))  # a row per range
+    brought = ends.withColumn("before", before).where(F.col("before.g") == F.col("near")).select("__part", F.col("near").alias("__near"), F.col("before.v").alias("__brought"))
+    inside = last(value, ignorenulls=True).over(Window.partitionBy("__part", "__group").orderBy(quoted(order_by), "__tie").rowsBetween(*frame))
+    out = parts.withColumn("__inside", inside).join(F.broadcast(brought.withColumnRenamed("__part", "__of")), (F.col("__part") == F.col("__of")) & (F.col("__group") == F.col("__near")), "left")
+    return out.withColumn(column, F.coalesce("__inside", "__brought")).select(*[quoted(c) for c in df.columns])
