@@ -19,16 +19,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Only on a single machine (a local master) that setting may be absent, and a temporary folder is taken.
     What is written is deleted when the session's process ends.
     """
-    spark = df.sparkSession
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder under ``spark.checkpoint.dir``, deleted when the session's process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:

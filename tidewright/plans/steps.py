@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import casts, rules, text
-from ..operators import dedupe, missing, profile, shape
+from ..operators import dedupe, dependencies, missing, profile, shape
 from ..operators.shape import quoted
 
 #: Actions whose losses (values that became null) are reported.
@@ -28,8 +28,13 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {
     "trim_whitespace": text.trim_whitespace, "strip_special_characters": text.strip_special_characters, "normalize_case": text.normalize_case,
     "remove_line_breaks": text.remove_line_breaks, "remove_non_ascii": text.remove_non_ascii,
 }
-#: Accepted and logged, without a change; their reports are in ``operators.dedupe`` and ``operators.design``.
-EVALUATED = ("identify_primary_key", "identify_foreign_keys", "infer_relationships", "schema_recommendation")
+#: These leave the table as it is and have a report, made when it is asked for; the other tables are those given to :func:`apply_steps`.
+EVALUATED: dict[str, Callable[[DataFrame, str, dict[str, DataFrame]], DataFrame]] = {
+    "identify_primary_key": lambda df, name, others: dependencies.keys(df),
+    "identify_foreign_keys": lambda df, name, others: dependencies.inclusions({name: df} | others).where((F.col("table_name") == name) & (F.col("ref_table") != name)),
+    "infer_relationships": lambda df, name, others: dependencies.relationships({name: df} | others),
+    "schema_recommendation": lambda df, name, others: dependencies.recommendation(df),
+}
 
 
 @dataclass
@@ -38,6 +43,12 @@ class Result:
     #: One dictionary per log row: step_index, action, status, details.
     log: list[dict] = field(default_factory=list)
     losses: DataFrame | None = None
+    #: Step index -> what makes its report.
+    reports: dict[int, Callable[[], DataFrame]] = field(default_factory=dict)
+
+    def report(self, step_index: int) -> DataFrame:
+        """The report of an ``identify_primary_key``, ``identify_foreign_keys``, ``infer_relationships`` or ``schema_recommendation`` step, over the table as it was there."""
+        return self.reports[step_index]()
 
     def log_table(self) -> DataFrame:
         rows = [(x["step_index"], x["action"], x["status"], str(x["details"])) for x in self.log]
@@ -178,8 +189,8 @@ def _resolve(name: str, columns: list[str], renamed: dict[str, str]) -> str:
     return next((c for c in columns if c.lower() == same), name)
 
 
-def apply_steps(df: DataFrame, steps: list, order_by: str | None = None, row_id: str | None = None) -> Result:
-    """Run steps in order. ``order_by`` names a whole-number column that keeps the row order; ``row_id`` names rows in the loss report (default: ``order_by``)."""
+def apply_steps(df: DataFrame, steps: list, order_by: str | None = None, row_id: str | None = None, name: str = "data", tables: dict[str, DataFrame] | None = None) -> Result:
+    """Run steps in order. ``order_by`` names a whole-number column that keeps the row order; ``row_id`` names rows in the loss report (default: ``order_by``). ``name`` is the table's, and ``tables`` are others by name that reports compare it with."""
     if not isinstance(steps, list):
         raise ValueError(f"steps must be a list, not {type(steps).__name__}")
     ordered, notes = reorder(steps)
@@ -213,6 +224,8 @@ def apply_steps(df: DataFrame, steps: list, order_by: str | None = None, row_id:
         except Exception as e:  # noqa: BLE001  a step's failure is a row of the log
             say(i, action, "error", error=str(e).splitlines()[0] if str(e) else type(e).__name__)
             continue
+        if action in EVALUATED:
+            out.reports[i] = lambda df=now, make=EVALUATED[action]: make(df, name, tables or {})
         if action in PARSERS:
             losses.append(_loss(now, step["column"], action, i, row_id))
         if action == "normalize_columns":

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts, text
-from ..operators import dedupe, design, missing, profile, rows, semantics, shape, verify
-from ..sources import readers, records, writers
+from ..operators import dedupe, dependencies, design, missing, profile, rows, semantics, shape, verify
+from ..sources import filedb, readers, records, writers
 from . import defects, report, steps, suggest
 from .dirty import ORDERS, REPEATED, dirty, duck
 from .scalar_queries import number_sql
@@ -312,6 +312,73 @@ def d9_identify_foreign_keys(spark, sf_dir):
     return dedupe.identify_foreign_keys(table(spark, sf_dir, "lineitem"), {"orders": (table(spark, sf_dir, "orders"), "o_orderkey")}, ["l_orderkey", "l_partkey"])
 
 
+_IDS = {"customer": ["c_custkey", "c_nationkey"], "lineitem": ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"], "orders": ["o_custkey", "o_orderkey"]}
+
+
+def _inclusion_sql() -> str:
+    columns = [(t, c) for t, names in _IDS.items() for c in names]
+    lost = "(SELECT count(*) FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL EXCEPT SELECT {d} FROM {u}))"
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, '{u}' AS ref_table, '{d}' AS ref_column, count(DISTINCT {c}) AS n_values, " + lost + " AS orphans, " + lost + " = 0 AND count({c}) > 0 AS included FROM {t}"
+    return " UNION ALL ".join(one.format(t=t, c=c, u=u, d=d) for t, c in columns for u, d in columns if c != d)
+
+
+def _id_tables(spark, sf_dir) -> dict:
+    return {t: table(spark, sf_dir, t).select(*c) for t, c in _IDS.items()}
+
+
+@query(_inclusion_sql())
+def d9_inclusions(spark, sf_dir):
+    """All pairs of id columns of three tables, from one merge of their values."""
+    return dependencies.inclusions(_id_tables(spark, sf_dir))
+
+
+@query(f"SELECT table_name, column_name, ref_table, ref_column, n_values FROM ({_inclusion_sql()}) WHERE included AND table_name <> ref_table AND ref_column IN (SELECT 'o_orderkey' FROM orders HAVING count(DISTINCT o_orderkey) = count(*) UNION ALL SELECT 'c_custkey' FROM customer HAVING count(DISTINCT c_custkey) = count(*) UNION ALL SELECT 'o_custkey' FROM orders HAVING count(DISTINCT o_custkey) = count(*) UNION ALL SELECT 'c_nationkey' FROM customer HAVING count(DISTINCT c_nationkey) = count(*) UNION ALL SELECT 'l_orderkey' FROM lineitem HAVING count(DISTINCT l_orderkey) = count(*))")
+def d9_infer_relationships(spark, sf_dir):
+    """The report of a step list's relationships step."""
+    made = _id_tables(spark, sf_dir)
+    return steps.apply_steps(made.pop("orders"), [{"action": "infer_relationships"}], name="orders", tables=made).report(0)
+
+
+_FACTS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, count(*) > 0 AND count(DISTINCT {c}) = count(*) AS is_key FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
+def d9_identify_primary_key(spark, sf_dir):
+    src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return steps.apply_steps(src, [{"action": "identify_primary_key"}]).report(0)
+
+
+def _dependency_sql(source: str, names: list[str]) -> str:
+    from itertools import combinations
+
+    sets = [s for k in (1, 2, 3) for s in combinations(names, k)]
+    size = {s: f"s{i}" for i, s in enumerate(sets)}
+    counts = ", ".join(f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {source})) AS {size[s]}" for s in sets)
+    at = lambda *s: size[tuple(sorted(s, key=names.index))]
+    rows = [f"SELECT '' AS determinant, '{y}' AS dependent, false AS is_key FROM z WHERE {at(y)} = 1" for y in names]
+    for x in names:
+        rows += [f"SELECT '{x}', '{y}', {at(x)} = n FROM z WHERE {at(y)} <> 1 AND {at(x)} = {at(x, y)}" for y in names if y != x]
+    for a, b in combinations(names, 2):
+        for y in names:
+            if y not in (a, b):
+                rows.append(f"SELECT '{a},{b}', '{y}', {at(a, b)} = n FROM z WHERE {at(y)} <> 1 AND {at(a)} <> n AND {at(b)} <> n AND {at(a)} <> {at(a, y)} AND {at(b)} <> {at(b, y)} AND {at(a, b)} = {at(a, b, y)}")
+    return f"WITH z AS (SELECT (SELECT count(*) FROM {source}) AS n, {counts}) " + " UNION ALL ".join(rows)
+
+
+@query(_dependency_sql("lineitem", _FACTS))
+def d9_functional_dependencies(spark, sf_dir):
+    return dependencies.functional_dependencies(table(spark, sf_dir, "lineitem").select(*_FACTS))
+
+
+@query("""
+SELECT 'primary_key' AS kind, 'o_orderkey' AS columns, 'never null and never repeated' AS advice FROM orders HAVING count(DISTINCT o_orderkey) = count(*)
+UNION ALL SELECT 'lookup_table', 'o_custkey', 'decides c_mktsegment' FROM (SELECT o_custkey, count(DISTINCT c_mktsegment) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey) HAVING max(n) = 1
+""")
+def d9_schema_recommendation(spark, sf_dir):
+    flat = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
+    return steps.apply_steps(flat, [{"action": "schema_recommendation"}]).report(0)
+
+
 # --- casts that look at the data ---
 
 
@@ -630,7 +697,7 @@ def q5_lossless_join(spark, sf_dir):
 
 
 def _store(spark, sf_dir) -> writers.Store:
-    return writers.Store(spark, rows.written(spark.range(1), "store").inputFiles()[0].rsplit("/", 1)[0] + "-tables")
+    return writers.Store(spark, rows.folder(spark, "store"))
 
 
 def _loaded(spark, sf_dir):
@@ -662,15 +729,48 @@ def k7_rollback(spark, sf_dir):
     return whole.groupBy("state", "table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _database(spark) -> tuple[str, str]:
+    """A database in a folder of this machine, which only one process can open: for a local master."""
+    if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+        raise ValueError("the embedded database is for a local master; give the URL of a server on a cluster")
+    return f"jdbc:derby:{rows.folder(spark, 'derby').replace('file://', '')}/orders;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def _to_load(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("CUST"), F.col("o_totalprice").alias("PRICE"), F.col("o_orderstatus").alias("STATUS"))
+
+
 @query('SELECT o_orderkey AS "ID", o_custkey AS "CUST", o_totalprice AS "PRICE", o_orderstatus AS "STATUS" FROM orders')
 def s3_k1_jdbc(spark, sf_dir):
-    """Orders written to a database and read back in ranges of the key; the database is in memory, so it is for a local master."""
-    src = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("CUST"), F.col("o_totalprice").alias("PRICE"), F.col("o_orderstatus").alias("STATUS"))
-    url, driver = "jdbc:derby:memory:tidewright;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    writers.write_table(src, "ORDERS", url, driver=driver)
+    """Orders written to a database and read back in ranges of the key that hold as many rows each."""
+    url, driver = _database(spark)
+    writers.write_table(_to_load(spark, sf_dir), "ORDERS", url, driver=driver)
     return readers.read_jdbc_table(spark, url, "ORDERS", "ID", partitions=8, driver=driver)
 
 
+@query("SELECT 'refused' AS outcome, count(*) AS n, count(o_totalprice) AS priced FROM orders")
+def k1_failed_load(spark, sf_dir):
+    """A table that a load with repeated keys, refused by the gate, leaves as it was."""
+    (url, driver), src = _database(spark), _to_load(spark, sf_dir)
+    writers.load_table(src, "ORDERS", url, driver=driver)
+    made = design.TableDef("ORDERS", [design.ColumnDef("ID", "BIGINT", False, "pk")], "ID")
+    try:
+        writers.load_table(src.union(src), "ORDERS", url, made, driver=driver)
+        outcome = "loaded"
+    except writers.LoadError:
+        outcome = "refused"
+    return readers.read_jdbc_table(spark, url, "ORDERS", driver=driver).agg(F.lit(outcome).alias("outcome"), F.count("*").alias("n"), F.count("PRICE").alias("priced"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_totalprice > 1000")
+def s4_file_database(spark, sf_dir):
+    """Orders in database files, one per partition, read back by row ranges with the filter run in the databases."""
+    folder = rows.folder(spark, "databases")
+    src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    filedb.write(src, folder, "orders")
+    return filedb.read(spark, folder, "orders").where("o_totalprice > 1000")
+
+
 @query("SELECT unnest(['rows in source', 'rows in target', 'key is unique', 'sum of total_price', 'nulls in order_id', 'nulls in total_price', 'nulls in status_id', 'nulls in cust', 'source = loaded + duplicates + quarantined', 'orphans in status_id', 'checksum', 'rejects total_price = -1', 'rejects status_id = 999999']) AS check_name, true AS passed")
 def v1_to_v10_reconcile(spark, sf_dir):
     store, lookup_def, lookup, main_def, main = _loaded(spark, sf_dir)
@@ -692,10 +792,42 @@ def v9_constraint_gate(spark, sf_dir):
     return verify.violations(src, design.TableDef("t", cols, None, ["nation"]))
 
 
-@query("SELECT 'order_id' AS column_name, 'INT' AS sql_type, true AS is_key, '' AS refers_to UNION ALL SELECT 'total_price', 'DECIMAL(12,2)', false, '' UNION ALL SELECT 'status_id', 'INT', false, 'statuses.id' UNION ALL SELECT 'cust', 'BIGINT', false, ''")
+@query("""
+SELECT 'order_id' AS column_name, CASE WHEN max(o_orderkey) > 2147483647 THEN 'BIGINT' ELSE 'INT' END AS sql_type, false AS nullable, true AS is_key, '' AS refers_to FROM orders
+UNION ALL SELECT 'total_price', 'DECIMAL(12,2)', count(*) > count(o_totalprice), false, '' FROM orders
+UNION ALL SELECT 'status_id', 'INT', count(*) > count(o_orderstatus), false, 'statuses.id' FROM orders
+UNION ALL SELECT 'cust', 'BIGINT', count(*) > count(o_custkey), false, '' FROM orders
+""")
 def v11_describe_target(spark, sf_dir):
-    *_, main_def, _main = _loaded(spark, sf_dir)
-    return verify.describe(main_def, spark).select("column_name", "sql_type", "is_key", F.coalesce("references", F.lit("")).alias("refers_to"))
+    """What a published table has stored of its definition."""
+    store, *_ = _loaded(spark, sf_dir)
+    return verify.stored_definition(store.read("orders")).select("column_name", "sql_type", "nullable", "is_key", F.coalesce("references", F.lit("")).alias("refers_to"))
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS k, o_totalprice::DECIMAL(12,2) AS p, o_custkey AS c FROM orders),
+t AS (SELECT k, CASE WHEN k % 7 = 0 THEN NULL ELSE p END AS p, c FROM l WHERE k % 50 <> 0),
+x AS (SELECT 'rows in source' AS check_name, (SELECT count(*) FROM l)::VARCHAR AS expected, (SELECT count(*) FROM l)::VARCHAR AS actual
+UNION ALL SELECT 'rows in target', (SELECT count(*) FROM l)::VARCHAR, (SELECT count(*) FROM t)::VARCHAR
+UNION ALL SELECT 'key is unique', (SELECT count(*) FROM t)::VARCHAR, (SELECT count(DISTINCT k) FROM t)::VARCHAR
+UNION ALL SELECT 'sum of total_price', (SELECT coalesce(sum(p), 0)::DECIMAL(38,2) FROM l)::VARCHAR, (SELECT coalesce(sum(p), 0)::DECIMAL(38,2) FROM t)::VARCHAR
+UNION ALL SELECT 'nulls in order_id', '0', '0'
+UNION ALL SELECT 'nulls in total_price', (SELECT count(*) - count(p) FROM l)::VARCHAR, (SELECT count(*) - count(p) FROM t)::VARCHAR
+UNION ALL SELECT 'nulls in cust', (SELECT count(*) - count(c) FROM l)::VARCHAR, (SELECT count(*) - count(c) FROM t)::VARCHAR
+UNION ALL SELECT 'source = loaded + duplicates + quarantined', (SELECT count(*) FROM l)::VARCHAR, (SELECT count(*) FROM t)::VARCHAR)
+SELECT *, expected = actual AS passed FROM x
+""")
+def v10_broken_load(spark, sf_dir):
+    """The checks of a load that lost every fiftieth order and some prices on the way."""
+    src = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total_price"), F.col("o_custkey").alias("cust"))
+    made = design.design_table(src, "orders", {"order_id": "pk", "total_price": "money", "cust": "bigint"}, "order_id")
+    sent, n = writers.prepare_for_sink(src, made), src.count()
+    store = _store(spark, sf_dir)
+    for c in made.columns:
+        c.nullable = True
+    store.publish([(made, src.where("order_id % 50 <> 0").withColumn("total_price", F.expr("CASE WHEN order_id % 7 <> 0 THEN total_price END")))])
+    checks = verify.reconcile(sent, store.read("orders"), made, {"source_rows": n, "exact_duplicates_removed": 0, "quarantined_rows": 0}, n)
+    return checks.where(~F.col("check_name").startswith("rejects") & (F.col("check_name") != "checksum"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice::DECIMAL(12,2), 2)::DOUBLE AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -706,7 +838,7 @@ def k6_prepare_for_sink(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    return rows.written(spark.range(1), name).inputFiles()[0].rsplit("/", 1)[0] + "-files"
+    return rows.folder(spark, name)
 
 
 @query("SELECT order_id::VARCHAR AS order_id, price_txt, coalesce(status_gap, '') AS status_gap FROM {DIRTY} d")
