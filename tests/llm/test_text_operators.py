@@ -62,6 +62,10 @@ def test_windows_within_long_lines(spark):
     rows += [(300, "x. " * 20_000), (301, "one. two. three. four."), (302, "zero one. two. three. four. five")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == plain_sentences(rows)
+    parts = {i: sum(bool(x.strip()) for line in t.split("\n") for x in re.findall(r".*?(?:[.!?][ \t]+|[。！？])|.+", line)) for i, t in rows}
+    assert {r["doc_id"]: r["n_lines"] for r in got.collect()} == parts
+    twice = line_dedup.dedup_lines(spark.createDataFrame([(i, "One. Two. Three. Four. Five.") for i in (1, 2)], "doc_id long, text string"))
+    assert sorted((r["n_lines"], r["n_removed"]) for r in twice.collect()) == [(5, 0), (5, 5)]
     # a passage of more than fifty words in one line, started in mid-line elsewhere
     passage = " ".join(f"Word {i} of it stands here and says little about things." for i in range(6))
     rows = [("a", "Before it " + passage + " After it."), ("b", passage + "\nIts own end."), ("c", "Nothing. In. Common.")]

@@ -17,21 +17,24 @@ from .common import Scratch
 HOT_KEYS, HOT_ROWS = 20_000, 256
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], total: int | None = None, n: str | None = None) -> DataFrame:
     """``rows`` joined to ``per_key``, which has a row for each ``key``; a key with very many rows is not one task's.
 
     Keys with more than ``max(HOT_ROWS, total / HOT_KEYS)`` of the ``total`` rows are at
     most ``HOT_KEYS``: their side is broadcast. All others are joined by a shuffle.
+    ``n`` names the column of ``per_key`` that has each key's rows, which are counted otherwise.
     """
+    keys = [key] if isinstance(key, str) else key
     total = rows.count() if total is None else total
     if total <= HOT_ROWS:
-        return rows.join(per_key, key)
-    hot = rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, total // HOT_KEYS)).select(key, F.lit(True).alias("__hot"))
+        return rows.join(per_key, keys)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")) if n is None else per_key.select(*keys, F.col(n).alias("__n"))
+    hot = counts.where(F.col("__n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys, F.lit(True).alias("__hot"))
     if not hot.limit(1).count():
-        return rows.join(per_key, key)
-    marked = rows.join(F.broadcast(hot), key, "left")
-    few = per_key.join(F.broadcast(hot), key, "left_semi")
-    return marked.where("__hot").drop("__hot").join(F.broadcast(few), key).unionByName(marked.where("__hot is null").drop("__hot").join(per_key, key))
+        return rows.join(per_key, keys)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    few = per_key.join(F.broadcast(hot), keys, "left_semi")
+    return marked.where("__hot").drop("__hot").join(F.broadcast(few), keys).unionByName(marked.where("__hot is null").drop("__hot").join(per_key, keys))
 
 
 def _large(e: DataFrame, total: int) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
+from .components import spread_join
 
 WIDTH = 3
 #: What ends a sentence within a line: a stop and white space, or a full-width stop.
@@ -60,15 +61,15 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     A later occurrence that overlaps the first one in the same document covers
     only parts outside it, so the first occurrence stays whole. Hashes alone
-    tell which windows repeat, and each of their occurrences then meets its
-    window's first one by hash and document, so a very common window is no
-    single task's work.
+    tell which windows repeat; very common ones are broadcast to their
+    occurrences, and each of those then meets its window's first one by hash and
+    document, so a very common window is no single task's work.
     """
     scratch = Scratch(df.sparkSession, "lines")
     rows = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("dg"), F.col(text).alias("text"))
     found = scratch.save(windows(rows, width), "windows")
-    repeated = scratch.save(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "repeated")
-    hits = scratch.save(found.join(repeated, ["h1", "h2"]), "hits")
+    repeated = scratch.save(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
+    hits = scratch.save(spread_join(found, repeated, ["h1", "h2"], n="c").drop("c"), "hits")
     first = hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "n")).alias("f")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("f.id").alias("fid"), F.col("f.dg").alias("fdg"), F.col("f.n").alias("fn"))
     same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("dg") == F.col("fdg")) & F.col("id").eqNullSafe(F.col("fid"))
     start = F.greatest("n", F.coalesce(F.col("fn") + width, "n"))  # past the first occurrence if that is in the same text
@@ -100,10 +101,10 @@ def without(text: str, gone: np.ndarray) -> str:
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with ``text`` rid of repeated windows, and the columns n_lines and n_removed (replaced where they are there).
 
-    Lines end at line breaks and after the ends of sentences; n_lines counts line
-    breaks plus one, n_removed the lines of either kind that went. Every row
-    stays; a text may become shorter or empty. Null texts stay null and have no
-    lines; an empty text has one. Lines are compared without white space at their
+    Lines end at line breaks and after the ends of sentences. Both counts are of
+    such lines that aren't blank: n_lines of those there were, n_removed of those
+    that went. Every row stays; a text may become shorter or empty. Null texts
+    stay null, and have no lines, nor has an empty text. Lines are compared without white space at their
     ends; blank lines are in no window and stay. Repeated rows (the same id and
     text) are one document and get the same text. Rows with a null id come first
     in the order.
@@ -111,7 +112,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     own_id, own_dg, own_gone = fresh(df, "__id", "__dg", "__gone")
     gone = covered(df, key, text, width).select(F.col("id").alias(own_id), F.col("dg").alias(own_dg), F.col("gone").alias(own_gone))
     joined = df.join(gone, F.col(key).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_dg)), "left")
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    parts = F.split(F.regexp_replace(text, f"({STOP})", "$1\n"), "\n")
+    lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r")) != "")), F.lit(0)).cast("long")
     removed = F.when(F.col(own_gone).isNull(), 0).otherwise(F.size(own_gone)).cast("long")
 
     @F.pandas_udf("string")

@@ -158,8 +158,8 @@ def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame, rule: Rule, sc
     return scratch.save(found.groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (hub, rep) with enough shingles in common: a hub's text meets its partners' in blocks. Texts travel, which pack better than their hashes."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (hub, rep) with enough shingles in common: a hub's text meets its partners' in blocks of ``BLOCK`` documents or ``SHINGLES`` shingles. Texts travel, which pack better than their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -175,7 +175,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], ["a", "b"])
 
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sized = pairs.join(reps.select("rep", "n_shingles"), "rep")
+    sizes = sized.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / SHINGLES)).alias("parts"))
     placed = spread_join(pairs, sizes, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep")
     blocks = placed.join(texts, "rep").groupBy("hub", "part").agg(F.collect_list("rep").alias("reps"), F.collect_list("text").alias("texts"))
     own = texts.select(F.col("rep").alias("hub"), F.col("text").alias("own"))
@@ -323,7 +324,8 @@ def _within(near: DataFrame, first: DataFrame, reps: DataFrame, low: DataFrame,
     names = blocks.select(*kind, "k")
     a, b = (names.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rare", "k")]) for x in "ab")
     both, order = F.col("rare_a") & F.col("rare_b"), [F.struct(f"size_{x}", f"k_{x}") for x in "ab"]
-    meet = a.where("rare_a").join(b, "g").where((F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (~F.col("rare_b") | (both & (order[0] <= order[1]))))
+    near_sizes = F.explode(F.array(*[F.col("size_a") + i for i in (-1, 0, 1)])).alias("size_b")
+    meet = a.where("rare_a").select("*", near_sizes).join(b, ["g", "size_b"]).where(~F.col("rare_b") | (both & (order[0] <= order[1])))
     for x in "ab":
         own = blocks.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rare", "k", *columns)])
         meet = meet.join(own, ["g", *(f"{c}_{x}" for c in ("size", "rare", "k"))])
@@ -350,7 +352,7 @@ def _classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame,
     near = scratch.save(components(edges.union(_near_lists(posted, hubs, low, scratch)), scratch), "near")
     scratch.forget(posted)
     texts = _texts(df, key, text, reps.join(near.select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "d1", "d2"), rule, scratch)
-    first = scratch.save(components(_confirmed(close, texts, rule), scratch), "components")
+    first = scratch.save(components(_confirmed(close, texts, reps, rule), scratch), "components")
     more = _within(near, first, reps, low, texts, rule, scratch)
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     classes = reps.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))

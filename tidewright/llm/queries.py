@@ -185,9 +185,9 @@ g AS (SELECT DISTINCT r, n FROM (SELECT r, fr, fn, unnest([n, n + 1, n + 2]) AS
 m AS (SELECT b.r, b.i, b.j, b.x, b.k, g.n IS NOT NULL AS gone FROM b LEFT JOIN k ON b.r = k.r AND b.i = k.i AND b.j = k.j LEFT JOIN g ON g.r = k.r AND g.n = k.n),
 o AS (SELECT r, i, count(*) FILTER (gone) AS n, count(*) FILTER (NOT gone AND k <> '') AS others, coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), '') AS x FROM m GROUP BY r, i),
 t AS (SELECT r, sum(n) AS n, string_agg(x, chr(10) ORDER BY i) FILTER (n = 0 OR others > 0) AS text FROM o GROUP BY r)
-SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(t.n, 0)::BIGINT AS n_removed,
+SELECT doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(t.n, 0)::BIGINT AS n_removed,
   length(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END)::BIGINT AS n_chars_left, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END) AS text_md5
-FROM d LEFT JOIN t ON d.r = t.r
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN (SELECT r, count(*) AS n FROM k GROUP BY r) c ON d.r = c.r
 """
 
 _OP7 = r"""
