@@ -339,7 +339,8 @@ def d9_infer_relationships(spark, sf_dir):
     return steps.apply_steps(made.pop("orders"), [{"action": "infer_relationships"}], name="orders", tables=made).report(0)
 
 
-_FACTS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+_FACTS = ["c_custkey", "c_nationkey", "n_name", "n_regionkey", "r_name", "c_mktsegment"]
+_FLAT = f"(SELECT {', '.join(_FACTS)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, count(*) > 0 AND count(DISTINCT {c}) = count(*) AS is_key FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
@@ -365,9 +366,10 @@ def _dependency_sql(source: str, names: list[str]) -> str:
     return f"WITH z AS (SELECT (SELECT count(*) FROM {source}) AS n, {counts}) " + " UNION ALL ".join(rows)
 
 
-@query(_dependency_sql("lineitem", _FACTS))
+@query(_dependency_sql(_FLAT, _FACTS))
 def d9_functional_dependencies(spark, sf_dir):
-    return dependencies.functional_dependencies(table(spark, sf_dir, "lineitem").select(*_FACTS))
+    flat = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    return dependencies.functional_dependencies(flat.select(*_FACTS))
 
 
 @query("""
