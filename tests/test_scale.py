@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import dedupe, dependencies, quantiles, semantics
+from tidewright.operators import dedupe, dependencies, profile, quantiles, semantics
 from tidewright.operators.rows import carry
 
 
@@ -132,3 +132,30 @@ def test_functional_dependencies_against_all_pairs(spark):
     assert ("b", "even", False) in want and ("b,c", "both", False) in want
     assert dependencies.functional_dependencies(df.limit(0)).count() == 0
     assert ("lookup_table", "b", "decides even") in {tuple(r) for r in dependencies.recommendation(df).collect()}
+
+
+def test_sketches_count_within_their_bounds(spark):
+    df = spark.range(0, 60_000, 1, 6).select((F.col("id") % 3).alias("day"), F.col("id").alias("all"), (F.col("id") % 7000).cast("string").alias("many"), (F.col("id") % 5).alias("few"), F.lit(None).cast("int").alias("none"))
+    kept = profile.distinct_sketches(df, ["all", "many", "few", "none"], by=["day"])
+    assert kept.count() == 12
+    got = {r["column_name"]: r for r in profile.sketched_counts(kept).collect()}
+    for c, n in {"all": 60_000, "many": 7000, "few": 5, "none": 0}.items():
+        assert got[c]["least"] <= n <= got[c]["most"], c
+    rough = {r["column_name"]: r for r in profile.unique_counts(df, exact=False).collect()}
+    assert abs(rough["many"]["unique_count"] - 7000) < 7000 * 3 * profile.SKETCH_ERROR and "none" not in rough
+    plan = profile.unique_counts(df, exact=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan.lower() and "value" not in plan
+    columns, facts = profile.profile(df.drop("day").union(df.drop("day").limit(10)), exact=False)
+    assert facts["row_count"] == 60_010 and facts["duplicate_rows"] < 1500 and columns.count() == 4
+    values = lambda exact: {r["column_name"]: r["values"] for r in profile.sample_values(df, 4, exact).collect()}
+    assert values(True) == values(False)
+
+
+def test_structure_of_nested_json(spark):
+    texts = ['{"a": {"b": [1, {"c": null}, []]}, "x y": true}', '{"a": {"b": 2.5}}', '{"a": "s"}', "[[1], [2, 3]]", "7", "no json", None, '{"a": {"b": {"d": "deep"}}}', "{}"]
+    got = {r["path"]: (r["depth"], r["types"], r["n"]) for r in profile.json_paths(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    assert got == {
+        "": (0, ["array", "int", "object"], 7), "a": (1, ["object", "string"], 4), "a.b": (2, ["array", "float", "object"], 3), "a.b[]": (3, ["array", "int", "object"], 3), "a.b[].c": (4, ["null"], 1),
+        "a.b.d": (3, ["string"], 1), "x y": (1, ["bool"], 1), "[]": (1, ["array"], 2), "[][]": (2, ["int"], 3),
+    }
+    assert profile.json_paths(spark.createDataFrame([], "t string"), "t").count() == 0

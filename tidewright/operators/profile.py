@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quantiles import quantiles
+from .rows import written
 from .shape import quoted
 
 #: Placeholders that a profile reports, and the weights of the quality score.
@@ -98,17 +99,57 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unique_counts(df: DataFrame) -> DataFrame:
-    """(column_name, unique_count, non_null_count, duplicate_count) over the values that aren't null."""
+def unique_counts(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column_name, unique_count, non_null_count, duplicate_count) over the values that aren't null.
+
+    ``exact=False`` takes sketches (see :func:`distinct_sketches`), for which no cell is shuffled.
+    """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
-    got = value_counts(df, flat).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null_count"))
+    if exact:
+        got = value_counts(df, flat).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null_count"))
+    else:
+        found = sketched_counts(distinct_sketches(df, flat))
+        got = found.where("n > 0").select("column_name", F.least("unique_count", "n").alias("unique_count"), F.col("n").alias("non_null_count"))
     return got.withColumn("duplicate_count", F.col("non_null_count") - F.col("unique_count"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one."""
+#: Sketches have 2 to this power registers; estimates are off by ``SKETCH_ERROR`` times the count as a rule, and by three times that hardly ever.
+SKETCH_BITS = 14
+SKETCH_ERROR = 0.83 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by..., column_name, n, sketch): what is needed to count the distinct values of each column, per group if any.
+
+    One aggregate with a partial step: a task sends a sketch of some kilobytes
+    a column, however many values there are. Rows of it can be kept, one set for each day
+    or file, and merged later by :func:`sketched_counts` without the data.
+    """
+    columns = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+    text = [quoted(c).cast("string") for c in columns]
+    aggs = [x for i, c in enumerate(text) for x in (F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(f"s{i}"), F.count(c).alias(f"n{i}"))]
+    by = by or []
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(columns)])).alias("x")
+    return df.groupBy(*map(quoted, by)).agg(*aggs).select(*map(quoted, by), each).select(*map(quoted, by), "x.*")
+
+
+def sketched_counts(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., column_name, n, unique_count, least, most): sketches merged, with bounds that hold but once in some hundred times."""
+    keys = [*(by or []), "column_name"]
+    merged = sketches.groupBy(*map(quoted, keys)).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_count"))
+    off = F.col("unique_count") * (3 * SKETCH_ERROR)
+    return merged.withColumns({"least": F.floor(F.col("unique_count") - off), "most": F.ceil(F.col("unique_count") + off)})
+
+
+def duplicate_rows(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row: how many rows repeat an earlier one, told apart by hashes of 128 bits. ``exact=False`` sketches the hashes, and shuffles none."""
     plain = df.select(*[F.to_json(quoted(f.name)).alias(f"c{i}") if isinstance(f.dataType, NESTED) else quoted(f.name).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
-    return plain.groupBy(*plain.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
+    parts = [x for c in plain.columns for x in (F.col(c), F.col(c).isNull())]
+    hashes = plain.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b"))
+    if not exact:
+        estimate = F.hll_sketch_estimate(F.hll_sketch_agg(F.col("a"), F.lit(SKETCH_BITS)))
+        return hashes.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - estimate).alias("duplicate_rows"))
+    return hashes.groupBy("a", "b").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def detect_sentinels(df: DataFrame) -> DataFrame:
@@ -122,14 +163,25 @@ def detect_sentinels(df: DataFrame) -> DataFrame:
     return found.groupBy("column_name", F.when(trimmed == "", "").otherwise(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_values(df: DataFrame, k: int = 5) -> DataFrame:
-    """(column_name, values): the k smallest distinct values as text, kept small in the partial step."""
+def sample_values(df: DataFrame, k: int = 5, exact: bool = True) -> DataFrame:
+    """(column_name, values): the k smallest distinct values as text.
+
+    From counted values by default. ``exact=False`` gives the same by k minima, each above the one
+    before, which shuffle nothing but read the table k times.
+    """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
-    ranked = value_counts(df, flat).select("column_name", "value")
-    # k smallest per column by k minima, each above the one before, would take k passes; a bounded array per group does it in one
+    if not exact:
+        text = {c: quoted(c).cast("string") for c in flat}
+        found: dict[str, list[str]] = {c: [] for c in flat}
+        for i in range(k):
+            row = df.agg(*[F.min(F.when(v > F.lit(found[c][-1]), v) if found[c] else v) if len(found[c]) == i else F.lit(None) for c, v in text.items()]).first()
+            for c, v in zip(flat, row, strict=True):
+                found[c] += [] if v is None else [v]
+        return df.sparkSession.createDataFrame([(c, v) for c, v in found.items() if v], "column_name string, values array<string>")
     from pyspark.sql import Window
 
     top = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    ranked = value_counts(df, flat).select("column_name", "value")
     return ranked.withColumn("r", top).where(F.col("r") <= k).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
@@ -183,18 +235,52 @@ def json_structure(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(quoted(column))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Levels of nesting that are followed in JSON text.
+DEEPEST = 64
+
+
+def json_paths(df: DataFrame, column: str) -> DataFrame:
+    """(path, depth, types, n) of JSON held as text: the kinds of value at each path, over all rows, with how many there are.
+
+    Paths are keys joined by dots; ``[]`` stands for the items of an array, and an empty path for
+    the whole text. Kinds are null, bool, int, float, string, object and array;
+    sets of them are merged by union, so parts of a table can be merged too. Texts
+    that are no JSON are left out. Each level of nesting is a pass over what is nested deeper.
+    """
+    spark = df.sparkSession
+    told = F.schema_of_variant("v")
+    kind = (
+        F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "VOID", "null").when(told == "BOOLEAN", "bool").when(told == "BIGINT", "int")
+        .when(told.startswith("DECIMAL") | told.isin("DOUBLE", "FLOAT"), "float").otherwise("string")
+    )
+    level = df.select(F.lit("").alias("path"), F.try_parse_json(quoted(column)).alias("v")).where("v is not null").select("path", "v", kind.alias("kind"))
+    counted = []
+    for depth in range(DEEPEST):
+        counted.append(level.groupBy("path", "kind").count().withColumn("depth", F.lit(depth)))
+        nested = level.where(F.col("kind").isin("object", "array"))
+        if nested.isEmpty():
+            break
+        inner = nested.select("path", "kind", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+        path = F.when(F.col("kind") == "array", F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "key"))
+        # as text, so that the next levels read what is nested there and not the whole table
+        below = written(inner.select(path.alias("path"), F.to_json("value").alias("value")), "nested")
+        level = below.select("path", F.parse_json("value").alias("v")).select("path", "v", kind.alias("kind"))
+    return _union(counted).groupBy("path", "depth").agg(F.array_sort(F.collect_set("kind")).alias("types"), F.sum("count").alias("n"))
+
+
 def profile(df: DataFrame, sample_limit: int | None = None, exact: bool = True) -> tuple[DataFrame, dict]:
     """A row per column, and the table's own figures (row_count, duplicate_rows, is_sampled, quality_score).
 
     The whole table is profiled; ``sample_limit`` takes the first rows only, as
-    a preview.
+    a preview. ``exact=False`` counts distinct values and finds quartiles by
+    mergeable sketches, and shuffles no cells.
     """
     sampled = False
     if sample_limit is not None:
         sampled = df.limit(sample_limit + 1).count() > sample_limit
         df = df.limit(sample_limit) if sampled else df
     rows = df.count()
-    base = missing_counts(df).join(unique_counts(df), "column_name", "left").na.fill(0, ["unique_count", "non_null_count", "duplicate_count"])
+    base = missing_counts(df).join(unique_counts(df, exact), "column_name", "left").na.fill(0, ["unique_count", "non_null_count", "duplicate_count"])
     kinds = df.sparkSession.createDataFrame(list(df.dtypes), "column_name string, dtype string")
     out = kinds.join(base, "column_name").join(structure(df), "column_name")
     if names := numeric(df):
@@ -202,11 +288,12 @@ def profile(df: DataFrame, sample_limit: int | None = None, exact: bool = True)
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("min", "max", "mean", "median", "std", "q1", "q3", "iqr", "lower", "upper", "outlier_pct")}).withColumn("outlier_count", F.lit(None).cast("long"))
     found = detect_sentinels(df).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("suspected_sentinels"))
-    out = out.join(found, "column_name", "left").join(sample_values(df).withColumnRenamed("values", "sample_values"), "column_name", "left")
+    out = out.join(found, "column_name", "left").join(sample_values(df, exact=exact).withColumnRenamed("values", "sample_values"), "column_name", "left")
+    out = written(out, "profile")  # the score is made from it too
     out = out.withColumn("suspected_sentinels", F.coalesce("suspected_sentinels", F.array().cast("array<string>")))
     pct = F.round(F.col("unique_count") * 100.0 / F.lit(rows), 2) if rows else F.lit(0.0)
-    out = out.withColumn("unique_pct", pct).withColumn("is_potential_pk", (F.col("missing_count") == 0) & (F.col("unique_count") == rows) & F.lit(rows > 0))
-    copies = duplicate_rows(df).first()[0]
+    out = out.withColumn("unique_pct", pct).withColumn("is_potential_pk", (F.col("missing_count") == 0) & ((F.col("unique_count") == rows) if exact else (F.col("unique_count") >= rows * (1 - 3 * SKETCH_ERROR))) & F.lit(rows > 0))
+    copies = duplicate_rows(df, exact).first()[0]
     score = quality_score(out, copies, rows).first()[0]
     return out, {"row_count": rows, "column_count": len(df.columns), "duplicate_rows": copies, "is_sampled": sampled, "quality_score": score}
 

@@ -444,6 +444,39 @@ def a8_json_structure(spark, sf_dir):
     return profile.json_structure(table(spark, sf_dir, "events"), "props")
 
 
+@query("""
+SELECT '' AS path, 0 AS depth, 'object' AS types, count(*) AS n FROM orders
+UNION ALL SELECT 'id', 1, 'int', count(*) FROM orders
+UNION ALL SELECT 'price', 1, CASE WHEN count(*) FILTER (o_orderkey % 2 = 0) = 0 THEN 'float' ELSE 'float,string' END, count(*) FROM orders
+UNION ALL SELECT 'customer', 1, 'object', count(*) FROM orders
+UNION ALL SELECT 'customer.key', 2, 'int', count(*) FROM orders
+UNION ALL SELECT 'customer.tags', 2, 'array', count(*) FROM orders
+UNION ALL SELECT 'customer.tags[]', 3, 'bool,string', 2 * count(*) FROM orders
+UNION ALL SELECT 'lines', 1, 'array', count(*) FROM orders WHERE o_orderkey % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'lines[]', 2, 'object', count(*) FROM orders WHERE o_orderkey % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'lines[].status', 3, 'string', count(*) FROM orders WHERE o_orderkey % 3 = 0 HAVING count(*) > 0
+""")
+def a8_nested_json(spark, sf_dir):
+    """The structure of nested JSON texts made of orders."""
+    price = F.expr("CASE WHEN o_orderkey % 2 = 0 THEN concat('\"', o_totalprice, '\"') ELSE concat(cast(floor(o_totalprice) AS long), '.25') END")
+    lines = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat(', \"lines\": [{\"status\": \"', o_orderstatus, '\"}]') ELSE '' END")
+    doc = F.concat(F.lit('{"id": '), "o_orderkey", F.lit(', "price": '), price, F.lit(', "customer": {"key": '), "o_custkey", F.lit(', "tags": ["new", true]}'), lines, F.lit("}"))
+    found = profile.json_paths(table(spark, sf_dir, "orders").select(doc.alias("doc")), "doc")
+    return found.select("path", "depth", F.array_join("types", ",").alias("types"), "n")
+
+
+@query("SELECT '' AS path, 0 AS depth, 'object' AS types, count(*) AS n FROM events WHERE props IS NOT NULL UNION ALL SELECT k, 1, 'int', count(*) FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
+def s6_json_paths(spark, sf_dir):
+    return profile.json_paths(table(spark, sf_dir, "events"), "props").select("path", "depth", F.array_join("types", ",").alias("types"), "n")
+
+
+@query()
+def a3_sketched_counts(spark, sf_dir):
+    """Distinct values of all columns by sketches, merged from one set per return flag."""
+    kept = profile.distinct_sketches(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_quantity"], by=["l_returnflag"])
+    return profile.sketched_counts(kept)
+
+
 @query("SELECT 'embedding' AS column_name, 'nested_array' AS structural_type, 1 AS nested_depth, count(*) AS n FROM embeddings UNION ALL SELECT 'label', 'flat', 0, count(*) FROM embeddings UNION ALL SELECT 'vec_id', 'flat', 0, count(*) FROM embeddings")
 def a8_structure(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
