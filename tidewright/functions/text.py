@@ -40,6 +40,16 @@ _NAMED = (
     (rf"{_DAY_NAME}({_MONTH})\.?[\s-]+{_ORDINAL},?[\s-]+(\d{{4}}){_END}", "$3-$1-$2"),
     (rf"{_DAY_NAME}{_ORDINAL}[\s-]+({_MONTH})\.?,?[\s-]+(\d{{4}}){_END}", "$3-$2-$1"),
 )
+#: Rarer forms, and what makes common ones of them: a zone by name or by hours, fourteen digits, two digits of a year after a month's name, and months without a day.
+_RARE = (
+    (r"(?i)(?<=:\d\d|\.\d{1,9})\s*(?:gmt|utc)$", "Z"),
+    (r"(?<=:\d\d|\.\d{1,9})\s*([+-]\d\d)$", "$1:00"),
+    (r"^(\d{4})(\d\d)(\d\d)T?(\d\d)(\d\d)(\d\d)(?!\d)", "$1-$2-$3 $4:$5:$6"),
+    (rf"(?i)^(\d{{1,2}}[\s-]+(?:{_MONTH})\.?,?[\s-]+)({CENTURY // 10}[{CENTURY % 10}-9]|[{CENTURY // 10 + 1}-9]\d)$", "$119$2"),
+    (rf"(?i)^(\d{{1,2}}[\s-]+(?:{_MONTH})\.?,?[\s-]+)(\d\d)$", "$120$2"),
+    (rf"(?i)^({_MONTH})\.?,?[\s-]+(\d{{4}})$", "$1 1, $2"),
+    (r"^(\d{4})[-/.](\d{1,2})$", "$1-$2-1"),
+)
 _ZONE = r"(?<=:\d\d|\.\d{1,9})\s*(?:Z|([+-]\d\d):?(\d\d))$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -149,10 +159,11 @@ def parse_datetime(c: Column) -> Column:
     first number can only be a day; eight digits; a month's name before or after
     the day. Two digits of a year are from 1969 to 2068. The time may have
     fractions (of which six digits count), AM or PM, and a zone, which is
-    taken to UTC. The parts are put into one order by patterns, each of which is
+    taken to UTC. A month without a day is its first. The parts are put into one order by patterns, each of which is
     evaluated once, and parsed once; a date that doesn't exist is null.
     """
     trimmed = trim_whitespace(c)
+    trimmed = F.when(trimmed.rlike("|".join(f"(?:{x})" for x, _ in _RARE)), _ordered(trimmed, _RARE)).otherwise(trimmed)
     named = _ordered(trimmed, _NAMED)
     month = F.floor((F.instr(F.lit(MONTHS), F.lower(F.substring(named, 6, 3))) + 2) / 3).cast("string")
     named = F.concat(F.substring(named, 1, 5), month, F.regexp_replace(named, r"^\d{4}-[A-Za-z]+", ""))

@@ -556,6 +556,19 @@ def g3_auto_clean(spark, sf_dir):
     return out.select("order_id", F.coalesce("unit_price", F.lit(-1.0)).alias("unit_price"), F.coalesce(F.date_format("order_date", "yyyy-MM-dd"), F.lit("")).alias("order_date"), F.coalesce(F.round("discount", 4), F.lit(-1.0)).alias("discount"))
 
 
+@query(r"""
+SELECT order_id, coalesce(CASE WHEN flag_txt IN (upper(flag_txt), lower(flag_txt)) AND length(flag_txt) > 3 THEN upper(substr(flag_txt, 1, 1)) || lower(substr(flag_txt, 2)) ELSE flag_txt END, '') AS is_gift,
+  coalesce(CASE WHEN order_id % 4 IN (0, 1, 2) THEN email_txt END, '') AS e_mail,
+  coalesce(CASE WHEN length(g) = 12 AND starts_with(g, '91') THEN substr(g, 3) WHEN length(g) = 10 THEN g END, '') AS phone,
+  substr(priority, 1, 2) || upper(substr(priority, 3, 1)) || replace(lower(substr(priority, 4)), ' spec', ' Spec') AS priority
+FROM (SELECT *, regexp_replace(phone_txt, '[^0-9]', '', 'g') AS g FROM {DIRTY} d)
+""")
+def g3_auto_clean_rest(spark, sf_dir):
+    """The other columns of the cleaned table."""
+    out = semantics.auto_clean(dirty_text(spark, sf_dir), row="_n").df
+    return out.select("order_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("is_gift", "e_mail", "phone", "priority")])
+
+
 @query("""
 SELECT count(*) + count(*) FILTER (o_orderkey % 20 = 0) + count(*) FILTER (o_orderkey % 50 = 0) + count(*) FILTER (o_orderkey % 100 = 1) AS source_rows, count(*) AS loaded_rows,
   count(*) FILTER (o_orderkey % 20 = 0) AS exact_duplicates_removed, count(*) FILTER (o_orderkey % 50 = 0) + count(*) FILTER (o_orderkey % 100 = 1) AS quarantined_rows FROM orders
@@ -622,6 +635,21 @@ def c13_datetime_forms(spark, sf_dir):
     return src.select("order_id", F.date_format(text.parse_datetime(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSS").alias("v"))
 
 
+_RARE_FORMS = _FORMS.split("CASE o_orderkey")[0] + """CASE o_orderkey % 7 WHEN 0 THEN 'Thu, ' || lpad(d, 2, '0') || ' ' || n || ' ' || y || ' 03:04:05 GMT' WHEN 1 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') || 'T030405'
+  WHEN 2 THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') || 'T03:04:05 -08' WHEN 3 THEN d || '-' || n || '-' || substr(y, 3, 2) WHEN 4 THEN n || ' ' || y WHEN 5 THEN y || '-' || lpad(m, 2, '0') ELSE 'x ' || y END AS v, y, m, d
+FROM""" + _FORMS.split("\nFROM", 1)[1]
+
+
+@query(f"""
+SELECT order_id, strftime(CASE order_id % 7 WHEN 6 THEN NULL WHEN 4 THEN make_date(y::INT, m::INT, 1)::TIMESTAMP WHEN 5 THEN make_date(y::INT, m::INT, 1)::TIMESTAMP ELSE make_date(y::INT, m::INT, d::INT)::TIMESTAMP + (CASE order_id % 7
+  WHEN 2 THEN INTERVAL '11 hours 4 minutes 5 seconds' WHEN 3 THEN INTERVAL '0 seconds' ELSE INTERVAL '3 hours 4 minutes 5 seconds' END) END, '%Y-%m-%d %H:%M:%S') AS v
+FROM ({_RARE_FORMS.format(t="orders")}) AS forms
+""")
+def c13_rare_forms(spark, sf_dir):
+    src = dirty(spark, sf_dir, _RARE_FORMS)
+    return src.select("order_id", F.date_format(text.parse_datetime(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("v"))
+
+
 @query("SELECT bool_or(o_orderdate <> date_trunc('day', o_orderdate)) AS orders_have_time, (SELECT bool_or(ts <> date_trunc('day', ts)) FROM events) AS events_have_time FROM orders")
 def c15_date_or_datetime(spark, sf_dir):
     one = table(spark, sf_dir, "orders").agg(F.bool_or(text.has_time(F.col("o_orderdate"))).alias("orders_have_time"))
@@ -803,7 +831,7 @@ def s4_file_database(spark, sf_dir):
     folder = rows.folder(spark, "databases")
     src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     filedb.write(src, folder, "orders")
-    return filedb.read(spark, folder, "orders").where("o_totalprice > 1000")
+    return filedb.read(spark, folder, "orders", where="o_totalprice > 1000")
 
 
 @query("SELECT unnest(['rows in source', 'rows in target', 'key is unique', 'sum of total_price', 'nulls in order_id', 'nulls in total_price', 'nulls in status_id', 'nulls in cust', 'source = loaded + duplicates + quarantined', 'orphans in status_id', 'checksum', 'rejects total_price = -1', 'rejects status_id = 999999']) AS check_name, true AS passed")

@@ -1,9 +1,9 @@
 """SQLite and DuckDB files as a Spark data source, in parallel.
 
 A folder holds one database file per partition of what was written, or any
-number of files of one's own; each is read in ranges of row ids, and filters that
-SQL can express run inside the databases. All files are on a path that every
-executor sees.
+number of files of one's own; each is read in ranges of row ids. Conditions and
+columns are left to the databases. All files are on a path that every executor
+sees.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "tidewright_filedb"
 #: Rows of a range, and of a batch.
 RANGE, BATCH = 500_000, 10_000
 _KINDS = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.ByteType: "INTEGER", T.DoubleType: "DOUBLE", T.FloatType: "DOUBLE", T.BooleanType: "BOOLEAN", T.StringType: "VARCHAR", T.BinaryType: "BLOB"}
-_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def _local(path: str) -> str:
@@ -62,7 +61,7 @@ class _Range(InputPartition):
 
 
 class FileDatabase(DataSource):
-    """Options: ``path`` (a file or a folder), ``table``, ``engine`` (sqlite or duckdb)."""
+    """Options: ``path`` (a file or a folder), ``table``, ``engine`` (sqlite or duckdb), ``rows`` of a range, ``where``, and ``columns`` (one a line)."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,7 +80,9 @@ class FileDatabase(DataSource):
             rows = con.execute(f"PRAGMA table_info({_quoted(table)})").fetchall()
         finally:
             con.close()
-        return ", ".join(f"`{r[1].replace('`', '``')}` {_kind(r[2])}" for r in rows)
+        kinds = {r[1]: _kind(r[2]) for r in rows}
+        names = wanted.split("\n") if (wanted := self.options.get("columns")) else list(kinds)
+        return ", ".join(f"`{c.replace('`', '``')}` {kinds[c]}" for c in names)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.files(), self.options, schema)
@@ -91,21 +92,7 @@ class _Reader(DataSourceReader):
     def __init__(self, files: list[str], options, schema: T.StructType):
         self.files, self.table, self.engine, self.schema = files, options["table"], options.get("engine", "sqlite"), schema
         self.range = int(options.get("rows", RANGE))
-        self.where: list[str] = []
-        self.values: list = []
-
-    def pushFilters(self, filters):
-        """Comparisons with a constant run in the database; what they are to be exact for is checked by type."""
-        kinds = {f.name: f.dataType for f in self.schema.fields}
-        for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name in kinds and isinstance(f, (IsNull, IsNotNull)):
-                self.where.append(f"{_quoted(name)} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL")
-            elif name in kinds and type(f) in _SIGNS and isinstance(f.value, (int, float, str, bool)) and not (isinstance(f.value, float) and f.value != f.value):
-                self.where.append(f"{_quoted(name)} {_SIGNS[type(f)]} ?")
-                self.values.append(f.value)
-            else:
-                yield f
+        self.where = options.get("where")
 
     def partitions(self) -> list[InputPartition]:
         """Ranges of row ids, which are dense in files written once."""
@@ -125,10 +112,10 @@ class _Reader(DataSourceReader):
 
         kinds = to_arrow_schema(self.schema)
         columns = ", ".join(_quoted(f.name) for f in self.schema.fields)
-        where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
+        where = "rowid BETWEEN ? AND ?" + (f" AND ({self.where})" if self.where else "")
         con = _open(part.path, self.engine)
         try:
-            cursor = con.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE {where}", [part.first, part.last, *self.values])
+            cursor = con.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE {where}", [part.first, part.last])
             while rows := cursor.fetchmany(BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array([_value(v, f.type) for v in c], f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
         finally:
@@ -147,14 +134,19 @@ def _value(v, kind: pa.DataType):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to the session, and let it take filters, which Spark allows Python sources by that setting only."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileDatabase)
 
 
-def read(spark: SparkSession, path: str, table: str, engine: str = "sqlite", **options) -> DataFrame:
+def read(spark: SparkSession, path: str, table: str, engine: str = "sqlite", columns: list[str] | None = None, where: str | None = None, rows: int = RANGE) -> DataFrame:
+    """A table of a database file, or of all files in a folder.
+
+    ``columns`` and the SQL condition ``where`` are run by the databases, range by
+    range of ``rows`` row ids. They are parameters, as Spark 4.1 lets the filters that
+    it pushes into a Python source act on later queries of the same DataFrame too.
+    """
     register(spark)
-    return spark.read.format(FORMAT).options(path=path, table=table, engine=engine, **options).load()
+    options = {"path": path, "table": table, "engine": engine, "rows": rows} | ({"where": where} if where else {}) | ({"columns": "\n".join(columns)} if columns else {})
+    return spark.read.format(FORMAT).options(**options).load()
 
 
 def write(df: DataFrame, folder: str, table: str, engine: str = "sqlite") -> int:
