@@ -103,7 +103,10 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     if any(w < 0 for w in weights.values()) or not sum(weights.get(d, 0) for d in domains):
         raise ValueError("weights are not negative, and one of the known domains has more than zero")
     p = fresh(df, *[f"__p{i}" for i in range(len(domains))])
-    rows = Scratch(df.sparkSession, "mixing").save(with_posteriors(df, model, text, "tokens", p), "posteriors")
+    whole_rows = with_posteriors(df, model, text, "tokens", p)
+    # the rounds read numbers alone; texts are not written again
+    scratch = Scratch(df.sparkSession, "mixing")
+    rows = scratch.save(whole_rows.select("tokens", *p), "posteriors")
 
     def expected(rate: Column) -> list[float]:
         got = rows.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * F.col(c)), F.lit(0.0)).alias(f"{c}_sum") for c in p]).first()
@@ -134,7 +137,8 @@ def mix(df: DataFrame, model, weights: dict[str, float], text: str = "text", key
     best = F.greatest(*p) if len(p) > 1 else F.col(p[0])
     domain = F.coalesce(*[F.when(F.col(c) == best, F.lit(d)) for c, d in zip(p, domains, strict=True)])
     dice = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = rows.withColumns({"domain": domain, "posterior": best, "rate": rate()})
+    scratch.drop()
+    out = whole_rows.withColumns({"domain": domain, "posterior": best, "rate": rate()})
     return out.withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).drop(*p)
 
 
