@@ -1,6 +1,9 @@
+from collections import Counter
+
 import corpus_pipeline
-from tidewright.llm import decontaminate, minhash, toxicity
+from tidewright.llm import decontaminate, minhash, mixing, toxicity
 from tidewright.llm.common import Scratch, table
+from tidewright.llm.queries import WEIGHTS, domain_model
 
 from .test_near_duplicates import linked, plain_sets
 from .test_sharding import plain_jump
@@ -8,8 +11,9 @@ from .test_sharding import plain_jump
 
 def test_each_stage_against_a_plain_version(spark, sf_dir):
     docs, scratch, kept = table(spark, sf_dir, "documents"), Scratch(spark, "t"), []
-    columns = docs.columns
+    columns, before_mix = docs.columns, None
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before_mix = docs
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         assert docs.columns == columns
         kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
@@ -31,8 +35,12 @@ def test_each_stage_against_a_plain_version(spark, sf_dir):
     assert len(kept[1]) - len(kept[2]) == len(exact)
 
     assert kept[3] == kept[2]
+    # every document as often as its rate says, which is the same for a plain count of the rows
+    model = domain_model(before_mix, table(spark, sf_dir, "labels"))
+    copies = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix(before_mix, model, WEIGHTS, least=1.0).collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter(copies) and max(copies.values()) > 1 == min(copies.values())
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert len(out) == docs.count() and {r["doc_id"] for r in out} == set(kept[3])
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect()) and {r["doc_id"] for r in out} == set(kept[3])
     assert all(r["shard"] == plain_jump(r["doc_id"], 8) for r in out)
 
 

@@ -119,8 +119,10 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(items)], "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
-    got = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.with_matches(df, bench).collect()}
-    assert all(i in got[i] for i in range(6))
+    found = lambda: {r["doc_id"]: [(m["item_id"], m["edits"]) for m in r["matches"]] for r in decontaminate.with_matches(df, bench).collect()}
+    blocks = found()
+    monkeypatch.undo()
+    assert blocks == found() and all(i in dict(blocks[i]) for i in range(6))
 
 
 def test_repetitive_texts_take_time_in_proportion():
@@ -233,12 +235,73 @@ def test_rare_words_have_emissions_of_their_own(spark):
     assert len(got) == 10 and gain > 0.25, gain
 
 
-def test_probabilities_of_all_next_words_sum_to_one():
-    """Head words, and the words of each class with one place for unseen ones."""
-    symbols = hmm.Symbols(np.array([5, 9]), np.array([3.0, 2.0]), np.full(hmm.CLASSES, hmm.ADD))
-    symbols.mass[0] += 1.1 + 4.1
-    share = (1.1 + 4.1 + hmm.ADD) / symbols.mass[0]
-    assert np.isclose(share, 1)
+def plain_model(texts, states, rounds):
+    """Baum-Welch over raw words: (emission of a word's code, start, move), one text after the other."""
+    from collections import Counter
+
+    counts = Counter(c for t in texts for c in t)
+    known = np.array(sorted(counts))
+    at = {c: i for i, c in enumerate(known.tolist())}
+    weight = np.array([counts[c] + hmm.ADD for c in known.tolist()])
+    mass = sum(counts.values()) + hmm.ADD * (len(counts) + hmm.CLASSES)
+    emit = weight[:, None] * np.exp(0.7 * hmm._noise(known, states))
+    sums = emit.sum(0) + hmm.ADD * hmm.CLASSES
+    first = True
+    start, move = np.full(states, 1 / states), np.full((states, states), 0.05 / (states - 1))
+    np.fill_diagonal(move, 0.95)
+    for _ in range(rounds):
+        p, total, moves, starts = emit / sums, np.zeros(emit.shape), np.zeros(move.shape), np.zeros(states)
+        for t in texts:
+            o = p[[at[c] for c in t]]
+            alpha, beta = np.zeros(o.shape), np.ones(o.shape)
+            for i in range(len(t)):
+                alpha[i] = (start if i == 0 else alpha[i - 1] @ move) * o[i]
+                alpha[i] /= alpha[i].sum()
+            for i in range(len(t) - 2, -1, -1):
+                beta[i] = move @ (o[i + 1] * beta[i + 1])
+                beta[i] /= beta[i].sum()
+                both = alpha[i][:, None] * move * (o[i + 1] * beta[i + 1])[None]
+                moves += both / both.sum()
+            gamma = alpha * beta
+            gamma /= gamma.sum(1, keepdims=True)
+            np.add.at(total, [at[c] for c in t], gamma)
+            starts += gamma[0]
+        emit, first = total + hmm.SHARED / mass * weight[:, None], False
+        sums = emit.sum(0) + hmm.SHARED / mass * hmm.ADD * hmm.CLASSES
+        start, move = (starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True)
+    unseen = hmm.ADD * (1 if first else hmm.SHARED / mass)
+    return lambda c: emit[at[c]] / sums if c in at else np.full(states, unseen) / sums, start, move
+
+
+def plain_score(model, text):
+    emission, start, move = model
+    total, a = 0.0, None
+    for c in text:
+        a = (start if a is None else a @ move) * emission(c)
+        total += np.log10(a.sum())
+        a = a / a.sum()
+    return total
+
+
+def test_scores_are_those_of_a_plain_training(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(words[:15] if i % 2 else words[10:]) for _ in range(rng.randrange(0, 40))), i % 5 != 0) for i in range(40)]
+    rows += [(100, "never seen these", False), (101, None, True), (102, "w1 " * 300, True)]
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), states=3, rounds=3, train_on=F.col("train")).collect()}
+    codes = hmm.WordCode()
+    texts = {i: codes.of(t).tolist() for i, t, _ in rows}
+    model = plain_model([texts[i] for i, _, y in rows if y], 3, 3)
+    for i, _, _ in rows:
+        assert abs(got[i] - plain_score(model, texts[i])) <= 2e-4 * abs(got[i]), (i, got[i], plain_score(model, texts[i]))
+
+
+def test_emissions_of_each_state_sum_to_one(spark):
+    """All known words, and one place for unseen words in each class."""
+    texts = [[5, 9, 9, hmm.END], [9, 7, hmm.END]]
+    emission, start, move = plain_model(texts, 2, 2)
+    known = sum(emission(c) for c in (5, 7, 9, hmm.END))
+    assert np.allclose(known + hmm.CLASSES * emission(-1), 1) and np.allclose(move.sum(1), 1) and np.isclose(start.sum(), 1)
 
 
 def test_decoding_of_disguised_words():
@@ -317,6 +380,30 @@ def test_toxicity_learns_and_reads_through_disguise(spark):
     assert toxicity.with_score(documents.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_by_hand(spark, sf_dir):
+    """Features and the logistic value of texts of plain words, to nine places."""
+    import math
+    from collections import Counter
+
+    from tidewright.llm.common import table
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    rng = random.Random(8)
+    plain = sorted(w for w in model.weights if w.isalpha() and w.isascii()) + ["riverside", "an", "unheard", "meadowlarks"]
+    starts = sorted(f[:-1] for f in model.weights if f.endswith("*"))
+    tails = ["arm", "bell", "down", "s"]
+    pool = [w for w in plain + [p + t for p in starts for t in tails] if not re.search(r"(.)\1\1", w)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    assert model.weights and starts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.with_score(df, model).collect():
+        words = r["text"].lower().split()
+        found = Counter(words) + Counter(f"{w[:5]}*" for w in words if len(w) > 5) + Counter(f"{w[:7]}*" for w in words if len(w) > 7)
+        z = model.bias + sum(model.weights[f] * math.log1p(100 * n / len(words)) for f, n in found.items() if f in model.weights)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(9)
     vocabulary = {"x": [f"x{i}" for i in range(50)], "y": [f"y{i}" for i in range(50)]}
