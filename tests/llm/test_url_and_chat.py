@@ -26,6 +26,17 @@ def test_rules_and_terms(spark):
     assert url_filter.judge(long).first()["verdict"] == "block"
 
 
+def test_a_vocabulary_of_ones_own(spark):
+    rows = [(f"Term{i}", "soft", 0.5) for i in range(400)] + [("bad", "strict", None), ("bad", "soft", 9.0), ("plain", "soft", None), ("term1", "soft", 0.9), (None, "soft", 1.0), ("", "strict", 1.0), ("odd", "other", 1.0)]
+    strict, soft = url_filter.vocabulary(spark.createDataFrame(rows, "term string, kind string, weight double"))
+    assert strict == ("bad",) and len(soft) == 401 and soft["plain"] == 1.0 and soft["term1"] == 0.9
+    urls = {"http://x.org/term1/term2/term3": (3, 1.9, "allow"), "http://x.org/term1/plain/term2": (3, 2.4, "block"), "http://x.org/plain-plain": (1, 1.0, "allow"), "http://x.org/BAD": (0, 0.0, "block"), "http://x.org/term399/term1000": (1, 0.5, "allow")}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = [(r["soft_hits"], round(r["soft_weight"], 9), r["verdict"]) for r in url_filter.judge(df, strict=strict, soft=soft).orderBy("page_id").collect()]
+    assert got == list(urls.values())
+    assert max(url_filter.SOFT.values()) < url_filter.SOFT_LIMIT
+
+
 def test_hits_match_a_plain_search():
     rng = random.Random(5)
     a = url_filter.automaton(("ab", "xxx"), ("b", "abc"))

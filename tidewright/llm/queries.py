@@ -135,9 +135,9 @@ FROM h JOIN e8 USING (k) JOIN n9 USING (k)
 """
 
 
-def _terms_sql(terms, bound: str = r"[a-z0-9]") -> str:
+def _terms_sql(terms, times: dict | None = None) -> str:
     low = f"translate(url, '{url_filter.UPPER}', '{url_filter.LOWER}')"
-    return " + ".join(f"coalesce(regexp_matches({low}, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT, 0)" for t in terms)
+    return " + ".join(f"coalesce(regexp_matches({low}, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT, 0)" + (f" * {times[t]}::DOUBLE" if times else "") for t in terms)
 
 
 def _rules_sql(out: str) -> str:
@@ -148,9 +148,9 @@ def _rules_sql(out: str) -> str:
 _OP5 = f"""
 WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
-  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_terms_sql(url_filter.STRICT)} AS strict_hits, {_terms_sql(url_filter.SOFT)} AS soft_hits FROM u)
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_terms_sql(url_filter.STRICT)} AS strict_hits, {_terms_sql(url_filter.SOFT)} AS soft_hits, ({_terms_sql(url_filter.SOFT, url_filter.SOFT)})::DOUBLE AS soft_weight FROM u)
 SELECT page_id, host, path, {_rules_sql("rule")} AS rule,
-  coalesce({_rules_sql("verdict")}, CASE WHEN strict_hits >= 1 OR soft_hits >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+  coalesce({_rules_sql("verdict")}, CASE WHEN strict_hits >= 1 OR soft_weight >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, soft_weight
 FROM p
 """
 
