@@ -36,6 +36,8 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        #: Entries of the catalog that go with the files.
+        self.tables: list[str] = []
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +55,9 @@ class Scratch:
     def drop(self) -> None:
         """Delete all of it. Called at exit; a caller may call it once results are written."""
         try:
+            for t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.tables.clear()
             self._delete(self.root)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass

@@ -337,6 +337,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", states: int =
     name = f"hmm_{uuid.uuid4().hex}"
     chunks = encode(df, key, text, train_on).withColumn("chunk", F.monotonically_increasing_id())
     chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{scratch.root}/chunks").format("parquet").saveAsTable(name)
+    scratch.tables.append(name)
     chunks = spark.table(name)
     model, sums, counts, served, total, kinds = train(chunks, states, rounds, scratch)
     first = served is counts
