@@ -32,3 +32,8 @@ def cast_type(c: Column, kind: T.DataType, target: str) -> Column:
             return F.when(c.isin("False", "false", "0"), False).when(c.isNotNull(), True)
         return c.cast("double") != 0
     raise ValueError(f"unknown target type {target!r}")
+
+
+def cast_revenue(c: Column) -> Column:
+    """The oldest cleaner's revenue: a number, or null."""
+    return c.try_cast("double")

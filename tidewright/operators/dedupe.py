@@ -151,3 +151,9 @@ def identify_foreign_keys(df: DataFrame, others: dict[str, tuple[DataFrame, str]
 def latest_first(df: DataFrame, order_by: str, k: int) -> DataFrame:
     """The k greatest by a column: a top-k, never a full sort."""
     return df.orderBy(quoted(order_by).desc()).limit(k)
+
+
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of some columns, in order: copies go before the sort, which is by ranges."""
+    values = df.select(*map(quoted, columns)).distinct()
+    return values.orderBy(*map(quoted, columns))

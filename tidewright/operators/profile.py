@@ -113,6 +113,14 @@ def unique_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     return got.withColumn("duplicate_count", F.col("non_null_count") - F.col("unique_count"))
 
 
+def count_distinct(df: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
+    """One row (n_distinct): the distinct keys without nulls. ``exact=False`` takes a sketch of their hashes."""
+    whole = df.select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).dropna()
+    if exact:
+        return whole.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+    return whole.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*whole.columns), F.lit(SKETCH_BITS))).alias("n_distinct"))
+
+
 #: Sketches have 2 to this power registers; estimates are off by ``SKETCH_ERROR`` times the count as a rule, and by three times that hardly ever.
 SKETCH_BITS = 14
 SKETCH_ERROR = 0.83 / 2 ** (SKETCH_BITS / 2)

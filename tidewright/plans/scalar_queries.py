@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import casts, rules, text
 from . import dirty
 
-_MONEY = r"^\s*(?:usd|inr|rs\.?|eur|gbp|[$€£₹])?\s*(-?[\d,]*\.?\d+)\s*(k)?\s*(?:usd|inr|eur|gbp)?\s*$"
+_MONEY = text.MONEY.removeprefix("(?i)")  # the SQL lowers the text instead
 _NUMBER_SQL = (
     "CASE WHEN regexp_matches({c}, '" + text.RATIO + "') THEN CASE WHEN regexp_extract({c}, '" + text.RATIO + "', 2)::DOUBLE = 5 THEN regexp_extract({c}, '" + text.RATIO + "', 1)::DOUBLE "
     "ELSE regexp_extract({c}, '" + text.RATIO + "', 1)::DOUBLE / nullif(regexp_extract({c}, '" + text.RATIO + "', 2)::DOUBLE, 0) * 5 END "
@@ -77,7 +77,7 @@ SCALARS: dict[str, tuple[str, object, str]] = {
     "t4_cast_string": ("amount", lambda c: casts.cast_type(c, _LONG, "string"), "amount::VARCHAR"),
     "t5_cast_bool": ("flag_txt", lambda c: casts.cast_type(c, _STRING, "bool").cast("string"), "CASE WHEN flag_txt IN ('False', 'false', '0') THEN 'false' WHEN flag_txt IS NOT NULL THEN 'true' END"),
     "t6_cast_category": ("status_gap", lambda c: casts.cast_type(c, _STRING, "category"), "status_gap"),
-    "t9_cast_revenue": ("half_txt", lambda c: c.try_cast("double"), "TRY_CAST(half_txt AS DOUBLE)"),
+    "t9_cast_revenue": ("half_txt", casts.cast_revenue, "TRY_CAST(half_txt AS DOUBLE)"),
 }
 
 

@@ -526,7 +526,7 @@ def a15_null_cells(spark, sf_dir):
 
 @query("SELECT count(DISTINCT o_custkey) AS n_keys FROM orders")
 def a16_count_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey").alias("n_keys"))
+    return profile.count_distinct(table(spark, sf_dir, "orders"), ["o_custkey"]).withColumnRenamed("n_distinct", "n_keys")
 
 
 # --- automatic cleaning ---
@@ -595,6 +595,27 @@ def g6_cleaning_log(spark, sf_dir):
     return log.where("column_name = 'unit_price' and action = 'value_to_null'").select("column_name", "action", "rows_affected")
 
 
+@query(r"""
+WITH s AS (SELECT *, {NUMBER} AS p, TRY_STRPTIME(date_txt, ['%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d']) AS t, regexp_replace(phone_txt, '[^0-9]', '', 'g') AS g, trim(regexp_replace(prio_txt, '\s+', ' ', 'g')) AS q,
+  substr(priority, 1, 2) || upper(substr(priority, 3, 1)) || replace(lower(substr(priority, 4)), ' spec', ' Spec') AS named FROM {DIRTY} d),
+d AS (SELECT * FROM s, (VALUES ('kept'), ('copy'), ('clash'), ('keyless')) k(kind) WHERE kind = 'kept' OR (kind = 'copy' AND order_id % 20 = 0) OR (kind = 'clash' AND order_id % 50 = 0) OR (kind = 'keyless' AND order_id % 100 = 1)),
+c AS (SELECT count(*) FILTER (kind = 'keyless') AS keyless, count(*) FILTER (kind = 'copy') AS copies, count(*) FILTER (kind = 'clash') AS clashes, count(*) FILTER (kind <> 'clash' AND prio_txt <> q) AS trimmed,
+  count(*) FILTER (price_txt = 'N/A') AS no_price, count(*) FILTER (phone_txt = 'none') AS no_phone, count(*) FILTER (p >= 0) AS prices, count(*) FILTER (price_txt <> 'N/A' AND NOT coalesce(p >= 0, false)) AS bad_prices,
+  count(t) AS dates, count(*) - count(t) AS bad_dates, count(*) FILTER (phone_txt <> 'none' AND (length(g) = 10 OR (length(g) = 12 AND starts_with(g, '91')))) AS phones,
+  count(*) FILTER (phone_txt <> 'none' AND NOT (length(g) = 10 OR (length(g) = 12 AND starts_with(g, '91')))) AS bad_phones, count(*) FILTER (pct_txt <> 'x%') AS shares, count(*) FILTER (pct_txt = 'x%') AS bad_shares,
+  count(*) FILTER (kind <> 'clash' AND q <> named) AS renamed, count(*) FILTER (flag_txt IN ('TRUE', 'maybe')) AS flags FROM d),
+x AS (SELECT unnest([('order_id', 'trim_whitespace', keyless), ('priority', 'trim_whitespace', trimmed), ('order_id', 'sentinel_to_null', keyless), ('unit_price', 'sentinel_to_null', no_price), ('phone', 'sentinel_to_null', no_phone),
+  ('unit_price', 'parse_numeric', prices), ('unit_price', 'value_to_null', bad_prices), ('order_date', 'parse_date', dates), ('order_date', 'value_to_null', bad_dates), ('phone', 'normalize_phone', phones), ('phone', 'value_to_null', bad_phones),
+  ('discount', 'parse_percentage', shares), ('discount', 'value_to_null', bad_shares), ('priority', 'canonicalize_category', renamed), ('is_gift', 'canonicalize_category', flags), ('ALL_COLUMNS', 'remove_exact_duplicates', copies),
+  ('order_id', 'quarantine_missing_pk', keyless), ('order_id', 'quarantine_duplicate_pk', clashes)]) AS r FROM c)
+SELECT r[1] AS column_name, r[2] AS action, r[3] AS rows_affected FROM x
+""")
+def g6_whole_log(spark, sf_dir):
+    """All that the cleaning did to values and rows."""
+    log = semantics.auto_clean(dirty_text(spark, sf_dir), row="_n").log
+    return log.where("rows_affected > 0").select("column_name", "action", "rows_affected")
+
+
 @query("""
 WITH d AS (SELECT order_id, amount, status_gap FROM {DIRTY} d UNION ALL SELECT order_id, amount, status_gap FROM {DIRTY} d WHERE order_id % 10 = 0)
 SELECT DISTINCT order_id::DOUBLE AS order_id, coalesce(amount, (SELECT median(amount) FROM d))::DOUBLE AS amount, coalesce(status_gap, (SELECT status_gap FROM d WHERE status_gap IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS status_gap FROM d
@@ -671,7 +692,7 @@ def w5_top_k(spark, sf_dir):
 
 @query("SELECT DISTINCT c_mktsegment FROM customer")
 def w6_u2_distinct_sorted(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment")
+    return dedupe.distinct_values(table(spark, sf_dir, "customer"), ["c_mktsegment"])
 
 
 @query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS avg_value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
