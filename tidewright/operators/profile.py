@@ -99,14 +99,15 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.*").where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unique_counts(df: DataFrame, exact: bool = True) -> DataFrame:
+def unique_counts(df: DataFrame, exact: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """(column_name, unique_count, non_null_count, duplicate_count) over the values that aren't null.
 
+    ``counts`` are the table's :func:`value_counts` where they are there already.
     ``exact=False`` takes sketches (see :func:`distinct_sketches`), for which no cell is shuffled.
     """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
     if exact:
-        got = value_counts(df, flat).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null_count"))
+        got = (value_counts(df, flat) if counts is None else counts).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null_count"))
     else:
         found = sketched_counts(distinct_sketches(df, flat))
         got = found.where("n > 0").select("column_name", F.least("unique_count", "n").alias("unique_count"), F.col("n").alias("non_null_count"))
@@ -171,10 +172,10 @@ def detect_sentinels(df: DataFrame) -> DataFrame:
     return found.groupBy("column_name", F.when(trimmed == "", "").otherwise(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_values(df: DataFrame, k: int = 5, exact: bool = True) -> DataFrame:
+def sample_values(df: DataFrame, k: int = 5, exact: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """(column_name, values): the k smallest distinct values as text.
 
-    From counted values by default. ``exact=False`` gives the same by k minima, each above the one
+    From counted values by default (``counts``, where they are there already). ``exact=False`` gives the same by k minima, each above the one
     before, which shuffle nothing but read the table k times.
     """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
@@ -189,7 +190,7 @@ def sample_values(df: DataFrame, k: int = 5, exact: bool = True) -> DataFrame:
     from pyspark.sql import Window
 
     top = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-    ranked = value_counts(df, flat).select("column_name", "value")
+    ranked = (value_counts(df, flat) if counts is None else counts).select("column_name", "value")
     return ranked.withColumn("r", top).where(F.col("r") <= k).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
@@ -288,7 +289,9 @@ def profile(df: DataFrame, sample_limit: int | None = None, exact: bool = True)
         sampled = df.limit(sample_limit + 1).count() > sample_limit
         df = df.limit(sample_limit) if sampled else df
     rows = df.count()
-    base = missing_counts(df).join(unique_counts(df, exact), "column_name", "left").na.fill(0, ["unique_count", "non_null_count", "duplicate_count"])
+    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+    counts = written(value_counts(df, flat), "values") if exact and flat else None
+    base = missing_counts(df).join(unique_counts(df, exact, counts), "column_name", "left").na.fill(0, ["unique_count", "non_null_count", "duplicate_count"])
     kinds = df.sparkSession.createDataFrame(list(df.dtypes), "column_name string, dtype string")
     out = kinds.join(base, "column_name").join(structure(df), "column_name")
     if names := numeric(df):
@@ -296,7 +299,7 @@ def profile(df: DataFrame, sample_limit: int | None = None, exact: bool = True)
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("min", "max", "mean", "median", "std", "q1", "q3", "iqr", "lower", "upper", "outlier_pct")}).withColumn("outlier_count", F.lit(None).cast("long"))
     found = detect_sentinels(df).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("suspected_sentinels"))
-    out = out.join(found, "column_name", "left").join(sample_values(df, exact=exact).withColumnRenamed("values", "sample_values"), "column_name", "left")
+    out = out.join(found, "column_name", "left").join(sample_values(df, exact=exact, counts=counts).withColumnRenamed("values", "sample_values"), "column_name", "left")
     out = written(out, "profile")  # the score is made from it too
     out = out.withColumn("suspected_sentinels", F.coalesce("suspected_sentinels", F.array().cast("array<string>")))
     pct = F.round(F.col("unique_count") * 100.0 / F.lit(rows), 2) if rows else F.lit(0.0)

@@ -65,7 +65,7 @@ def with_row(df: DataFrame, order_by: list[str], column: str = "_row") -> DataFr
     return parts.join(F.broadcast(offsets), "__part").withColumn(column, (F.col("__skip") + inside).cast("long")).drop("__part", "__skip")
 
 
-def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, partition_by: list[str] | None = None) -> DataFrame:
+def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, partition_by: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """Nulls of ``column`` filled by the last value before (or the next after) in the order of any column that can be ordered, within groups if named.
 
     Rows are cut into sampled ranges of (group, order), so that a group or a value of the order
@@ -73,12 +73,14 @@ def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, parti
     group and the value it would hand on. Those are carried along the table of
     ranges, and the rest is a window inside each range. Equal places in the order
     are told apart by a hash of the row; null ones come first, and null groups are one group.
+    ``blocks`` is the number of ranges, by default that of shuffle partitions.
     """
     groups = [quoted(c) for c in partition_by or []]
     group = F.struct(*groups, F.lit(0).alias("__one")).alias("__group")
     plain = [quoted(c) for f, c in zip(df.schema.fields, df.columns, strict=True) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     ordered = df.select(*[quoted(c) for c in df.columns], group, F.xxhash64(*plain).alias("__tie"))
-    parts = written(ordered.repartitionByRange("__group", quoted(order_by), "__tie").withColumn("__part", F.spark_partition_id()), "carried")
+    ranges = [*([blocks] if blocks else []), "__group", quoted(order_by), "__tie"]
+    parts = written(ordered.repartitionByRange(*ranges).withColumn("__part", F.spark_partition_id()), "carried")
     value, place = quoted(column), F.struct("__group", quoted(order_by).alias("o"), "__tie")
     handed = F.when(value.isNotNull(), F.struct(F.col("__group").alias("g"), value.alias("v")))
     ends = parts.groupBy("__part").agg(
