@@ -103,6 +103,16 @@ def test_values_are_carried_along_any_order(spark, forward, grouped):
     assert carry(df.limit(0), "v", "o", forward).count() == 0 and carry(df, "v", "o", forward).columns == df.columns
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_a_carry_takes_time_in_proportion(spark, forward):
+    """A frame that ends at the partition's last row is made anew for each row, so time would grow with the square of a range."""
+    df = spark.range(500).select("id", F.when(F.col("id") % 4 != 0, F.col("id")).alias("v"))
+    out = carry(df, "v", "id", forward, blocks=1)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower().replace(" ", "")
+    want = [i if i % 4 else i + 1 if not forward else i - 1 if i else None for i in range(500)]
+    assert [r["v"] for r in out.orderBy("id").collect()] == want
+
+
 def test_inclusions_and_relationships(spark):
     a = spark.createDataFrame([(1, "x", 5.0), (2, "y", 5.0), (3, None, 5.0), (3, "x", 1.0)], "k long, s string, f double")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "w")], "id int, name string")

@@ -87,11 +87,10 @@ def carry(df: DataFrame, column: str, order_by: str, forward: bool = True, parti
         (F.min if forward else F.max)("__group").alias("near"),
         (F.max_by if forward else F.min_by)(handed, F.when(value.isNotNull(), place)).alias("edge"),
     )
-    last = F.last if forward else F.first
-    frame = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    beyond = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    before = last("edge", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(*beyond))  # a row per range
+    # backward is forward in the reverse order: a frame that ends at the last row is made anew for each row
+    along = F.asc if forward else F.desc
+    before = F.last("edge", ignorenulls=True).over(Window.orderBy(along("__part")).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
     brought = ends.withColumn("before", before).where(F.col("before.g") == F.col("near")).select("__part", F.col("near").alias("__near"), F.col("before.v").alias("__brought"))
-    inside = last(value, ignorenulls=True).over(Window.partitionBy("__part", "__group").orderBy(quoted(order_by), "__tie").rowsBetween(*frame))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__part", "__group").orderBy(along(quoted(order_by)), along("__tie")).rowsBetween(Window.unboundedPreceding, 0))
     out = parts.withColumn("__inside", inside).join(F.broadcast(brought.withColumnRenamed("__part", "__of")), (F.col("__part") == F.col("__of")) & (F.col("__group") == F.col("__near")), "left")
     return out.withColumn(column, F.coalesce("__inside", "__brought")).select(*[quoted(c) for c in df.columns])
