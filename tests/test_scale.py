@@ -144,6 +144,18 @@ def test_functional_dependencies_against_all_pairs(spark):
     assert ("lookup_table", "b", "decides even") in {tuple(r) for r in dependencies.recommendation(df).collect()}
 
 
+def test_hashes_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(dependencies, "CELLS", 500)
+    counted, plain = [], dependencies.partition_sizes
+    monkeypatch.setattr(dependencies, "partition_sizes", lambda df, sets, n: counted.extend(sets) or plain(df, sets, n))
+    df = spark.range(0, 2000, 1, 1).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 7 % 3).cast("string").alias("b"), F.lit(None).cast("int").alias("c d"))
+    assert {tuple(r) for r in dependencies.functional_dependencies(df).collect()} == {("", "c d", False), ("id", "a", True), ("id", "b", True), ("a", "b", False)}
+    assert not any("id" in s and len(s) > 1 for s in counted)  # what holds a key isn't counted
+    rows = [len(x) for x in dependencies._dealt(df, ["id", "c d"], 16).rdd.glom().collect()]
+    assert sum(rows) == 2000 and len(rows) == 16 and max(rows) < 250
+    assert plain(df, [("id",), ("a",), ("a", "b")], 2000) == {("id",): 2000, ("a",): 7, ("a", "b"): 7}
+
+
 def test_sketches_count_within_their_bounds(spark):
     df = spark.range(0, 60_000, 1, 6).select((F.col("id") % 3).alias("day"), F.col("id").alias("all"), (F.col("id") % 7000).cast("string").alias("many"), (F.col("id") % 5).alias("few"), F.lit(None).cast("int").alias("none"))
     kept = profile.distinct_sketches(df, ["all", "many", "few", "none"], by=["day"])

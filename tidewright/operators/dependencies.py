@@ -80,10 +80,27 @@ def _hash(columns: list[str]) -> list[Column]:
     return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b")]
 
 
-def partition_sizes(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Distinct values of each set of columns, nulls among them, by hashes of 128 bits in one pass with a partial step."""
+#: Hashes that one task of the partial step meets.
+CELLS = 1_000_000
+
+
+def _dealt(df: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """Columns of ``df`` in ``parts`` partitions or more, by the number of the row: equal rows are spread, and nothing is sorted for it."""
+    if parts < 2:
+        return df
+    at = F.monotonically_increasing_id().alias("__at")
+    return df.select(*map(quoted, columns), at).repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), "__at")
+
+
+def partition_sizes(df: DataFrame, sets: list[tuple[str, ...]], n: int) -> dict[tuple[str, ...], int]:
+    """Distinct values of each set of columns, nulls among them, by hashes of 128 bits in one pass with a partial step.
+
+    ``n`` is the number of rows, which are dealt over as many tasks as keep each to ``CELLS`` hashes, so that
+    the memory of a task doesn't grow with the table.
+    """
     if not sets:
         return {}
+    df = _dealt(df, sorted({c for s in sets for c in s}), -(-n * len(sets) // CELLS))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *_hash(list(s))) for i, s in enumerate(sets)])).alias("x")
     rows = df.select(cells).select("x.*").distinct().groupBy("i").count().collect()  # a row per set
     return dict.fromkeys(sets, 0) | {sets[r["i"]]: r["count"] for r in rows}
@@ -96,7 +113,7 @@ def keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], kind)
     row = df.agg(F.count(F.lit(1)), *[F.count_if(quoted(c).isNull()) for c in names]).first()
-    sizes = partition_sizes(df, [(c,) for c in names])
+    sizes = partition_sizes(df, [(c,) for c in names], row[0])
     rows = [(c, row[0], nulls, sizes[(c,)] - (nulls > 0), row[0] > 0 and not nulls and sizes[(c,)] == row[0]) for c, nulls in zip(names, row[1:], strict=True)]
     return df.sparkSession.createDataFrame(rows, kind)
 
@@ -113,7 +130,7 @@ def functional_dependencies(df: DataFrame, columns: list[str] | None = None, wid
     found: list[tuple[str, str, bool]] = []
     decided: dict[str, list[frozenset]] = {c: [] for c in names}
     if n:
-        sizes = partition_sizes(df, [(c,) for c in names])
+        sizes = partition_sizes(df, [(c,) for c in names], n)
         for c in names:
             if sizes[(c,)] == 1:
                 found.append(("", c, False))
@@ -122,7 +139,9 @@ def functional_dependencies(df: DataFrame, columns: list[str] | None = None, wid
         for k in range(1, width + 1):
             level = [(x, y) for x in combinations(names, k) if not any(s < set(x) for s in keyed) for y in names if y not in x and not any(s <= set(x) for s in decided[y])]
             need = {tuple(sorted((*x, y), key=names.index)) for x, y in level} | {x for x, _ in level}
-            sizes |= partition_sizes(df, sorted(need - sizes.keys()))
+            whole = [set(x) for x, size in sizes.items() if size == n]
+            sizes |= {x: n for x in need - sizes.keys() if any(w <= set(x) for w in whole)}  # what holds a key is one
+            sizes |= partition_sizes(df, sorted(need - sizes.keys()), n)
             for x, y in level:
                 if sizes[x] == sizes[tuple(sorted((*x, y), key=names.index))]:
                     found.append((",".join(x), y, sizes[x] == n))
