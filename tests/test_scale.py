@@ -183,7 +183,7 @@ def test_structure_of_nested_json(spark):
     assert profile.json_paths(spark.createDataFrame([], "t string"), "t").count() == 0
 
 
-@pytest.mark.parametrize("name", ["g3_accounting"])
+@pytest.mark.parametrize("name", ["g3_accounting", "g6_whole_log"])
 def test_rows_without_a_key_stay_apart_in_large_tables(spark, sf_dir, tmp_path, name):
     """Orders of a large table that are alike but for their keys: rows that lose the key are set aside, each of them."""
     import duckdb
