@@ -380,6 +380,21 @@ def test_toxicity_learns_and_reads_through_disguise(spark):
     assert toxicity.with_score(documents.limit(0), model).count() == 0
 
 
+def test_the_driver_fits_without_a_copy_of_the_features():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.random((1500, 800), np.float32)
+    y = (x[:, 0] > 0.5).astype(np.float32)
+    tracemalloc.start()
+    w, _ = toxicity.logistic(x, y, rounds=20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 4 and len(w) == 800 and w.argmax() == 0
+
+
 def test_toxicity_scores_by_hand(spark, sf_dir):
     """Features and the logistic value of texts of plain words, to nine places."""
     import math

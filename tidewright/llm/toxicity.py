@@ -240,12 +240,12 @@ class Model:
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by Nesterov's gradient method on the mean log loss with a squared penalty."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = v = np.zeros(x.shape[1], x.dtype)
-    rate = 1 / (0.25 * max(1e-9, float((x**2).sum(1).mean())) + penalty)
+    w = v = np.zeros(x.shape[1] + 1, x.dtype)  # the bias is last
+    rate = 1 / (0.25 * (1 + float(np.einsum("ij,ij->i", x, x).mean())) + penalty)
     for i in range(rounds):
         at = w + (i / (i + 3)) * (w - v)
-        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ at, -30, 30))) - y) / len(x)
+        off = 1 / (1 + np.exp(-np.clip(x @ at[:-1] + at[-1], -30, 30))) - y
+        grad = np.append(x.T @ off, off.sum()) / len(x)
         grad[:-1] += penalty * at[:-1]
         v, w = w, (at - rate * grad).astype(x.dtype)
     return w[:-1], float(w[-1])
@@ -293,13 +293,14 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             for k, t, y in zip(b["__k"], b["__t"], b["__y"], strict=True):
                 found, total = features(restorer.words(t))
                 hit = sorted((names[f], weight(n, total)) for f, n in found.items() if f in names)
-                out.append((str(k), y, [i for i, _ in hit], [v for _, v in hit]))
+                out.append((str(k), y, np.array([i for i, _ in hit], np.int32).tobytes(), np.array([v for _, v in hit], np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["k", "y", "at", "v"])
 
-    sample = sorted(rows.mapInPandas(vectors, "k string, y int, at array<int>, v array<double>").collect())
-    x, y = np.zeros((len(sample), len(names)), np.float32), np.array([r["y"] for r in sample], np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = r["v"]
+    # max_labelled rows at most, as bytes, which are a tenth of lists of numbers in the driver
+    sample = sorted(map(tuple, rows.mapInPandas(vectors, "k string, y int, at binary, v binary").collect()))
+    x, y = np.zeros((len(sample), len(names)), np.float32), np.array([r[1] for r in sample], np.float32)
+    for i, (_, _, at, v) in enumerate(sample):
+        x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
     w, bias = logistic(x, y)
     return Model(chars, {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-4}, bias, pos / (pos + neg))
 
