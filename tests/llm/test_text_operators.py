@@ -481,3 +481,18 @@ def test_rates_are_those_of_a_plain_solver_with_the_bound_active(spark):
         assert (rates >= least).all()
         assert np.allclose(p.T @ (n * rates), p.T @ (n * want), atol=5e-3 * n.sum())
     assert (plain_rates(n, p, np.array([0.97, 0.03, 0.0]) * n.sum(), 0.0) == 0).any()
+
+
+def test_numbers_of_a_round_travel_in_two_bytes():
+    """And a chunk's first emissions take no more memory than a few times their own size."""
+    import tracemalloc
+
+    x = np.concatenate([[0, 1e-30], np.random.default_rng(1).lognormal(0, 8, 100_000), [1e9]])
+    got = hmm._unpacked(hmm._packed(x))
+    assert hmm._packed(x).nbytes == 2 * len(x) and got[0] == got[1] == 0 and np.all(abs(got[2:] - x[2:]) <= x[2:] / 1024)
+    codes = np.sort(np.random.default_rng(2).integers(0, 1 << 62, 100_000))
+    tracemalloc.start()
+    noise = hmm._noise(codes, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * noise.nbytes and np.array_equal(noise[-5:], hmm._noise(codes[-5:], 8))

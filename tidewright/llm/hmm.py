@@ -9,8 +9,9 @@ Texts are kept in chunks of some ``CHUNK`` tokens with a dictionary of their own
 sorted by hash. In a round of Baum-Welch each chunk is given the emissions of its
 own words and gives back its expected counts of them, bucket by bucket of the
 hashes; Spark adds up the counts of a bucket's words over all chunks. No table of
-all words is ever in one place: the driver sees sums by state alone. Forward and
-backward messages run over whole texts.
+all words is ever in one place: the driver sees sums by state alone. Between rounds
+emissions and counts travel in 16 bits; the last emissions, which score, in 32.
+Forward and backward messages run over whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _LOW = (1 << 52) - 1
 END = (xxhash.xxh64_intdigest(b"\n") & _LOW) << 11
 #: Tokens of a chunk, and places of texts and padding that one recursion works on at a time.
 CHUNK, CELLS = 2_500_000, 600_000
+#: Rows of a chunk that are worked on at a time where that needs several numbers beside each.
+BLOCK = 1 << 14
 
 
 class WordCode(dict):
@@ -80,6 +83,8 @@ def _noise(codes: np.ndarray, states: int) -> np.ndarray:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17
 
+    if len(codes) > BLOCK:
+        return np.concatenate([_noise(codes[lo : lo + BLOCK], states) for lo in range(0, len(codes), BLOCK)])
     return np.sqrt(-2 * np.log(uniform(1))) * np.cos(2 * np.pi * uniform(1001))
 
 
@@ -103,25 +108,36 @@ class Hmm:
 
     def expected(self, pieces: np.ndarray, lengths: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, ...]:
         """Expected counts of pieces, longest first: pieces is (time, piece); ``opens`` marks those that begin a text."""
-        steps, k = pieces.shape[0], len(self.start)
-        active = [int(np.searchsorted(-lengths, -t)) for t in range(steps)]  # pieces longer than t
-        alpha, scale = np.zeros((steps, len(lengths), k)), np.ones((steps, len(lengths)))
-        a = np.where(opens[:, None], self.start, self.inner)
-        for t in range(steps):
+        steps, k, kind = pieces.shape[0], len(self.start), self.emit.dtype
+        active = np.searchsorted(-lengths, -np.arange(steps)).tolist()  # pieces longer than t
+        move, back, ones = self.move.astype(kind), self.move.T.astype(kind), np.ones(k, kind)
+        alpha, scale = np.zeros((steps, len(lengths), k), kind), np.ones((steps, len(lengths)), kind)
+        ahead = self.emit[pieces]
+        a = np.where(opens[:, None], self.start, self.inner).astype(kind)
+        for t, m in enumerate(active):
+            now, c = alpha[t, :m], scale[t, :m]
+            np.multiply(a[:m] if t == 0 else a[:m] @ move, ahead[t, :m], out=now)
+            np.matmul(now, ones, out=c)
+            now /= c[:, None]
+            a = now
+        # from here on what is ahead of each place, nothing after a piece's end
+        ahead /= scale[:, :, None]
+        beta = np.ones((len(lengths), k), kind)
+        for t in range(steps - 1, 0, -1):
             m = active[t]
-            a = (a[:m] if t == 0 else a[:m] @ self.move) * self.emit[pieces[t, :m]]
-            c = a.sum(1)
-            a /= c[:, None]
-            alpha[t, :m], scale[t, :m] = a, c
-        moves, beta = np.zeros((k, k)), np.ones((len(lengths), k))
-        for t in range(steps - 2, -1, -1):
-            m = active[t + 1]
-            ahead = beta[:m] * self.emit[pieces[t + 1, :m]] / scale[t + 1, :m, None]
-            moves += alpha[t, :m].T @ ahead
-            alpha[t + 1, :m] *= beta[:m]
-            beta[:m] = ahead @ self.move.T
-        alpha[0] *= beta
-        emitted = np.stack([np.bincount(pieces.ravel(), weights=alpha[:, :, i].ravel(), minlength=len(self.emit)) for i in range(k)], axis=1)
+            ahead[t, :m] *= beta[:m]
+            ahead[t, m:] = 0
+            np.matmul(ahead[t, :m], back, out=beta[:m])
+        moves = np.zeros((k, k))
+        for lo in range(0, steps, every := max(1, BLOCK // len(lengths))):
+            some, then = alpha[lo : lo + every], ahead[lo + 1 : lo + every + 1]
+            moves += some[: len(then)].reshape(-1, k).T @ then.reshape(-1, k)
+            beta = then @ back
+            beta[np.arange(lo + 1, lo + 1 + len(then))[:, None] >= lengths] = 1
+            some[: len(then)] *= beta
+        emitted = np.empty((len(self.emit), k))
+        for i in range(k):
+            emitted[:, i] = np.bincount(pieces.ravel(), weights=alpha[:, :, i].ravel(), minlength=len(self.emit))
         return emitted, moves * self.move, alpha[0, opens].sum(0), alpha[0, ~opens].sum(0)
 
     def forward(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -209,31 +225,45 @@ SENT = "bucket int, chunk long, codes binary, sums binary"
 SERVED = "chunk long, bucket int, x binary, stats binary"
 
 
+#: Places of a float's bits below those that travel, and the least number's: 2^-64. Exponents take 7 of 16 bits.
+_CUT, _LEAST = 14, (127 - 64) << 9
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 2^64 in 16 bits, rounded to a 1,024th of themselves at most; those under 2^-64 are 0."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
+    return (np.maximum((bits + (1 << (_CUT - 1))) >> _CUT, _LEAST) - _LEAST).astype(np.uint16)
+
+
+def _unpacked(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, ((x.astype(np.uint32) + _LEAST) << _CUT).view(np.float32), np.float32(0))
+
+
 def _first(s: Symbols, states: int) -> np.ndarray:
     return s.weights()[:, None] * np.exp(0.7 * _noise(s.codes, states))
 
 
-def _serve(states: int, mass: float | None):
-    """Adds up a bucket's numbers by word and answers each chunk with its words' emissions, not yet divided by their sums by state.
+def _serve(states: int, mass: float | None, packed: bool = False):
+    """Adds up a bucket's numbers by word and answers each chunk with its words' emissions, not yet divided by their sums by state, in full or ``packed``.
 
     Without ``mass``, the whole smoothed count, the numbers are training counts, and so are the answers.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         bucket, chunks = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
-        sums = [np.frombuffer(x.as_py(), np.float64 if mass is None or bucket < 0 else np.float32) for x in rows.column("sums")]
+        sums = [np.frombuffer(x.as_py(), np.float64 if mass is None or bucket < 0 else np.uint16) for x in rows.column("sums")]
         if bucket < 0:
             out = [(-1, bucket, b"", np.sum(sums, axis=0).tobytes())]
         else:
             parts = [np.frombuffer(x.as_py(), np.int64) for x in rows.column("codes")]
             codes, at = np.unique(np.concatenate(parts), return_inverse=True)
             sums = np.concatenate(sums).reshape(len(at), -1)
-            total = np.stack([np.bincount(at, x, len(codes)) for x in sums.T], axis=1)
+            total = np.stack([np.bincount(at, x if mass is None else _unpacked(x), len(codes)) for x in sums.T], axis=1)
             s = Symbols(codes, np.rint(total.sum(axis=1)), np.full(CLASSES, ADD))
             emit = _first(s, states) if mass is None else total + SHARED / mass * s.weights()[:, None]
             known = s.counts > 0
             out = [(-1, bucket, b"", np.concatenate([[s.counts.sum(), known.sum()], emit[known].sum(axis=0)]).tobytes())]
-            answer, ends = s.counts.astype(np.int64) if mass is None else emit.astype(np.float32), np.cumsum([0, *map(len, parts)])
+            answer, ends = s.counts.astype(np.int64) if mass is None else _packed(emit) if packed else emit.astype(np.float32), np.cumsum([0, *map(len, parts)])
             for c, lo, hi in zip(chunks, ends, ends[1:]):
                 out.append((c, bucket, answer[at[lo:hi]].tobytes(), b""))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -242,20 +272,29 @@ def _serve(states: int, mass: float | None):
     return run
 
 
-def _given(chunks: DataFrame, served: DataFrame, name: str) -> DataFrame:
-    """``chunks`` with the parts (bucket, bytes) of the answers to each."""
-    parts = served.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "x")).alias(name))
-    return chunks.join(parts, "chunk")
+def _answered(chunks: DataFrame, answers: dict[str, DataFrame], run, schema: str) -> DataFrame:
+    """``run`` on each chunk's row and its answers by name, a chunk at a time, so that a task holds one however many it has."""
+    names = list(answers)
+    parts = None
+    for name, served in answers.items():
+        part = served.where("chunk >= 0").select("chunk", "bucket", "x", F.lit(names.index(name)).alias("of"))
+        parts = part if parts is None else parts.union(part)
 
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        of, bucket, x = (right.column(c).to_pylist() for c in ("of", "bucket", "x"))
+        found = {name: b"".join(x[i] for i in sorted(range(len(x)), key=bucket.__getitem__) if of[i] == k) for k, name in enumerate(names)}
+        del right, x
+        return pa.Table.from_batches(list(run({c: left.column(c)[0] for c in left.column_names}, found)))
 
-def _whole_array(parts: pa.Scalar, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(p["x"] for p in sorted(parts.as_py(), key=lambda p: p["bucket"])), kind)
+    return chunks.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(one, schema)
 
 
-def _emissions(codes: np.ndarray, parts: pa.Scalar, first: bool, sums: np.ndarray) -> np.ndarray:
-    """A chunk's emissions by word and state; the first ones are made of the words' counts."""
-    found = _first(Symbols(codes, _whole_array(parts, np.int64), np.full(CLASSES, ADD)), len(sums)) if first else _whole_array(parts, np.float32).reshape(-1, len(sums))
-    return found / sums
+def _emissions(codes: np.ndarray, answer: bytes, kind, sums: np.ndarray) -> np.ndarray:
+    """A chunk's emissions by word and state from answers of a kind: the words' counts, of which the first ones are made, or emissions, packed or in full."""
+    got = np.frombuffer(answer, kind)
+    if kind is np.int64:
+        return _first(Symbols(codes, got, np.full(CLASSES, ADD)), len(sums)) / sums
+    return (_unpacked(got) if kind is np.uint16 else got).reshape(-1, len(sums)) / sums
 
 
 def _stats(served: DataFrame, states: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -278,22 +317,20 @@ def _counted(bits: int):
     return run
 
 
-def _expect(model: Hmm, sums: np.ndarray, bits: int, first: bool):
-    """Expected counts of each chunk's training texts under ``model``, whose emissions are divided by ``sums``."""
+def _expect(model: Hmm, sums: np.ndarray, bits: int, kind):
+    """Expected counts of each chunk's training texts under ``model``, whose emissions are answers of a kind divided by ``sums``. They are sent packed."""
     states = len(sums)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, train, lens, syms, codes, parts in zip(*(b.column(i) for i in range(6)), strict=True):
-                codes = np.frombuffer(codes.as_py(), np.int64)
-                m = Hmm(model.start, model.inner, model.move, _emissions(codes, parts, first, sums))
-                emitted, other = np.zeros(m.emit.shape), np.zeros(states * (states + 1))
-                for texts, lengths in _whole([t for t, y in zip(_texts(lens, syms), train.as_py(), strict=True) if y]):
-                    e, moves, start, _ = m.expected(texts, lengths, np.ones(len(lengths), bool))
-                    emitted += e
-                    other += np.concatenate([moves.ravel(), start])
-                yield from _sent(chunk.as_py(), codes, emitted.astype(np.float32), bits)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([other.tobytes()], pa.binary())], ["bucket", "chunk", "codes", "sums"])
+    def run(row: dict[str, pa.Scalar], answers: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(row["codes"].as_py(), np.int64)
+        m = Hmm(model.start, model.inner, model.move, _emissions(codes, answers["emit"], kind, sums).astype(np.float32))
+        emitted, other = np.zeros(m.emit.shape), np.zeros(states * (states + 1))
+        for texts, lengths in _whole([t for t, y in zip(_texts(row["lens"], row["syms"]), row["train"].as_py(), strict=True) if y]):
+            e, moves, start, _ = m.expected(texts, lengths, np.ones(len(lengths), bool))
+            emitted += e
+            other += np.concatenate([moves.ravel(), start])
+        yield from _sent(row["chunk"].as_py(), codes, _packed(emitted), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([other.tobytes()], pa.binary())], ["bucket", "chunk", "codes", "sums"])
 
     return run
 
@@ -306,9 +343,10 @@ def train(chunks: DataFrame, states: int, rounds: int, scratch: Scratch) -> tupl
     total, kinds, sums, _ = _stats(served, states)
     mass, sums = total + ADD * (kinds + CLASSES), sums + ADD * CLASSES
     model = Hmm.first(np.ones(1), states)
-    for _ in range(rounds):
-        sent = _given(chunks.select(*read), served, "parts").select(*read, "parts").mapInArrow(_expect(model, sums, bits, served is counts), SENT)
-        last, served = served, scratch.save(sent.groupBy("bucket").applyInArrow(_serve(states, mass), SERVED), "served")
+    for i in range(rounds):
+        kind = np.int64 if served is counts else np.uint16
+        sent = _answered(chunks.select(*read), {"emit": served}, _expect(model, sums, bits, kind), SENT)
+        last, served = served, scratch.save(sent.groupBy("bucket").applyInArrow(_serve(states, mass, i < rounds - 1), SERVED), "served")
         if last is not counts:
             scratch.forget(last)
         _, _, sums, other = _stats(served, states)
@@ -336,26 +374,21 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", states: int =
     # bucketed by chunk, so that rounds don't shuffle the texts
     name = f"hmm_{uuid.uuid4().hex}"
     chunks = encode(df, key, text, train_on).withColumn("chunk", F.monotonically_increasing_id())
-    chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{scratch.root}/chunks").format("parquet").saveAsTable(name)
+    chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{scratch.root}/chunks").option("compression", "zstd").format("parquet").saveAsTable(name)
     scratch.tables.append(name)
     chunks = spark.table(name)
     model, sums, counts, served, total, kinds = train(chunks, states, rounds, scratch)
-    first = served is counts
+    kind = np.int64 if served is counts else np.float32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, train, lens, syms, codes, seen, emit in zip(*(b.column(i) for i in range(7)), strict=True):
-                m = Hmm(model.start, model.inner, model.move, _emissions(np.frombuffer(codes.as_py(), np.int64), emit, first, sums))
-                c, texts = _whole_array(seen, np.int64), _texts(lens, syms)
-                logs, n = np.log10(c + ADD), np.array([len(t) for t in texts], np.int64)
-                base = np.array([float(logs[t].sum()) for t in texts]) - n * np.log10(total + ADD * (kinds + 1))
-                known = np.array([int((c[t] > 0).sum()) for t in texts], np.int64)
-                forward = m.forward(texts)
-                held = pa.array(~np.array(train.as_py(), bool))
-                out = pa.RecordBatch.from_arrays([keys.values, held, pa.array(n), pa.array(known), pa.array(base), pa.array(forward)], ["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                yield from (out.slice(lo, 10_000) for lo in range(0, out.num_rows, 10_000))
-
-    kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
-    given = _given(_given(chunks, counts, "seen"), served, "emit").select("keys", "train", "lens", "syms", "codes", "seen", "emit")
-    out = given.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    def run(row: dict[str, pa.Scalar], answers: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+        m = Hmm(model.start, model.inner, model.move, _emissions(np.frombuffer(row["codes"].as_py(), np.int64), answers["emit"], kind, sums))
+        c, texts = np.frombuffer(answers["seen"], np.int64), _texts(row["lens"], row["syms"])
+        logs, n = np.log10(c + ADD), np.array([len(t) for t in texts], np.int64)
+        base = np.array([float(logs[t].sum()) for t in texts]) - n * np.log10(total + ADD * (kinds + 1))
+        known = np.array([int((c[t] > 0).sum()) for t in texts], np.int64)
+        held = pa.array(~np.array(row["train"].as_py(), bool))
+        yield pa.RecordBatch.from_arrays([row["keys"].values, held, pa.array(n), pa.array(known), pa.array(base), pa.array(m.forward(texts))], ["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    field = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+    out = _answered(chunks, {"seen": counts, "emit": served}, run, f"key {field}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
