@@ -187,6 +187,30 @@ def test_forward_and_counts_match_plain_recursions():
     assert np.isclose(inner.sum(), 1)
 
 
+def test_long_texts_go_in_parts(monkeypatch):
+    """Counts and scores of texts in parts are those of whole texts, in no more steps than a part has tokens."""
+    rng = np.random.default_rng(4)
+    m = hmm.Hmm.first(rng.dirichlet(np.ones(20)), 3)
+    m.move, m.start = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    texts = [rng.integers(0, 20, n) for n in (1, 40, 8, 9, 16, 17, 100, 3)]
+
+    def counted():
+        parts, nth = hmm._cut(texts)
+        assert np.array_equal(np.concatenate(parts), np.concatenate(texts)) and (nth == 0).sum() == len(texts)
+        before, after = m.edges(parts, nth)
+        got = [(m.expected(pieces, lengths, nth[at] == 0, before[:, at], after[:, at]), len(pieces)) for at, pieces, lengths in hmm._padded(parts)]
+        return [sum(g[i] for g, _ in got) for i in range(3)], max(n for _, n in got)
+
+    want, steps = counted()
+    assert steps == 100 and np.isclose(want[0].sum(), sum(map(len, texts))) and np.isclose(want[1].sum(), sum(len(t) - 1 for t in texts))
+    monkeypatch.setattr(hmm, "LONG", 8)
+    monkeypatch.setattr(hmm, "PART", 5)
+    monkeypatch.setattr(hmm, "CELLS", 60)
+    got, steps = counted()
+    assert steps == 8 and all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert np.allclose(m.forward(texts), [plain_forward(m, t) for t in texts])
+
+
 def test_scores(spark):
     import math
     import zlib

@@ -11,7 +11,8 @@ own words and gives back its expected counts of them, bucket by bucket of the
 hashes; Spark adds up the counts of a bucket's words over all chunks. No table of
 all words is ever in one place: the driver sees sums by state alone. Between rounds
 emissions and counts travel in 16 bits; the last emissions, which score, in 32.
-Forward and backward messages run over whole texts.
+Forward and backward messages run over whole texts: those of over ``PART`` tokens
+are cut into parts that go side by side, once the messages at the cuts are known.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ ROUNDS = 6
 ADD, SHARED = 0.1, 100
 _LOW = (1 << 52) - 1
 END = (xxhash.xxh64_intdigest(b"\n") & _LOW) << 11
-#: Tokens of a chunk, and places of texts and padding that one recursion works on at a time.
+#: Tokens of a chunk, places of texts and padding that one recursion works on at a time.
 CHUNK, CELLS = 2_500_000, 600_000
+#: Texts of more tokens are cut into parts of so many.
+LONG, PART = 4096, 512
 #: Rows of a chunk that are worked on at a time where that needs several numbers beside each.
 BLOCK = 1 << 14
 
@@ -106,72 +109,141 @@ class Hmm:
         flat = np.full(states, 1 / states)
         return Hmm(flat, flat.copy(), move, emit / emit.sum(0))
 
-    def expected(self, pieces: np.ndarray, lengths: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Expected counts of pieces, longest first: pieces is (time, piece); ``opens`` marks those that begin a text."""
+    def edges(self, parts: list[np.ndarray], nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is known at the ends of parts from the rest of their texts, by state and part: forward messages at the end of the part before, backward ones at a part's own end.
+
+        A text's parts stand one after the other, ``nth`` counts them. The matrix of
+        a part, which leads from its first place to its end, is made for all parts side by
+        side, so a long text takes a part's number of steps and not its own.
+        """
+        k, more = len(self.start), np.append(nth[1:] > 0, False)
+        before, after = np.full((k, len(parts)), 1 / k), np.ones((k, len(parts)))
+        cut = np.flatnonzero((nth > 0) | more)
+        if not len(cut):
+            return before, after
+        cut = cut[np.argsort([-len(parts[i]) for i in cut], kind="stable")]
+        lengths = np.array([len(parts[i]) for i in cut])
+        starts, flat = np.cumsum(lengths) - lengths, np.concatenate([parts[i] for i in cut])
+        move, back = self.move, np.ascontiguousarray(self.move.T)
+        through = np.zeros((k, k, len(cut)))  # (state, first state, part)
+        for t in range(int(lengths[0])):
+            m = int(np.searchsorted(-lengths, -t))
+            e = self.emit.take(flat[starts[:m] + t], axis=0).T.astype(float)
+            e /= e.max(axis=0)  # a factor of a part's matrix doesn't matter
+            if t == 0:
+                through[np.arange(k), np.arange(k)] = e
+                continue
+            now = (back @ through[:, :, :m].reshape(k, -1)).reshape(k, k, m)
+            now *= e[:, None]
+            if t % 8 == 0:
+                now /= now.sum(axis=(0, 1))
+            through[:, :, :m] = now
+        place = np.full(len(parts), -1)
+        place[cut] = np.arange(len(cut))
+        for i in range(int(nth.max())):
+            at = np.flatnonzero((nth == i) & more)
+            ahead = back @ before[:, at] if i else np.repeat(self.start[:, None], len(at), axis=1)
+            got = np.einsum("jip,ip->jp", through[:, :, place[at]], ahead)
+            before[:, at + 1] = got / got.sum(axis=0)
+        for i in range(int(nth.max()), 0, -1):
+            at = np.flatnonzero(nth == i)
+            got = move @ np.einsum("jip,jp->ip", through[:, :, place[at]], after[:, at])
+            after[:, at - 1] = got / got.sum(axis=0)
+        return before, after
+
+    def expected(self, pieces: np.ndarray, lengths: np.ndarray, opens: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Expected counts of pieces, longest first: pieces is (time, piece); ``opens`` marks those that begin a text.
+
+        Others go on from the messages ``before`` them, and all of them end in those ``after`` them, where these are given (see ``edges``).
+        """
         steps, k, kind = pieces.shape[0], len(self.start), self.emit.dtype
         active = np.searchsorted(-lengths, -np.arange(steps)).tolist()  # pieces longer than t
-        move, back, ones = self.move.astype(kind), self.move.T.astype(kind), np.ones(k, kind)
-        alpha, scale = np.zeros((steps, len(lengths), k), kind), np.ones((steps, len(lengths)), kind)
-        ahead = self.emit[pieces]
-        a = np.where(opens[:, None], self.start, self.inner).astype(kind)
+        at = np.cumsum([0, *active]).tolist()
+        # one row for each state, without gaps, place after place: the pieces of a place are side by side
+        syms = pieces[np.arange(steps)[:, None] < lengths]
+        move = self.move.astype(kind)
+        back = np.ascontiguousarray(move.T)
+        alpha, scale, ahead = np.empty((k, len(syms)), kind), np.empty(len(syms), kind), np.ascontiguousarray(self.emit.take(syms, axis=0).T)
+        inner = self.inner[:, None] if before is None else self.move.T @ before
+        a = np.where(opens, self.start[:, None], inner).astype(kind)
         for t, m in enumerate(active):
-            now, c = alpha[t, :m], scale[t, :m]
-            np.multiply(a[:m] if t == 0 else a[:m] @ move, ahead[t, :m], out=now)
-            np.matmul(now, ones, out=c)
-            now /= c[:, None]
+            now, c = alpha[:, at[t] : at[t + 1]], scale[at[t] : at[t + 1]]
+            np.multiply(a if t == 0 else back @ a[:, :m], ahead[:, at[t] : at[t + 1]], out=now)
+            np.add.reduce(now, axis=0, out=c)
+            now /= c
             a = now
-        # from here on what is ahead of each place, nothing after a piece's end
-        ahead /= scale[:, :, None]
-        beta = np.ones((len(lengths), k), kind)
-        for t in range(steps - 1, 0, -1):
-            m = active[t]
-            ahead[t, :m] *= beta[:m]
-            ahead[t, m:] = 0
-            np.matmul(ahead[t, :m], back, out=beta[:m])
+        # from here on what is ahead of each place
+        ahead /= scale
+        beta = np.ones((k, len(syms)), kind)
+        if after is not None:
+            ends = np.array(at)[lengths - 1] + np.arange(len(lengths))
+            beta[:, ends] = after / (alpha[:, ends] * after).sum(axis=0)
+        for t in range(steps - 1, -1, -1):
+            now = ahead[:, at[t] : at[t + 1]]
+            now *= beta[:, at[t] : at[t + 1]]
+            if t:
+                np.matmul(move, now, out=beta[:, at[t - 1] : at[t - 1] + active[t]])
         moves = np.zeros((k, k))
-        for lo in range(0, steps, every := max(1, BLOCK // len(lengths))):
-            some, then = alpha[lo : lo + every], ahead[lo + 1 : lo + every + 1]
-            moves += some[: len(then)].reshape(-1, k).T @ then.reshape(-1, k)
-            beta = then @ back
-            beta[np.arange(lo + 1, lo + 1 + len(then))[:, None] >= lengths] = 1
-            some[: len(then)] *= beta
-        emitted = np.empty((len(self.emit), k))
-        for i in range(k):
-            emitted[:, i] = np.bincount(pieces.ravel(), weights=alpha[:, :, i].ravel(), minlength=len(self.emit))
-        return emitted, moves * self.move, alpha[0, opens].sum(0), alpha[0, ~opens].sum(0)
+        if before is not None:
+            moves += before[:, ~opens] @ ahead[:, : len(lengths)][:, ~opens].T
+        t = 1
+        while t < steps:
+            # places that as many pieces reach as the one before go together
+            end = t + 1
+            while end < steps and active[end] == active[t - 1] and at[end] - at[t] < BLOCK:
+                end += 1
+            moves += alpha[:, at[t - 1] : at[t - 1] + at[end] - at[t]] @ ahead[:, at[t] : at[end]].T
+            t = end
+        alpha *= beta
+        emitted = np.stack([np.bincount(syms, weights=x, minlength=len(self.emit)) for x in alpha])
+        first = alpha[:, : len(lengths)]
+        return emitted.T, moves * self.move, first[:, opens].sum(axis=1), first[:, ~opens].sum(axis=1)
 
     def forward(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each whole symbol sequence, by the scaled forward recursion."""
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[i]) for i in order])
-        if not len(lengths):
+        parts, nth = _cut(texts)
+        if not parts:
             return np.zeros(0)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate([texts[i] for i in order])
-        total, a, m = np.zeros(len(lengths)), np.tile(self.start, (len(lengths), 1)), len(lengths)
+        before, _ = self.edges(parts, nth)
+        order = np.argsort([-len(p) for p in parts], kind="stable")
+        lengths = np.array([len(parts[i]) for i in order])
+        starts, flat = np.cumsum(lengths) - lengths, np.concatenate([parts[i] for i in order])
+        back = np.ascontiguousarray(self.move.T)
+        total, a, m = np.zeros(len(order)), np.where(nth > 0, back @ before, self.start[:, None])[:, order], len(order)
         for t in range(int(lengths[0])):
             while lengths[m - 1] <= t:
                 m -= 1
-            a = (a[:m] if t == 0 else a[:m] @ self.move) * self.emit[flat[starts[:m] + t]]
-            c = a.sum(1)
-            a /= c[:, None]
+            a = a[:, :m] if t == 0 else back @ a[:, :m]
+            a *= self.emit.take(flat[starts[:m] + t], axis=0).T
+            c = a.sum(axis=0)
+            a /= c
             total[:m] += np.log10(c)
         out = np.empty(len(total))
         out[order] = total
-        return out
+        return np.add.reduceat(out, np.flatnonzero(nth == 0))
+
+
+def _cut(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Texts of more than ``LONG`` tokens in parts of ``PART``, others whole, one after the other, and each part's number in its text."""
+    parts, nth = [], []
+    for t in texts:
+        cuts = range(0, len(t), PART) if len(t) > LONG else (0,)
+        parts += [t[lo : lo + PART] for lo in cuts] if len(t) > LONG else [t]
+        nth += range(len(cuts))
+    return parts, np.array(nth, np.int64)
 
 
-def _whole(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(symbols by time and text, lengths) of whole texts, longest first, some ``CELLS`` places at a time."""
-    texts = sorted(texts, key=len, reverse=True)
+def _padded(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the list, symbols by time and part, lengths), longest first, some ``CELLS`` places at a time."""
+    order = np.argsort([-len(p) for p in parts], kind="stable")
     lo = 0
-    while lo < len(texts):
-        part = texts[lo : lo + max(1, CELLS // len(texts[lo]))]
-        out = np.zeros((len(part[0]), len(part)), np.int64)
-        for j, t in enumerate(part):
-            out[: len(t), j] = t
-        yield out, np.array([len(t) for t in part])
-        lo += len(part)
+    while lo < len(order):
+        at = order[lo : lo + max(1, CELLS // len(parts[order[lo]]))]
+        out = np.zeros((len(parts[at[0]]), len(at)), np.int64)
+        for j, i in enumerate(at):
+            out[: len(parts[i]), j] = parts[i]
+        yield at, out, np.array([len(parts[i]) for i in at])
+        lo += len(at)
 
 
 def encode(df: DataFrame, key: str, text: str, train: F.Column) -> DataFrame:
@@ -324,9 +396,11 @@ def _expect(model: Hmm, sums: np.ndarray, bits: int, kind):
     def run(row: dict[str, pa.Scalar], answers: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(row["codes"].as_py(), np.int64)
         m = Hmm(model.start, model.inner, model.move, _emissions(codes, answers["emit"], kind, sums).astype(np.float32))
-        emitted, other = np.zeros(m.emit.shape), np.zeros(states * (states + 1))
-        for texts, lengths in _whole([t for t, y in zip(_texts(row["lens"], row["syms"]), row["train"].as_py(), strict=True) if y]):
-            e, moves, start, _ = m.expected(texts, lengths, np.ones(len(lengths), bool))
+        emitted, other = np.zeros(m.emit.shape[::-1]).T, np.zeros(states * (states + 1))
+        parts, nth = _cut([t for t, y in zip(_texts(row["lens"], row["syms"]), row["train"].as_py(), strict=True) if y])
+        before, after = m.edges(parts, nth)
+        for at, pieces, lengths in _padded(parts):
+            e, moves, start, _ = m.expected(pieces, lengths, nth[at] == 0, before[:, at], after[:, at])
             emitted += e
             other += np.concatenate([moves.ravel(), start])
         yield from _sent(row["chunk"].as_py(), codes, _packed(emitted), bits)
