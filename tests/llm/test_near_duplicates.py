@@ -130,6 +130,24 @@ def test_components(spark):
     assert {r["component"] for r in components(star, Scratch(spark, "t")).collect()} == {1}
 
 
+def test_components_end_with_stars(spark):
+    """Edges that are stars around their smallest nodes take no round, a pair of stars two."""
+    saved = []
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            saved.append(name)
+            return super().save(df, name)
+
+    stars = spark.range(10, 600).selectExpr("id AS a", "id % 7 AS b")
+    got = {r["node"]: r["component"] for r in components(stars, Counting(spark, "t")).collect()}
+    assert got == {i: i % 7 if i >= 10 else i for i in [*range(7), *range(10, 600)]} and saved.count("edges") == 1
+    saved.clear()
+    joined = stars.union(spark.createDataFrame([(599, 1)], "a long, b long"))  # 599 % 7 == 4
+    got = {r["node"]: r["component"] for r in components(joined, Counting(spark, "t")).collect()}
+    assert got[4] == got[599] == 1 and got[11] == 1 and got[10] == 3 and saved.count("edges") == 5
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 16))
